@@ -180,26 +180,42 @@ def count_cells(counts: DataFrame) -> DataFrame:
 def check_counts(
     cells: DataFrame, vectors: DataFrame | None, samples: DataFrame | None = None
 ) -> None:
-    """Validate the table `count_cells` made."""
-    counts = cells
-    worst = cells.agg(F.max("times").alias("times"), F.sum("bad").alias("bad")).first()
-    if worst["bad"]:
+    """Validate the table `count_cells` made: one pass per side."""
+    per_sample = cells.groupBy("sample_id").agg(
+        F.sum("value").alias("total"),
+        F.max("times").alias("times"),
+        F.sum("bad").alias("bad"),
+    )
+    if samples is None:
+        listed = per_sample.withColumn("listed", F.lit(1))
+    else:
+        roster = samples.groupBy("sample_id").agg(F.count(F.lit(1)).alias("listed"))
+        listed = per_sample.join(roster, "sample_id", "full")
+    name = F.col("sample_id").cast("string")
+    example = lambda test: F.min(F.when(test, name))
+    seen = listed.agg(
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"),
+        F.coalesce(F.max("times"), F.lit(0)).alias("times"),
+        F.count_if((F.col("listed") > 1) | is_blank(name)).alias("names"),
+        example(F.col("listed").isNull()).alias("stray"),
+        F.sort_array(
+            F.collect_set(F.when(F.coalesce("total", F.lit(0.0)) == 0, name))
+        ).alias("empty"),
+    ).first()
+    if seen["bad"]:
         raise InvalidInput(
             "`counts` must hold finite numbers >= 0; sample and protein names "
             "must be unique, non-missing and non-empty."
         )
-    if (worst["times"] or 0) > 1:
+    if seen["times"] > 1:
         raise InvalidInput("Sample and protein names must be unique in `counts`.")
-    if samples is not None:
-        check_ids(samples, "sample_id", "Sample")
-        stray = counts.join(samples, "sample_id", "left_anti").limit(1).collect()
-        if stray:
-            raise InvalidInput(
-                f"`samples` does not list sample {stray[0]['sample_id']}."
-            )
+    if seen["names"]:
+        raise InvalidInput("Sample names must be unique, non-missing and non-empty.")
+    if seen["stray"] is not None:
+        raise InvalidInput(f"`samples` does not list sample {seen['stray']}.")
     if vectors is not None:
         lost = (
-            missing_vectors(counts, vectors)
+            missing_vectors(cells, vectors)
             .agg(F.count(F.lit(1)).alias("n"), F.min("protein_id").alias("example"))
             .first()
         )
@@ -208,7 +224,5 @@ def check_counts(
                 f"{lost['n']} protein(s) in `counts` have no embedding in `x`, e.g. "
                 f"{lost['example']}. `counts` needs one row per sample and protein."
             )
-    empty = empty_samples(counts, samples).limit(5).collect()
-    if empty:
-        names = ", ".join(str(r["sample_id"]) for r in empty)
-        raise InvalidInput(f"Sample(s) with no counts: {names}.")
+    if seen["empty"]:
+        raise InvalidInput(f"Sample(s) with no counts: {', '.join(seen['empty'])}.")

@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     Every round hooks each node to its smallest neighbour (an aggregate with
     map-side minimum, so a hub costs one row per task), jumps pointers, and
     rewrites the edges between the surviving roots. Edges shrink every round
-    and each round is checkpointed, so lineage stays one round long. With
+    and are written out each round, so lineage stays one round long. With
     `nodes`, nodes without an edge are components of their own.
     """
     live = cut(_undirected(edges))
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
         parents = live.groupBy(F.col("hi").alias("node")).agg(
             F.min("lo").alias("parent")
         )
-        parents = cut(_follow(_follow(_follow(parents))))
+        # read again for the labels; recomputable from the round's own table
+        parents = _follow(_follow(_follow(parents))).persist()
         hooks.append(parents)
         to_lo = parents.select(F.col("node").alias("lo"), F.col("parent").alias("_lo"))
         to_hi = parents.select(F.col("node").alias("hi"), F.col("parent").alias("_hi"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -55,19 +56,47 @@ def retained_units(weights: DataFrame, vectors: DataFrame) -> DataFrame:
     return unit_vectors(vectors).join(seen, "protein_id", "left_semi")
 
 
-def collapse_copies(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct vectors `(ord, embedding, copies)` and the map `(protein_id, rep)`.
+@dataclass(frozen=True)
+class Catalog:
+    """Vectors of a catalog with identical ones collapsed.
 
-    Identical vectors have identical kernel rows, so a crowd of copies is one
-    row with a multiplicity in every pair computation.
+    distinct  `(ord, embedding, copies)`, one row per distinct vector
+    rep       `(protein_id, rep)`, the `ord` of the row that stands for a protein
+    proteins  number of proteins
+    rows      number of distinct vectors
     """
-    distinct = units.groupBy("embedding").agg(
-        F.min("ord").alias("ord"), F.count(F.lit(1)).alias("copies")
+
+    distinct: DataFrame
+    rep: DataFrame
+    proteins: int
+    rows: int
+
+    @property
+    def has_copies(self) -> bool:
+        return self.rows < self.proteins
+
+
+def collapse_copies(units: DataFrame) -> Catalog:
+    """Stand one row with a multiplicity for every crowd of identical vectors.
+
+    Identical vectors have identical kernel rows, so nothing downstream sees a
+    crowd. The table is materialised: every tile pass reads it.
+    """
+    units = units.persist()
+    distinct = cut(
+        units.groupBy("embedding")
+        .agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("copies"))
+        .select("ord", "embedding", "copies")
     )
-    rep = units.join(
-        distinct.select("embedding", F.col("ord").alias("rep")), "embedding"
-    ).select("protein_id", "rep")
-    return distinct.select("ord", "embedding", "copies"), rep
+    proteins, rows = distinct.agg(F.sum("copies"), F.count(F.lit(1))).first()
+    proteins, rows = int(proteins or 0), int(rows)
+    if rows == proteins:
+        rep = units.select("protein_id", F.col("ord").alias("rep"))
+    else:
+        rep = units.join(
+            distinct.select("embedding", F.col("ord").alias("rep")), "embedding"
+        ).select("protein_id", "rep")
+    return Catalog(distinct, rep, proteins, rows)
 
 
 # --- median pair distance -------------------------------------------------------
@@ -120,24 +149,13 @@ def _histogram_tile(intervals: list[tuple[float, float]]):
     return fn
 
 
-def catalog_size(distinct: DataFrame) -> tuple[int, int]:
-    """Proteins and distinct vectors."""
-    head = distinct.agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows"))
-    n, rows = head.first()
-    return int(n or 0), int(rows)
-
-
-def pair_median(
-    distinct: DataFrame,
-    tile_rows: int = TILE_ROWS,
-    size: tuple[int, int] | None = None,
-) -> float | None:
+def pair_median(catalog: Catalog, tile_rows: int = TILE_ROWS) -> float | None:
     """Exact median of all pair distances, or None without a pair.
 
     Tiles return histograms, never distances. Each pass narrows the interval
     that holds the middle rank to one bin until that bin is a single value.
     """
-    total, rows = size or catalog_size(distinct)
+    total = catalog.proteins
     pairs = total * (total - 1) // 2
     if not pairs:
         return None
@@ -147,12 +165,12 @@ def pair_median(
     while any(v is None for v in values):
         found = (
             map_tiles(
-                distinct,
+                catalog.distinct,
                 "ord",
                 _histogram_tile(spans),
                 _HISTOGRAM,
                 tile_rows,
-                rows,
+                catalog.rows,
             )
             .groupBy("target", "bin")
             .agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
@@ -190,8 +208,9 @@ def median_sigma(
     counts: DataFrame, x: DataFrame, weighted: bool = True, tile_rows: int = TILE_ROWS
 ) -> float:
     """Default bandwidth of `sample_mmd`: median distance of retained proteins."""
-    distinct, _ = collapse_copies(retained_units(relative_abundance(counts, weighted), x))
-    return sigma_or_fail(pair_median(distinct, tile_rows))
+    weights = relative_abundance(counts, weighted)
+    catalog = collapse_copies(retained_units(weights, x))
+    return sigma_or_fail(pair_median(catalog, tile_rows))
 
 
 # --- Gram sums ------------------------------------------------------------------
@@ -248,32 +267,32 @@ def _gram_tile(sigma: float):
 
 
 def gram_sums(
-    distinct: DataFrame,
-    rep: DataFrame,
+    catalog: Catalog,
     weights: DataFrame,
     order: DataFrame,
     sigma: float,
     tile_rows: int = TILE_ROWS,
-    count: int | None = None,
 ) -> DataFrame:
     """`(sa, sb, g)` with sa <= sb: weighted kernel sums between samples.
 
     Tiles multiply their block of the kernel by both weight blocks and emit
     only sums per sample pair, which Spark adds up.
     """
-    per_vector = (
-        weights.join(rep, "protein_id")
-        .join(order.withColumnRenamed("ord", "s"), "sample_id")
-        .groupBy("rep", "s")
-        .agg(F.sum("weight").alias("w"))
-        # at most one entry per sample
-        .groupBy("rep")
-        .agg(F.sort_array(F.collect_list(F.struct("s", "w"))).alias("weights"))
+    placed = weights.join(order.withColumnRenamed("ord", "s"), "sample_id").join(
+        catalog.rep, "protein_id"
     )
-    rows = distinct.join(per_vector, distinct["ord"] == per_vector["rep"]).select(
-        "ord", "embedding", "weights"
+    if catalog.has_copies:
+        placed = placed.groupBy("rep", "s").agg(F.sum("weight").alias("weight"))
+    # at most one entry per sample
+    per_vector = placed.groupBy("rep").agg(
+        F.sort_array(F.collect_list(F.struct("s", F.col("weight").alias("w")))).alias(
+            "weights"
+        )
     )
-    parts = map_tiles(rows, "ord", _gram_tile(sigma), _GRAM, tile_rows, count)
+    rows = catalog.distinct.join(
+        per_vector.withColumnRenamed("rep", "ord"), "ord"
+    ).select("ord", "embedding", "weights")
+    parts = map_tiles(rows, "ord", _gram_tile(sigma), _GRAM, tile_rows, catalog.rows)
     return parts.groupBy("sa", "sb").agg(F.sum("g").alias("g"))
 
 
@@ -303,20 +322,19 @@ def gram_to_distance(gram: DataFrame, order: DataFrame, sigma: float) -> DataFra
 
 def mmd_of_weights(
     weights: DataFrame,
-    units: DataFrame,
+    x: DataFrame,
     order: DataFrame,
     sigma: float | None,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
-    distinct, rep = collapse_copies(units)
-    # read by the median passes, the tiles and the weight join
-    distinct = distinct.persist()
-    size = catalog_size(distinct)
+    weights = weights.persist()
+    units = retained_units(weights, x)
+    catalog = collapse_copies(units)
     if sigma is None:
-        sigma = sigma_or_fail(pair_median(distinct, tile_rows, size))
+        sigma = sigma_or_fail(pair_median(catalog, tile_rows))
     # one row per sample pair; materialised because three branches read it
-    gram = cut(gram_sums(distinct, rep, weights, order, sigma, tile_rows, size[1]))
-    distinct.unpersist()
+    gram = cut(gram_sums(catalog, weights, order, sigma, tile_rows))
+    weights.unpersist()
     return gram_to_distance(gram, order, sigma)
 
 
@@ -346,11 +364,11 @@ def sample_mmd(
         check_counts(cells, x, samples)
     order = sample_order(cells, samples)
     weights = relative_abundance(cells, weighted)
-    return mmd_of_weights(weights, retained_units(weights, x), order, sigma, tile_rows)
+    return mmd_of_weights(weights, x, order, sigma, tile_rows)
 
 
 def kernel_row_sums(
-    distinct: DataFrame, sigma: float, tile_rows: int = TILE_ROWS
+    catalog: Catalog, sigma: float, tile_rows: int = TILE_ROWS
 ) -> DataFrame:
     """`(ord, density)`: kernel mass of every vector over the whole catalog."""
 
@@ -368,6 +386,13 @@ def kernel_row_sums(
                 names=["ord", "density"],
             )
 
-    parts = map_tiles(distinct, "ord", fn, "ord long, density double", tile_rows)
+    parts = map_tiles(
+        catalog.distinct,
+        "ord",
+        fn,
+        "ord long, density double",
+        tile_rows,
+        catalog.rows,
+    )
     return parts.groupBy("ord").agg(F.sum("density").alias("density"))
 

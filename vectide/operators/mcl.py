@@ -242,10 +242,12 @@ def _large(edges: DataFrame, inflation: float) -> DataFrame:
             products = left.join(right, ["component", "bk"]).mapInArrow(
                 _multiply, _TILES
             )
-            grown = cut(
-                products.groupBy("component", "bi", "bj", "size").applyInArrow(
+            grown = (
+                products.groupBy("component", "bi", "bj", "size")
+                .applyInArrow(
                     _sum_and_inflate(inflation), _TILES + ", sums array<double>"
                 )
+                .persist()
             )
             totals = (
                 grown.select("component", "bj", F.posexplode("sums").alias("p", "s"))
@@ -263,6 +265,7 @@ def _large(edges: DataFrame, inflation: float) -> DataFrame:
                 .mapInArrow(_normalise, _TILES + ", change double")
             )
             change = new.agg(F.max("change")).first()[0]
+            grown.unpersist()
             tiles = new.drop("change")
             if change < TOLERANCE:
                 break

@@ -23,6 +23,7 @@ from .checks import (
 )
 from .components import connected_components
 from .distances import (
+    Catalog,
     collapse_copies,
     mmd_of_weights,
     pair_median,
@@ -41,13 +42,13 @@ _MASS_DECIMALS = 12
 
 
 def regions(
-    distinct: DataFrame, rep: DataFrame, min_sim: float, tile_rows: int = TILE_ROWS
+    catalog: Catalog, min_sim: float, tile_rows: int = TILE_ROWS
 ) -> DataFrame:
     """`(protein_id, region)`: proteins linked by cosines of at least `min_sim`."""
-    links = threshold_links(distinct, min_sim, tile_rows)
-    nodes = distinct.select(F.col("ord").alias("node"))
-    parts = connected_components(links, nodes)
-    return rep.join(parts, rep["rep"] == parts["node"]).select(
+    links = threshold_links(catalog.distinct, min_sim, tile_rows, catalog.rows)
+    nodes = catalog.distinct.select(F.col("ord").alias("node"))
+    parts = connected_components(links, nodes).withColumnRenamed("node", "rep")
+    return catalog.rep.join(parts, "rep").select(
         "protein_id", F.col("component").alias("region")
     )
 
@@ -254,11 +255,10 @@ def drop_regions(
     The bandwidth is that of the full set, so the kernel does not move.
     """
     units = retained_units(weights, x)
-    distinct, rep = collapse_copies(units)
-    distinct = cut(distinct)
+    catalog = collapse_copies(units)
     if sigma is None:
-        sigma = sigma_or_fail(pair_median(distinct, tile_rows))
-    region = cut(regions(distinct, rep, min_sim, tile_rows))
+        sigma = sigma_or_fail(pair_median(catalog, tile_rows))
+    region = cut(regions(catalog, min_sim, tile_rows))
     mass = cut(region_mass(weights, region))
     n_regions = mass.count()
     if drop >= n_regions:
@@ -351,9 +351,7 @@ def plot_pcoa(
     survivors, sigma, message = drop_regions(
         weights, x, order, int(drop), float(min_sim), weighted, sigma, tile_rows
     )
-    distances = mmd_of_weights(
-        survivors, retained_units(survivors, x), order, sigma, tile_rows
-    )
+    distances = mmd_of_weights(survivors, x, order, sigma, tile_rows)
     points, share = pcoa(distances, order)
     labels = {
         "x": f"PCo1 ({share[0]:.0f}%)",

@@ -141,7 +141,10 @@ def _links_of_tile(bound: float):
 
 
 def threshold_links(
-    units: DataFrame, min_sim: float, tile_rows: int = TILE_ROWS
+    units: DataFrame,
+    min_sim: float,
+    tile_rows: int = TILE_ROWS,
+    count: int | None = None,
 ) -> DataFrame:
     """Fewest edges with the connectivity of `threshold_graph`.
 
@@ -155,6 +158,7 @@ def threshold_links(
         EDGES,
         min_sim,
         tile_rows,
+        count,
     )
 
 

@@ -527,9 +527,10 @@ fit(step, i, lo, hi, beta) AS (
            CASE WHEN h > ln(30) THEN beta ELSE lo END AS lo,
            CASE WHEN h > ln(30) THEN hi ELSE beta END AS hi
     FROM (
-      SELECT step, f.i, lo, hi, beta,
+      SELECT step, f.i AS i, lo, hi, beta,
              ln(sum(exp(-beta * d2))) + beta * sum(d2 * exp(-beta * d2)) / sum(exp(-beta * d2)) AS h
-      FROM fit f JOIN near n ON n.i = f.i WHERE step < 120 GROUP BY ALL))),
+      FROM fit f JOIN near n ON n.i = f.i WHERE step < 120
+      GROUP BY step, f.i, lo, hi, beta))),
 one_way AS (
   SELECT n.i, n.j, exp(-beta * d2) / sum(exp(-beta * d2)) OVER (PARTITION BY n.i) AS p
   FROM near n JOIN fit f ON f.i = n.i AND step = 120),

@@ -67,9 +67,9 @@ def cosine_clip(t: Inputs) -> DataFrame:
 @query
 def gaussian_kernel(t: Inputs) -> DataFrame:
     """Kernel mass of every vector over the whole catalog at sigma 1."""
-    distinct, rep = distances.collapse_copies(t.units())
-    density = distances.kernel_row_sums(distinct, 1.0)
-    return rep.join(density, rep["rep"] == density["ord"]).select(
+    catalog = distances.collapse_copies(t.units())
+    density = distances.kernel_row_sums(catalog, 1.0).withColumnRenamed("ord", "rep")
+    return catalog.rep.join(density, "rep").select(
         "protein_id", _r("density")
     )
 
@@ -196,10 +196,10 @@ def median_sigma(t: Inputs) -> DataFrame:
 def kernel_gram(t: Inputs) -> DataFrame:
     weights = cut(distances.relative_abundance(t.counts()))
     order = t.samples().select("sample_id", "ord")
-    distinct, rep = distances.collapse_copies(
+    catalog = distances.collapse_copies(
         distances.retained_units(weights, t.vectors())
     )
-    gram = distances.gram_sums(distinct, rep, weights, order, 1.0)
+    gram = distances.gram_sums(catalog, weights, order, 1.0)
     return gram.select("sa", "sb", _r("g"))
 
 
@@ -374,10 +374,10 @@ def gated_similarity(t: Inputs) -> DataFrame:
 
 def _regions(t: Inputs):
     weights = cut(distances.relative_abundance(t.counts()))
-    distinct, rep = distances.collapse_copies(
+    catalog = distances.collapse_copies(
         distances.retained_units(weights, t.vectors())
     )
-    return weights, ordination.regions(cut(distinct), rep, LINK)
+    return weights, ordination.regions(catalog, LINK)
 
 
 @query
@@ -392,9 +392,7 @@ def drop_regions_mmd(t: Inputs) -> DataFrame:
     order = t.samples().select("sample_id", "ord")
     weights = cut(distances.relative_abundance(t.counts()))
     kept, sigma, _ = ordination.drop_regions(weights, t.vectors(), order, 1, 0.4)
-    kept = cut(kept)
-    units = distances.retained_units(kept, t.vectors())
-    out = distances.mmd_of_weights(kept, units, order, sigma)
+    out = distances.mmd_of_weights(kept, t.vectors(), order, sigma)
     return out.select("sample_a", "sample_b", _r("distance"), _r("sigma"))
 
 
