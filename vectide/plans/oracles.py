@@ -541,6 +541,8 @@ sym AS (
     )
     + """
 SELECT i AS protein_id, count(*) AS neighbours, round(sum(p), 6) AS mass FROM sym GROUP BY i""",
+    "fasta_records": _with(_SEQS)
+    + "\nSELECT protein_id, s AS sequence FROM texts",
     "embed_composition": _with(_SEQS)
     + f""",
 shares AS (

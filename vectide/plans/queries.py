@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +14,16 @@ from ..operators.align import align_pairs
 from ..operators.components import connected_components, graph_stats
 from ..operators.embedding import CompositionBackend, embed_proteins
 from ..operators.labels import pooled_labels, top_labels
-from ..operators.mcl import markov_clusters
+from ..operators.mcl import DENSE_LIMIT, markov_clusters
 from ..operators.similarity import (
     protein_similarity,
     similarity_degrees,
     threshold_graph,
 )
 from ..operators.tsne import tsne_affinities, tsne_layout
-from ..session import cut
+from ..session import checkpoint_dir, cut
+from ..sources.fasta import fasta_records as read_records
+from ..sources.fasta import write_fasta
 from .inputs import Inputs
 
 # thresholds that suit near-orthogonal vectors
@@ -254,7 +257,7 @@ def graph_shape(t: Inputs) -> DataFrame:
     return graph_stats(edges, connected_components(edges, nodes))
 
 
-def _partition(t: Inputs, inflation: float, dense_limit: int = 1000) -> DataFrame:
+def _partition(t: Inputs, inflation: float, dense_limit: int = DENSE_LIMIT) -> DataFrame:
     edges, nodes = _graph(t)
     parts = cut(connected_components(edges, nodes))
     return markov_clusters(edges, parts, inflation, dense_limit).select(
@@ -540,6 +543,17 @@ def tsne(t: Inputs) -> DataFrame:
     return layout.select(F.col("ord").alias("protein_id"), "tsne1", "tsne2")
 
 
+@query
+def fasta_records(t: Inputs) -> DataFrame:
+    """Documents written as FASTA to the shared folder and scanned back."""
+    path = f"{checkpoint_dir(t.spark)}/fasta-{uuid.uuid4().hex}"
+    write_fasta(t.texts(), path)
+    records = read_records(t.spark, path)
+    return records.select(
+        F.col("protein_id").cast("long").alias("protein_id"), "sequence"
+    )
+
+
 @query
 def embed_composition(t: Inputs) -> DataFrame:
     """Documents embedded whole by the residue-composition backend."""
