@@ -198,9 +198,7 @@ def check_counts(
         F.coalesce(F.max("times"), F.lit(0)).alias("times"),
         F.count_if((F.col("listed") > 1) | is_blank(name)).alias("names"),
         example(F.col("listed").isNull()).alias("stray"),
-        F.sort_array(
-            F.collect_set(F.when(F.coalesce("total", F.lit(0.0)) == 0, name))
-        ).alias("empty"),
+        F.count_if(F.coalesce("total", F.lit(0.0)) == 0).alias("empty"),
     ).first()
     if seen["bad"]:
         raise InvalidInput(
@@ -225,4 +223,7 @@ def check_counts(
                 f"{lost['example']}. `counts` needs one row per sample and protein."
             )
     if seen["empty"]:
-        raise InvalidInput(f"Sample(s) with no counts: {', '.join(seen['empty'])}.")
+        found = empty_samples(cells, samples).orderBy("sample_id").limit(5).collect()
+        names = ", ".join(str(r["sample_id"]) for r in found)
+        more = ", ..." if seen["empty"] > len(found) else ""
+        raise InvalidInput(f"Sample(s) with no counts: {names}{more}.")

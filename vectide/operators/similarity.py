@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alignment import encode, evalues, local_scores, self_score
 from ..functions.vectors import unit
+from ..session import cut
 from .checks import (
     RESIDUES,
     InvalidInput,
@@ -239,17 +240,20 @@ def protein_similarity(
     if validate:
         check_vectors(x)
     x = with_ord(x)
-    rows = unit_vectors(x).select("ord", "embedding")
     if math.isinf(max_evalue):
+        rows = unit_vectors(x).select("ord", "embedding")
         return map_tiles(
             rows, "ord", _edges_of_tile(0.0, True), EDGES, tile_rows or TILE_ROWS
         )
     if "sequence" not in x.columns:
         raise InvalidInput("`x` needs a `sequence` column unless `max_evalue` is inf.")
-    catalog = alignable(x).select(
-        F.col("ord").cast("long").alias("ord"),
-        unit(F.col("embedding"), F.col("protein_id")).alias("embedding"),
-        "sequence",
+    # cleaned once: it is measured, counted and sent to the tiles
+    catalog = cut(
+        alignable(x).select(
+            F.col("ord").cast("long").alias("ord"),
+            unit(F.col("embedding"), F.col("protein_id")).alias("embedding"),
+            "sequence",
+        )
     )
     total = total_residues(catalog)
     return map_tiles(

@@ -24,7 +24,7 @@ def fasta_records(spark: SparkSession, path: str) -> DataFrame:
     numbered = text.select(
         F.monotonically_increasing_id().alias("ord"), F.col("value")
     )
-    body = F.regexp_replace("value", r"\A>", "")
+    body = F.regexp_replace("value", r"\A>|[\r\n]+\z", "")
     lines = F.split(body, r"\r?\n")
     return numbered.select(
         "ord",
