@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.graphs import lowest_labels
 from ..session import cut
 
+# a remainder of at most this many edges is finished by one task
+LAST_EDGES = 200_000
+
 
 def _undirected(edges: DataFrame) -> DataFrame:
     return (
@@ -16,33 +24,51 @@ def _undirected(edges: DataFrame) -> DataFrame:
     )
 
 
-def _follow(parents: DataFrame) -> DataFrame:
-    """One pointer jump: every node takes its parent's parent."""
-    above = parents.select(
-        F.col("node").alias("parent"), F.col("parent").alias("_grand")
-    )
-    return parents.join(above, "parent", "left").select(
-        "node", F.coalesce("_grand", "parent").alias("parent")
-    )
+def _finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    edges = pd.concat(list(frames))
+    nodes, at = np.unique(edges[["lo", "hi"]].to_numpy().T, return_inverse=True)
+    at = at.reshape(2, -1)
+    label = lowest_labels(at[0], at[1], len(nodes))
+    moved = label != np.arange(len(nodes))
+    yield pd.DataFrame({"node": nodes[moved], "parent": nodes[label][moved]})
+
+
+def _roots(parents: DataFrame) -> DataFrame:
+    """Every node's root: pointers jump to their pointer's target until none moves.
+
+    Each jump halves the depth, so a path of n nodes takes log2(n) of them.
+    """
+    while True:
+        above = parents.select(
+            F.col("node").alias("parent"), F.col("parent").alias("_grand")
+        )
+        jumped = cut(parents.join(above, "parent", "left"))
+        if jumped.filter(F.col("_grand").isNotNull()).isEmpty():
+            return parents
+        parents = jumped.select("node", F.coalesce("_grand", "parent").alias("parent"))
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """`(node, component)`: the smallest node of the component names it.
 
     Every round hooks each node to its smallest neighbour (an aggregate with
-    map-side minimum, so a hub costs one row per task), jumps pointers, and
-    rewrites the edges between the surviving roots. Edges shrink every round
-    and are written out each round, so lineage stays one round long. With
+    map-side minimum, so a hub costs one row per task), jumps pointers to the
+    roots, and rewrites the edges between surviving roots. Edges shrink every
+    round and are written out, so lineage stays one round long. A remainder
+    counted as small is finished by one task. With
     `nodes`, nodes without an edge are components of their own.
     """
     live = cut(_undirected(edges))
     hooks: list[DataFrame] = []
-    while not live.isEmpty():
-        parents = live.groupBy(F.col("hi").alias("node")).agg(
-            F.min("lo").alias("parent")
-        )
-        # read again for the labels; recomputable from the round's own table
-        parents = _follow(_follow(_follow(parents))).persist()
+    while left := live.count():
+        if left <= LAST_EDGES:
+            # a counted bound; larger remainders take another round
+            hooks.append(
+                live.coalesce(1).mapInPandas(_finish, "node long, parent long").persist()
+            )
+            break
+        lowest = live.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent"))
+        parents = _roots(cut(lowest))
         hooks.append(parents)
         to_lo = parents.select(F.col("node").alias("lo"), F.col("parent").alias("_lo"))
         to_hi = parents.select(F.col("node").alias("hi"), F.col("parent").alias("_hi"))

@@ -163,11 +163,13 @@ def pair_median(catalog: Catalog, tile_rows: int = TILE_ROWS) -> float | None:
     spans = [(0.0, 2.0000001)] * len(ranks)
     values: list[float | None] = [None] * len(ranks)
     while any(v is None for v in values):
+        # both ranks usually share an interval: one histogram serves them
+        wanted = sorted({spans[t] for t, v in enumerate(values) if v is None})
         found = (
             map_tiles(
                 catalog.distinct,
                 "ord",
-                _histogram_tile(spans),
+                _histogram_tile(wanted),
                 _HISTOGRAM,
                 tile_rows,
                 catalog.rows,
@@ -179,7 +181,10 @@ def pair_median(catalog: Catalog, tile_rows: int = TILE_ROWS) -> float | None:
         for t, rank in enumerate(ranks):
             if values[t] is not None:
                 continue
-            bins = sorted((r for r in found if r["target"] == t), key=lambda r: r["bin"])
+            mine = wanted.index(spans[t])
+            bins = sorted(
+                (r for r in found if r["target"] == mine), key=lambda r: r["bin"]
+            )
             left = rank
             for r in bins:
                 if left < r["n"] and r["bin"] >= 0:

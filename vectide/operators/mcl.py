@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.graphs import lowest_labels
 from ..functions.ranking import global_rank
-from ..session import cut
+from ..session import cut, task_slots
 from .components import connected_components
 
 DENSE_LIMIT = 2048
@@ -58,14 +59,8 @@ def _dense_clusters(i: np.ndarray, j: np.ndarray, w: np.ndarray, inflation: floa
         )
     attractor = np.round(flow, _DECIMALS).argmax(axis=0)
     # nodes that lead to one another share a cluster, named by its first node
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label, label[attractor])
-        np.minimum.at(low, attractor, label)
-        low = low[low]
-        if np.array_equal(low, label):
-            return nodes, nodes[label]
-        label = low
+    label = lowest_labels(np.arange(len(nodes)), attractor, len(nodes))
+    return nodes, nodes[label]
 
 
 def _small(edges: DataFrame, inflation: float) -> DataFrame:
@@ -237,14 +232,26 @@ def _large(edges: DataFrame, inflation: float) -> DataFrame:
     spark.conf.set(limit, str(64 << 20))
     try:
         tiles = cut(tiles)
+        side = 1 + (index.agg(F.max("size")).first()[0] - 1) // TILE
+        # a column of tiles meets a row of tiles: share that out over salts
+        salts = max(1, min(side, -(-4 * task_slots(spark) // side)))
         for _ in range(MAX_ITERATIONS):
             left = tiles.select(
-                "component", "bi", F.col("bj").alias("bk"), "size", F.col("cells").alias("a")
+                "component",
+                "bi",
+                F.col("bj").alias("bk"),
+                "size",
+                F.col("cells").alias("a"),
+                F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
             )
             right = tiles.select(
-                "component", F.col("bi").alias("bk"), "bj", F.col("cells").alias("b")
+                "component",
+                F.col("bi").alias("bk"),
+                "bj",
+                F.col("cells").alias("b"),
+                (F.col("bj") % salts).alias("salt"),
             )
-            products = left.join(right, ["component", "bk"]).mapInArrow(
+            products = left.join(right, ["component", "bk", "salt"]).mapInArrow(
                 _multiply, _TILES
             )
             grown = (

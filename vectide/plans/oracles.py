@@ -268,7 +268,8 @@ SELECT DISTINCT l_partkey AS protein_id FROM lineitem
 WHERE l_partkey NOT IN (SELECT vec_id FROM embeddings)""",
     "empty_samples": """
 SELECT c_custkey AS sample_id FROM customer LEFT JOIN orders ON o_custkey = c_custkey
-GROUP BY c_custkey HAVING coalesce(sum(o_totalprice), 0) = 0""",
+GROUP BY c_custkey
+HAVING coalesce(sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice ELSE 0 END), 0) = 0""",
     "relative_abundance": _with(_COUNTS, _weights())
     + "\nSELECT sample_id, protein_id, round(weight, 9) AS weight FROM w",
     "presence_absence": _with(_COUNTS, _weights("sign(value)"))

@@ -158,9 +158,10 @@ def missing_vectors(t: Inputs) -> DataFrame:
 
 @query
 def empty_samples(t: Inputs) -> DataFrame:
-    """Customers without any ordered amount."""
+    """Customers without any pending amount."""
+    pending = F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice")).otherwise(0.0)
     spent = t.table("orders").select(
-        F.col("o_custkey").alias("sample_id"), F.col("o_totalprice").alias("value")
+        F.col("o_custkey").alias("sample_id"), pending.alias("value")
     )
     everyone = t.table("customer").select(F.col("c_custkey").alias("sample_id"))
     return checks.empty_samples(spent, everyone)
