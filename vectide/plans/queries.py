@@ -170,35 +170,40 @@ def empty_samples(t: Inputs) -> DataFrame:
 # --- counts and distances -------------------------------------------------------
 
 
+def _cells(t: Inputs) -> DataFrame:
+    """The counts, materialised: several branches read them, the raw tables once."""
+    return cut(t.counts())
+
+
 @query
 def relative_abundance(t: Inputs) -> DataFrame:
-    return distances.relative_abundance(t.counts()).select(
+    return distances.relative_abundance(_cells(t)).select(
         "sample_id", "protein_id", _r("weight", places=9)
     )
 
 
 @query
 def presence_absence(t: Inputs) -> DataFrame:
-    return distances.relative_abundance(t.counts(), weighted=False).select(
+    return distances.relative_abundance(_cells(t), weighted=False).select(
         "sample_id", "protein_id", _r("weight", places=9)
     )
 
 
 @query
 def retained_proteins(t: Inputs) -> DataFrame:
-    weights = distances.relative_abundance(t.counts())
+    weights = distances.relative_abundance(_cells(t))
     return distances.retained_units(weights, t.vectors()).select("protein_id")
 
 
 @query
 def median_sigma(t: Inputs) -> DataFrame:
-    sigma = distances.median_sigma(t.counts(), t.vectors())
+    sigma = distances.median_sigma(_cells(t), t.vectors())
     return t.spark.range(1).select(_r(F.lit(sigma), "sigma"))
 
 
 @query
 def kernel_gram(t: Inputs) -> DataFrame:
-    weights = cut(distances.relative_abundance(t.counts()))
+    weights = cut(distances.relative_abundance(_cells(t)))
     order = t.samples().select("sample_id", "ord")
     catalog = distances.collapse_copies(
         distances.retained_units(weights, t.vectors())
@@ -377,7 +382,7 @@ def gated_similarity(t: Inputs) -> DataFrame:
 
 
 def _regions(t: Inputs):
-    weights = cut(distances.relative_abundance(t.counts()))
+    weights = cut(distances.relative_abundance(_cells(t)))
     catalog = distances.collapse_copies(
         distances.retained_units(weights, t.vectors())
     )
@@ -394,7 +399,7 @@ def regions_mass(t: Inputs) -> DataFrame:
 def drop_regions_mmd(t: Inputs) -> DataFrame:
     """MMD without the heaviest region, bandwidth of the full set."""
     order = t.samples().select("sample_id", "ord")
-    weights = cut(distances.relative_abundance(t.counts()))
+    weights = cut(distances.relative_abundance(_cells(t)))
     kept, sigma, _ = ordination.drop_regions(weights, t.vectors(), order, 1, 0.4)
     out = distances.mmd_of_weights(kept, t.vectors(), order, sigma)
     return out.select("sample_a", "sample_b", _r("distance"), _r("sigma"))
@@ -437,7 +442,7 @@ def hull(t: Inputs) -> DataFrame:
 
 @query
 def bray_curtis(t: Inputs) -> DataFrame:
-    shares = distances.relative_abundance(t.counts()).withColumnRenamed(
+    shares = distances.relative_abundance(_cells(t)).withColumnRenamed(
         "weight", "value"
     )
     return _distance(beta.bray_curtis(cut(shares), samples=t.samples()))
@@ -483,24 +488,24 @@ def _two_groups(t: Inputs) -> DataFrame:
 
 @query
 def clr(t: Inputs) -> DataFrame:
-    return differential.clr(t.counts()).select("sample_id", "feature", _r("clr"))
+    return differential.clr(_cells(t)).select("sample_id", "feature", _r("clr"))
 
 
 @query
 def clr_baseline(t: Inputs) -> DataFrame:
     """The log-ratio of every absent cell of a sample."""
-    return differential.clr_baseline(t.counts()).select("sample_id", _r("baseline"))
+    return differential.clr_baseline(_cells(t)).select("sample_id", _r("baseline"))
 
 
 @query
 def ols_slope(t: Inputs) -> DataFrame:
-    fit = differential.ols_by_group(cut(t.counts()), _two_groups(t), "A", "B")
+    fit = differential.ols_by_group(_cells(t), _two_groups(t), "A", "B")
     return fit.select("feature", _r("lfc"), _r("t"), "df", _r("p"))
 
 
 @query
 def bh_adjust(t: Inputs) -> DataFrame:
-    fit = differential.ols_by_group(cut(t.counts()), _two_groups(t), "A", "B")
+    fit = differential.ols_by_group(_cells(t), _two_groups(t), "A", "B")
     out = differential.bh_adjust(fit)
     return out.select("feature", _r("p"), _r("q"))
 
