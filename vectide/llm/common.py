@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,3 +80,31 @@ def running_total(
         .withColumn(out, F.col(out) + F.col("_offset"))
         .drop("_r_part", "_offset", *[f"_r_{key}" for key in keys])
     )
+
+
+def key_bitmap(df: DataFrame, key: str, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits places with the low bits of every `key` set, packed in longs.
+
+    Its size is fixed, whatever the number of keys: with more keys it only lets more
+    through. It is a filter before an exact join, never the join itself.
+    """
+    place = F.col(key).bitwiseAND(F.lit(2**bits - 1))
+    words = (
+        df.select(
+            F.shiftright(place, 6).alias("word"),
+            F.expr(f"shiftleft(1L, cast(({key}) & 63 as int))").alias("bit"),
+        )
+        .groupBy("word")
+        .agg(F.bit_or("bit").alias("bit"))
+        .toPandas()
+    )
+    bitmap = np.zeros(2 ** (bits - 6), np.int64)
+    bitmap[words["word"].to_numpy(np.int64)] = words["bit"].to_numpy(np.int64)
+    return bitmap
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit `keys` have their bit set."""
+    keys = keys.astype(np.int64, copy=False)
+    place = keys & np.int64(len(bitmap) * 64 - 1)
+    return (bitmap[place >> 6] >> (keys & 63)) & 1 == 1

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import mix_sources
+from .neardup import near_duplicates
 from .sharding import ring_shards
 
 
@@ -33,7 +34,12 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_minhash_bayes(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_table(spark, folder, "documents"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ring_shards": op5_ring_shards,
     "op6_mix_sources": op6_mix_sources,
+    "op9_minhash_bayes": op9_minhash_bayes,
 }
