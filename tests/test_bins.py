@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 from helpers import catalog, components_of, dense_mcl, edges_of, long_counts, unit
 
-from vectide.operators import components
 from vectide.operators.bins import bin_glom, bin_proteins, plot_bin_similarity
 from vectide.operators.checks import InvalidInput
 from vectide.operators.components import connected_components
@@ -21,9 +20,7 @@ def families():
     return unit(np.repeat(np.eye(3), 5, axis=0) + rng.normal(0, 0.03, (15, 3)))
 
 
-@pytest.mark.parametrize("last_edges", [0, 30, 200_000])
-def test_components_of_paths_stars_and_isolated(spark, last_edges, monkeypatch):
-    monkeypatch.setattr(components, "LAST_EDGES", last_edges)
+def test_components_of_paths_stars_and_isolated(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, j) for j in range(101, 140)]
     e = spark.createDataFrame(edges, "i long, j long")
     nodes = spark.createDataFrame([(n,) for n in [*range(61), *range(100, 140), 999]], "node long")
@@ -33,8 +30,7 @@ def test_components_of_paths_stars_and_isolated(spark, last_edges, monkeypatch):
     assert got[999] == 999
 
 
-def test_components_of_a_long_shuffled_path(spark, monkeypatch):
-    monkeypatch.setattr(components, "LAST_EDGES", 100)
+def test_components_of_a_long_shuffled_path(spark):
     at = np.random.default_rng(1).permutation(3000)
     rows = [(int(at[k]), int(at[k + 1])) for k in range(2999) if k != 1499]
     got = connected_components(spark.createDataFrame(rows, "i long, j long"))

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.graphs import lowest_labels
 from ..session import cut
 
-# a remainder of at most this many edges is finished by one task
-LAST_EDGES = 200_000
-
 
 def _undirected(edges: DataFrame) -> DataFrame:
     return (
@@ -24,15 +16,6 @@ def _undirected(edges: DataFrame) -> DataFrame:
     )
 
 
-def _finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    edges = pd.concat(list(frames))
-    nodes, at = np.unique(edges[["lo", "hi"]].to_numpy().T, return_inverse=True)
-    at = at.reshape(2, -1)
-    label = lowest_labels(at[0], at[1], len(nodes))
-    moved = label != np.arange(len(nodes))
-    yield pd.DataFrame({"node": nodes[moved], "parent": nodes[label][moved]})
-
-
 def _roots(parents: DataFrame) -> DataFrame:
     """Every node's root: pointers jump to their pointer's target until none moves.
 
@@ -54,19 +37,12 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     Every round hooks each node to its smallest neighbour (an aggregate with
     map-side minimum, so a hub costs one row per task), jumps pointers to the
     roots, and rewrites the edges between surviving roots. Edges shrink every
-    round and are written out, so lineage stays one round long. A remainder
-    counted as small is finished by one task. With
-    `nodes`, nodes without an edge are components of their own.
+    round and are written out, so lineage stays one round long. With `nodes`, nodes
+    without an edge are components of their own.
     """
     live = cut(_undirected(edges))
     hooks: list[DataFrame] = []
-    while left := live.count():
-        if left <= LAST_EDGES:
-            # a counted bound; larger remainders take another round
-            hooks.append(
-                live.coalesce(1).mapInPandas(_finish, "node long, parent long").persist()
-            )
-            break
+    while not live.isEmpty():
         lowest = live.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent"))
         parents = _roots(cut(lowest))
         hooks.append(parents)
@@ -90,7 +66,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
         labels = labels.join(step, "component", "left").select(
             "node", F.coalesce("_up", "component").alias("component")
         )
-    return labels
+    return cut(labels)
 
 
 def graph_stats(edges: DataFrame, components: DataFrame) -> DataFrame:
