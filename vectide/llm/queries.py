@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+from .decontam import leaks
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .sharding import ring_shards
+from .tokens import token_counts
+from .warc import read_warc, write_warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts(_table(spark, folder, "documents"), path)
+
+
+def op4_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op5_ring_shards(spark: SparkSession, folder: str) -> DataFrame:
     return ring_shards(_table(spark, folder, "documents")).select(
         "doc_id",
@@ -34,12 +49,23 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    archives = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_warc(_table(spark, folder, "pages"), archives)
+    return read_warc(spark, archives, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op9_minhash_bayes(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
+    "op4_template_leaks": op4_template_leaks,
     "op5_ring_shards": op5_ring_shards,
     "op6_mix_sources": op6_mix_sources,
+    "op8_warc_revisits": op8_warc_revisits,
     "op9_minhash_bayes": op9_minhash_bayes,
 }

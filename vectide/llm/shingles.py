@@ -54,8 +54,9 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     count = len(words) - span + 1
     total = np.full(count, span, np.uint64)
     for k in range(span):
-        total = mixed(total * _BASE + words[k : k + count])
-    return total
+        total *= _BASE
+        total += words[k : k + count]
+    return mixed(total)
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
