@@ -20,6 +20,8 @@ LEAST_TOKENS = 5
 LEAST_LITERALS = 3
 # an item leaks if this share of its windows is found in one document
 COVERAGE = 0.5
+# texts are handled together up to this size
+BLOCK_BYTES = 2**18
 _FILTER_BITS = 27
 
 # fixed values: words read as numbers, and units where they follow a number
@@ -51,8 +53,13 @@ _LOWER[65:91] += 32
 
 
 class Template(NamedTuple):
-    """One entry per template token: its hash, its kind, and its value if it is a slot."""
+    """One entry per template token of a block of texts.
 
+    The text it comes from, its place there, its hash, its kind and its value.
+    """
+
+    owners: np.ndarray
+    places: np.ndarray
     hashes: np.ndarray
     kinds: np.ndarray
     values: np.ndarray
@@ -80,18 +87,16 @@ def _known(words: list[str]) -> np.ndarray:
     )
 
 
-def template(text: bytes) -> Template:
-    """The template of a text.
+def templates(texts: list[bytes]) -> Template:
+    """The templates of a block of texts, one after the other.
 
     Tokens are runs of letters or of digits (with points and commas between digits).
     Numbers, number words, units after a number, and names become placeholders; a
     name is a capitalised word that does not start a sentence, and the same word where it
     does. Runs of numbers or of names are one slot.
     """
-    none = np.zeros(0, np.uint64)
-    data = np.frombuffer(text, np.uint8)
-    if not _WORD[data].any():
-        return Template(none, np.zeros(0, np.int8), none)
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    limits = np.cumsum([len(text) + 1 for text in texts])
     digit = _DIGIT[data]
     mark = (data == 46) | (data == 44)
     mark[1:] &= digit[:-1]
@@ -102,35 +107,43 @@ def template(text: bytes) -> Template:
     first = inside.copy()
     first[1:] &= ~inside[:-1] | (digit[1:] != digit[:-1])
     starts = np.flatnonzero(first)
-    lead, data, inside, digit = starts[0], data[starts[0] :], inside[starts[0] :], digit[starts[0] :]
-    starts = starts - lead
-    hashes = _hashes(data, starts, inside)
-
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return Template(none, none, none.astype(np.uint64), none, none.astype(np.uint64))
+    owners = np.searchsorted(limits, starts, side="right")
+    stops = np.cumsum(_STOP[data] & ~inside)[starts]
+    lead = starts[0]
+    hashes = _hashes(data[lead:], starts - lead, inside[lead:])
+
+    same = np.zeros(len(starts), bool)
+    same[1:] = owners[1:] == owners[:-1]
+    heads = data[starts]
     kinds = np.full(len(starts), LITERAL, np.int8)
     kinds[digit[starts] | _among(_NUMBER_HASHES, hashes)] = NUMBER
-    follows = np.zeros(len(starts), bool)
-    follows[1:] = kinds[:-1] == NUMBER
+    follows = same.copy()
+    follows[1:] &= kinds[:-1] == NUMBER
     kinds[follows & (kinds == LITERAL) & _among(_UNIT_HASHES, hashes)] = UNIT
-    stops = np.cumsum(_STOP[data] & ~inside)
-    opens = np.ones(len(starts), bool)
-    opens[1:] = np.diff(stops[starts]) > 0
-    upper = _UPPER[data[starts]]
-    upper[: len(starts)] |= (data[starts] == 0xC3) & (
-        data[np.minimum(starts + 1, len(data) - 1)] < 0x9F
-    )
+    opens = ~same
+    opens[1:] |= stops[1:] > stops[:-1]
+    # capital letters of ASCII and of Latin-1 in UTF-8
+    upper = _UPPER[heads] | ((heads == 0xC3) & (data[starts + 1] < 0x9F))
     upper &= kinds == LITERAL
     names = upper & ~opens
     if names.any():
-        kinds[upper & _among(np.unique(hashes[names]), hashes)] = NAME
-
-    new = np.ones(len(starts), bool)
-    new[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == LITERAL) | (kinds[1:] == UNIT)
-    heads = np.flatnonzero(new)
-    place = np.arange(len(starts)) - heads[np.cumsum(new) - 1]
-    values = mixed(np.add.reduceat(hashes * (2 * place + 1).astype(np.uint64), heads))
-    kinds, hashes = kinds[heads], hashes[heads]
-    slot = kinds != LITERAL
-    return Template(np.where(slot, _PLACEHOLDER[kinds], hashes), kinds, values)
+        own = hashes ^ mixed(owners.astype(np.uint64))
+        kinds[upper & _among(np.unique(own[names]), own)] = NAME
+
+    new = ~same | (kinds == LITERAL) | (kinds == UNIT)
+    new[1:] |= kinds[1:] != kinds[:-1]
+    slots = np.flatnonzero(new)
+    place = np.arange(len(starts)) - slots[np.cumsum(new) - 1]
+    values = mixed(np.add.reduceat(hashes * (2 * place + 1).astype(np.uint64), slots))
+    owners, kinds = owners[slots], kinds[slots]
+    begins = np.flatnonzero(np.diff(owners, prepend=-1))
+    places = np.arange(len(slots)) - np.repeat(begins, np.diff(begins, append=len(slots)))
+    literal = kinds == LITERAL
+    shown = np.where(literal, hashes[slots], _PLACEHOLDER[kinds])
+    return Template(owners, places, shown, kinds, values)
 
 
 _NUMBER_HASHES = _known(NUMBER_WORDS)
@@ -139,15 +152,17 @@ _PLACEHOLDER = mixed(np.arange(1, 5, dtype=np.uint64))
 
 
 def windows(found: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and number of literals of every run of `size` template tokens."""
+    """First token and hash of all runs of `size` tokens of one text with enough literals."""
     count = max(0, len(found.hashes) - size + 1)
     total = np.full(count, size, np.uint64)
-    literals = np.zeros(count, np.int64)
+    literals = np.zeros(count, np.int8)
     for k in range(size if count else 0):
         total *= _BASE
         total += found.hashes[k : k + count]
         literals += found.kinds[k : k + count] == LITERAL
-    return mixed(total), literals
+    whole = found.owners[:count] == found.owners[len(found.owners) - count :]
+    at = np.flatnonzero(whole & (literals >= LEAST_LITERALS))
+    return at, mixed(total[at]).view(np.int64)
 
 
 _WINDOWS = "id long, size int, hash long, place int, slots array<long>"
@@ -162,34 +177,52 @@ _SCHEMA = pa.schema(
 )
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts in blocks of about BLOCK_BYTES; a longer text is a block of its own."""
+    ids: list = []
+    texts: list[bytes] = []
+    held = 0
+    for key, text in zip(*(batch.column(c).to_pylist() for c in ("id", "text"))):
+        ids.append(key)
+        texts.append(text or b"")
+        held += len(texts[-1])
+        if held >= BLOCK_BYTES:
+            yield ids, texts
+            ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def _cut_windows(
     sizes: list[int] | None, wanted: np.ndarray | None
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Windows of `sizes` whose hash is wanted; without `sizes`, of each item's own size."""
 
+    def rows(ids: list, texts: list[bytes]) -> Iterator[tuple]:
+        found = templates(texts)
+        lengths = np.bincount(found.owners, minlength=len(texts))
+        for size in sizes or range(LEAST_TOKENS, WINDOW + 1):
+            at, hashes = windows(found, size)
+            if sizes is None:
+                fit = np.minimum(lengths[found.owners[at]], WINDOW) == size
+            else:
+                fit = in_bitmap(wanted, hashes)
+            for k, code in zip(at[fit].tolist(), hashes[fit].tolist()):
+                span = slice(k, k + size)
+                slots = found.values[span][found.kinds[span] != LITERAL]
+                yield (
+                    ids[found.owners[k]],
+                    size,
+                    code,
+                    int(found.places[k]),
+                    slots.view(np.int64).tolist(),
+                )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, text in zip(*(batch.column(c).to_pylist() for c in ("id", "text"))):
-                found = template(text or b"")
-                own = [min(WINDOW, len(found.hashes))]
-                for size in sizes or (own if own[0] >= LEAST_TOKENS else []):
-                    hashes, literals = windows(found, size)
-                    fit = literals >= LEAST_LITERALS
-                    if wanted is not None:
-                        fit &= in_bitmap(wanted, hashes.view(np.int64))
-                    for at in np.flatnonzero(fit).tolist():
-                        span = slice(at, at + size)
-                        slots = found.values[span][found.kinds[span] != LITERAL]
-                        rows.append(
-                            (key, size, int(hashes.view(np.int64)[at]), at)
-                            + (slots.view(np.int64).tolist(),)
-                        )
+            made = [row for ids, texts in _blocks(batch) for row in rows(ids, texts)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[k] for r in rows], field.type)
-                    for k, field in enumerate(_SCHEMA)
-                ],
+                [pa.array([r[k] for r in made], f.type) for k, f in enumerate(_SCHEMA)],
                 schema=_SCHEMA,
             )
 

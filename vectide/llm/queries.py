@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from .ann import nearest
 from .decontam import leaks
 from .mixing import mix_sources
 from .neardup import near_duplicates
@@ -22,6 +23,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_adaptive_scan(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts(_table(spark, folder, "documents"), path)
@@ -62,6 +68,7 @@ def op9_minhash_bayes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_adaptive_scan": op1_adaptive_scan,
     "op2_token_counts": op2_token_counts,
     "op4_template_leaks": op4_template_leaks,
     "op5_ring_shards": op5_ring_shards,
