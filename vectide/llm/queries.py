@@ -14,8 +14,10 @@ from .ann import nearest
 from .decontam import leaks
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .quality import quality_scores
 from .sharding import ring_shards
 from .tokens import token_counts
+from .toxicity import toxicity_scores
 from .warc import read_warc, write_warc
 
 
@@ -33,6 +35,12 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_table(spark, folder, "documents"), path)
 
 
+def op3_lexicon_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_scores(
+        _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    ).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -67,12 +75,18 @@ def op9_minhash_bayes(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op10_positive_unlabelled(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_scan": op1_adaptive_scan,
     "op2_token_counts": op2_token_counts,
+    "op3_lexicon_automaton": op3_lexicon_automaton,
     "op4_template_leaks": op4_template_leaks,
     "op5_ring_shards": op5_ring_shards,
     "op6_mix_sources": op6_mix_sources,
     "op8_warc_revisits": op8_warc_revisits,
     "op9_minhash_bayes": op9_minhash_bayes,
+    "op10_positive_unlabelled": op10_positive_unlabelled,
 }
