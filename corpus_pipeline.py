@@ -6,11 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectide.llm.stages import in_shards, mixed
+from vectide.llm.stages import (
+    in_shards,
+    mixed,
+    without_leaks,
+    without_near_duplicates,
+    without_toxic,
+)
 from vectide.session import cut
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic),
+    ("near-duplicates", without_near_duplicates),
+    ("decontamination", without_leaks),
     ("mixing", mixed),
     ("sharding", in_shards),
 ]

@@ -52,33 +52,43 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
 
 
 def running_total(
-    parts: DataFrame, keys: list[str], order: list[Column], value: str, out: str
+    parts: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    value: str,
+    out: str,
+    largest: bool = False,
 ) -> DataFrame:
     """Adds `out`: the sum of `value` over all earlier rows of the same `keys`.
 
-    `parts` comes from `ordered_parts` on (keys, order). A window runs within one part
-    only; one row per part and key carries the offsets, so a key that holds most rows is
-    still spread over all the parts it spans.
+    With `largest` their largest value instead, null if there is none. `parts` comes from
+    `ordered_parts` on (keys, order). A window runs within one part only; one row per part
+    and key carries what came before, so a key that holds most rows is still spread over
+    all the parts it spans.
     """
+    combine = F.max if largest else F.sum
     within = Window.partitionBy("_part", *keys).orderBy(*order)
     before = within.rowsBetween(Window.unboundedPreceding, -1)
     earlier = (
         Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = (
+    carried = (
         parts.groupBy("_part", *keys)
-        .agg(F.sum(value).alias("_sum"))
+        .agg(combine(value).alias("_sum"))
         .select(
             F.col("_part").alias("_r_part"),
             *[F.col(key).alias(f"_r_{key}") for key in keys],
-            F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"),
+            combine("_sum").over(earlier).alias("_carried"),
         )
     )
-    local = parts.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))
-    return (
-        local.join(offsets, _same(local, offsets, keys))
-        .withColumn(out, F.col(out) + F.col("_offset"))
-        .drop("_r_part", "_offset", *[f"_r_{key}" for key in keys])
+    local = parts.withColumn(out, combine(value).over(before))
+    joined = local.join(carried, _same(local, carried, keys))
+    if largest:
+        total = F.greatest(out, "_carried")
+    else:
+        total = F.coalesce(out, F.lit(0)) + F.coalesce("_carried", F.lit(0))
+    return joined.withColumn(out, total).drop(
+        "_r_part", "_carried", *[f"_r_{key}" for key in keys]
     )
 
 

@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
 from ..session import cut
@@ -180,18 +179,14 @@ def _parted(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _best(pairs: DataFrame, count: int | None) -> DataFrame:
-    """The `count` most similar open pairs of every component (all, if None)."""
-    if count is None:
-        return pairs.select("i", "j")
-    ends = pairs.select(
-        "i", "j", "matches", F.explode(F.array("_ci", "_cj")).alias("_component")
-    )
-    order = Window.partitionBy("_component").orderBy(F.desc("matches"), "i", "j")
+def _best(pairs: DataFrame) -> DataFrame:
+    """The most similar open pair of every component."""
+    best = F.max(F.struct("matches", (-F.col("i")).alias("_i"), (-F.col("j")).alias("_j"), "i", "j"))
     return (
-        ends.withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= count)
-        .select("i", "j")
+        pairs.select("i", "j", "matches", F.explode(F.array("_ci", "_cj")).alias("_component"))
+        .groupBy("_component")
+        .agg(best.alias("_best"))
+        .select("_best.i", "_best.j")
         .distinct()
     )
 
@@ -201,38 +196,50 @@ class _Search:
 
     def __init__(self, texts: DataFrame, nodes: DataFrame, size: int, percent: int):
         self.texts, self.nodes, self.size, self.percent = texts, nodes, size, percent
-        self.links = cut(
-            nodes.limit(0).select(F.col("node").alias("i"), F.col("node").alias("j"))
+        self.links = nodes.limit(0).select(
+            F.col("node").alias("i"), F.col("node").alias("j")
         )
-        self.labels = cut(nodes.limit(0).select("node", F.col("node").alias("component")))
+        self.labels = nodes.limit(0).select("node", F.col("node").alias("component"))
 
-    def connect(self, candidates: DataFrame, rounds: tuple[int | None, ...]) -> None:
-        """Prunes candidates, then verifies the best open pairs of each component.
+    def connect(self, candidates: DataFrame) -> None:
+        """Prunes candidates and verifies those that can join two components.
 
-        A pair inside a component can add nothing, so most true pairs are never verified; the
-        last round verifies all that are still open.
+        First each node verifies its most similar pair, which joins most groups at once; then
+        all pairs whose ends are still apart. A pair inside a component adds nothing, so most
+        true pairs are never verified.
         """
         survivors = cut(
             _with_both(candidates, self.nodes, "signature").mapInArrow(
                 _pruned(fewest_matches(self.percent)), "i long, j long, matches long"
             )
         )
+        if survivors.isEmpty():
+            return
         ends = survivors.select(F.explode(F.array("i", "j")).alias("node")).distinct()
         wanted = key_bitmap(ends, "node", _FILTER_BITS)
         sets = cut(
             self.texts.mapInArrow(_sets(self.size, wanted), "doc long, shingles binary")
             .withColumnRenamed("doc", "node")
         )
-        for count in rounds:
-            picked = cut(_best(_parted(survivors, self.labels), count))
-            new = cut(
-                _with_both(picked, sets, "shingles").mapInArrow(
-                    _verified(self.percent), "i long, j long"
-                )
+        picked = cut(_best(_parted(survivors, self.labels)))
+        self._verify(picked, sets)
+        rest = cut(
+            _parted(survivors, self.labels)
+            .select("i", "j")
+            .join(picked, ["i", "j"], "left_anti")
+        )
+        if not rest.isEmpty():
+            self._verify(rest, sets)
+
+    def _verify(self, pairs: DataFrame, sets: DataFrame) -> None:
+        new = cut(
+            _with_both(pairs, sets, "shingles").mapInArrow(
+                _verified(self.percent), "i long, j long"
             )
-            self.links = cut(self.links.unionByName(new))
+        )
+        if not new.isEmpty():
+            self.links = self.links.unionByName(new)
             self.labels = connected_components(self.links)
-            survivors = survivors.join(picked, ["i", "j"], "left_anti")
 
 
 def near_duplicates(
@@ -302,10 +309,9 @@ def near_duplicates(
     search.connect(
         members.filter("node != head")
         .select(F.least("node", "head").alias("i"), F.greatest("node", "head").alias("j"))
-        .distinct(),
-        (1, 4, None),
+        .distinct()
     )
-    search.connect(_left_over(members, search.labels, percent), (None,))
+    search.connect(_left_over(members, search.labels, percent))
 
     repeated = (
         docs.filter("doc is not null")

@@ -15,6 +15,7 @@ from .decontam import leaks
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .quality import quality_scores
+from .quotes import reply_ordered
 from .sharding import ring_shards
 from .tokens import token_counts
 from .toxicity import toxicity_scores
@@ -63,6 +64,10 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_quote_links(spark: SparkSession, folder: str) -> DataFrame:
+    return reply_ordered(_table(spark, folder, "conversations"))
+
+
 def op8_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     archives = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(_table(spark, folder, "pages"), archives)
@@ -86,6 +91,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_template_leaks": op4_template_leaks,
     "op5_ring_shards": op5_ring_shards,
     "op6_mix_sources": op6_mix_sources,
+    "op7_quote_links": op7_quote_links,
     "op8_warc_revisits": op8_warc_revisits,
     "op9_minhash_bayes": op9_minhash_bayes,
     "op10_positive_unlabelled": op10_positive_unlabelled,
