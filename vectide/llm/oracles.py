@@ -1,5 +1,189 @@
-"""DuckDB SQL for the operators that SQL can express."""
+"""DuckDB SQL for the operators that SQL can express, written apart from the operators."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+
+def _hash60(value: str) -> str:
+    return f"('0x' || substr(md5(coalesce(CAST({value} AS VARCHAR), '')), 1, 15))::BIGINT"
+
+
+# CRC-32 by the usual reflected polynomial: a table of 256 entries, then byte by byte
+_CRC = """
+crc_table AS MATERIALIZED (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1
+           THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t
+  FROM range(256) AS bytes(b)),
+crcs AS (
+  SELECT text, CASE WHEN text = '' THEN 0 ELSE xor(list_reduce(
+      list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]),
+      4294967295), 4294967295) END AS crc
+  FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL), crc_table)
+"""
+
+
+def _ring(shards: int = 16, nodes: int = 64, slack: int = 10, together: int = 10) -> str:
+    """The ring with its rounds written out; at most `shards` of them."""
+    rounds = []
+    for k in range(shards):
+        loads = " UNION ALL ".join(
+            ["SELECT -1 AS shard, 0 AS taken"]
+            + [f"SELECT ask, take FROM round{j}" for j in range(k)]
+        )
+        left = f"SELECT arc, shard, bytes, done + take AS done FROM round{k - 1}" if k else (
+            "SELECT arc, shard, bytes, 0::BIGINT AS done FROM demand"
+        )
+        rounds.append(f"""
+round{k} AS MATERIALIZED (
+  WITH load AS (SELECT s.shard, coalesce(sum(taken), 0)::BIGINT AS load
+                FROM range({shards}) AS s(shard) LEFT JOIN ({loads}) l ON l.shard = s.shard
+                GROUP BY s.shard),
+  asked AS (
+    SELECT a.arc, a.shard, a.bytes, a.done, coalesce(
+      first_value(CASE WHEN load < capacity THEN a.shard END IGNORE NULLS)
+        OVER (ORDER BY arc ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+      first_value(CASE WHEN load < capacity THEN a.shard END IGNORE NULLS)
+        OVER (ORDER BY arc ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS ask
+    FROM ({left}) a JOIN load USING (shard), capacity)
+  SELECT arc, a.shard, bytes, ask, done, greatest(0, least(bytes - done,
+      capacity - load - coalesce(sum(bytes - done) OVER (PARTITION BY ask ORDER BY arc
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS take
+  FROM asked a JOIN load ON load.shard = ask, capacity)""")
+    pieces = " UNION ALL ".join(
+        f"SELECT arc, ask AS shard, done AS begins, done + take AS ends FROM round{k} WHERE take > 0"
+        for k in range(shards)
+    )
+    return f"""
+WITH {_CRC},
+points AS (
+  SELECT (i % {shards})::INT AS shard,
+         {_hash60(f"'node-' || (i % {shards}) || '-' || (i // {shards})")} AS high
+  FROM range({shards * nodes}) AS n(i)),
+ordered AS (
+  SELECT row_number() OVER (ORDER BY high, shard) AS arc, shard,
+         lag(high, 1, -1) OVER (ORDER BY high, shard) AS low, high FROM points),
+arcs AS MATERIALIZED (
+  SELECT * FROM ordered UNION ALL
+  SELECT max(arc) + 1, arg_min(shard, arc), max(high), {2**60 - 1} FROM ordered),
+rows_ AS MATERIALIZED (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT + 1 AS size, crc,
+         {_hash60("text")} AS place
+  FROM documents LEFT JOIN crcs USING (text)),
+located AS MATERIALIZED (
+  SELECT r.*, arc, coalesce(sum(size) OVER (PARTITION BY arc ORDER BY place, doc_id, crc
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_
+  FROM rows_ r JOIN arcs ON place > low AND place <= high),
+demand AS MATERIALIZED (
+  SELECT arc, shard, coalesce(sum(size), 0)::BIGINT AS bytes
+  FROM arcs LEFT JOIN located USING (arc) GROUP BY arc, shard),
+capacity AS MATERIALIZED (
+  SELECT (sum(bytes) * {1000 + slack} // {1000 * shards} + 1)::BIGINT AS capacity FROM demand),
+{",".join(rounds)},
+pieces AS ({pieces}),
+grouped AS (
+  SELECT *, sum(size) OVER (PARTITION BY place) AS together,
+         min(start_) OVER (PARTITION BY place) AS opens FROM located),
+anchored AS (
+  SELECT *, CASE WHEN together * {together} <= capacity THEN opens + together // 2
+                 ELSE start_ + size // 2 END AS anchor
+  FROM grouped, capacity),
+placed AS (
+  SELECT a.*, p.shard FROM anchored a
+  JOIN pieces p ON p.arc = a.arc AND anchor >= begins AND anchor < ends)
+SELECT doc_id, size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard::INT AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY place, doc_id, crc) - 1 AS slot,
+       NULL::INT AS grown_shard
+FROM placed
+"""
+
+
+_MIX = f"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORDS}))::BIGINT AS size,
+         {_hash60("doc_id")} AS h
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+  FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][place % 3 + 1] AS weight, 3 * source_size AS most FROM s),
+r AS (
+  SELECT *, row_number() OVER ratio AS turn,
+         sum(source_size) OVER () - coalesce(sum(most) OVER (
+           ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           AS rest,
+         sum(weight) OVER (ORDER BY most / weight, place
+           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+  FROM w WINDOW ratio AS (ORDER BY most / weight, place)),
+level AS (
+  SELECT turn AS first_, rest AS rest_, weights AS weights_ FROM r
+  WHERE most * weights >= weight * rest ORDER BY turn LIMIT 1),
+t AS (
+  SELECT source, source_size, CASE WHEN turn < first_ THEN most::DOUBLE
+         ELSE (weight * rest_)::DOUBLE / weights_::DOUBLE END AS target
+  FROM r, level),
+o AS (
+  SELECT d.*, source_size, target, floor(target)::BIGINT AS budget,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM o)
+SELECT doc_id, size, source_size, target,
+       (epochs * size + least(greatest(budget - epochs * source_size - before, 0), size))::BIGINT
+         AS taken
+FROM e
+"""
+
+_WARC = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+         sha1(coalesce(html, '')) AS digest
+  FROM pages),
+o AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS original FROM p),
+c AS (
+  SELECT *, list_transform(range(4), lambda k: ('0x' || substr(digest, 10 * k + 1, 10))::BIGINT)
+         AS chunks FROM o)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr(
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((chunks[k // 8 + 1] >> (35 - 5 * (k % 8))) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = original THEN NULL ELSE original END AS refers_to
+FROM c
+"""
+
+_NEAR = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    {_WORDS}) AS words FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(words) - 3, 2)),
+    lambda i: md5(array_to_string(words[i:i + 4], ' ')))) AS shingle
+  FROM w WHERE len(words) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS common
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY i, j),
+links AS MATERIALIZED (
+  SELECT i, j FROM shared JOIN n x ON x.doc_id = i JOIN n y ON y.doc_id = j
+  WHERE 100 * common >= 75 * (x.n + y.n - common)),
+reach AS (
+  SELECT i AS a, j AS b FROM links UNION SELECT j, i FROM links
+  UNION SELECT r.a, CASE WHEN l.i = r.b THEN l.j ELSE l.i END
+  FROM reach r JOIN links l ON l.i = r.b OR l.j = r.b),
+c AS (SELECT a, least(a, min(b)) AS component FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles,
+       coalesce(component, d.doc_id) AS component_id, d.doc_id = coalesce(component, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_ring_shards": _ring(),
+    "op6_mix_sources": _MIX,
+    "op8_warc_revisits": _WARC,
+    "op9_minhash_bayes": _NEAR,
+}
