@@ -249,8 +249,8 @@ def leaks(
     `(key, item, windows, found, coverage, slots, changed, reparameterised)`: how many of the
     item's template windows there are and are found, its slots in them, and how many of
     these have another value in the document. An alignment (document place minus item place)
-    counts only if it is consistent: one value of the item always meets one value of the
-    document. Windows with fewer than LEAST_LITERALS words that are not slots are no evidence.
+    is consistent if one value of the item always meets one value of the document; of an
+    inconsistent one only the windows with the item's own values count. Windows with fewer than LEAST_LITERALS words that are not slots are no evidence.
 
     A bitmap of fixed size, made from the benchmark's windows, lets candidate windows
     through; an exact join on the window's hash follows, so documents' windows are shuffled
@@ -282,16 +282,29 @@ def leaks(
         "place",
         F.arrays_zip(F.col("slots").alias("mine"), F.col("_slots").alias("theirs")).alias("_pairs"),
     ).distinct()
+    unchanged = F.forall("_pairs", lambda p: p["mine"] == p["theirs"])
     # one item's places on one alignment: bounded by the item
     runs = (
         aligned.groupBy("_doc", "_item", "_shift")
         .agg(
             F.collect_set("place").alias("_places"),
-            F.array_distinct(F.flatten(F.collect_list("_pairs"))).alias("_pairs"),
+            F.collect_set(F.when(unchanged, F.col("place"))).alias("_verbatim"),
+            F.array_distinct(F.flatten(F.collect_list("_pairs"))).alias("_all"),
+            F.array_distinct(F.flatten(F.collect_list(F.when(unchanged, F.col("_pairs"))))).alias(
+                "_same"
+            ),
         )
-        .filter(
-            F.size("_pairs")
-            == F.size(F.array_distinct(F.transform("_pairs", lambda p: p["mine"])))
+        .withColumn(
+            "_consistent",
+            F.size("_all") == F.size(F.array_distinct(F.transform("_all", lambda p: p["mine"]))),
+        )
+        .select(
+            "_doc",
+            "_item",
+            F.when(F.col("_consistent"), F.col("_places"))
+            .otherwise(F.col("_verbatim"))
+            .alias("_places"),
+            F.when(F.col("_consistent"), F.col("_all")).otherwise(F.col("_same")).alias("_pairs"),
         )
     )
     total = items.groupBy("id").agg(F.count_distinct("place", "hash").alias("windows"))

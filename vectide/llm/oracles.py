@@ -24,7 +24,7 @@ crcs AS (
 """
 
 
-def _ring(shards: int = 16, nodes: int = 64, slack: int = 10, together: int = 10) -> str:
+def _ring(shards: int = 16, nodes: int = 64, slack: int = 2, together: int = 10) -> str:
     """The ring with its rounds written out; at most `shards` of them."""
     rounds = []
     for k in range(shards):

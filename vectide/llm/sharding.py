@@ -11,11 +11,12 @@ from .common import HASH_BITS, hash60, ordered_parts, running_total
 
 VIRTUAL_NODES = 64
 # a shard takes at most this many thousandths above the mean
-SLACK = 10
+SLACK = 2
 # equal texts stay together up to this share of a shard; larger groups are dealt by row
 TOGETHER = 10
 # the ring is cut into so many equal slices to find a key's arc by an equi-join
 SLICES = 4096
+ROUNDS_A_WRITE = 4
 
 
 def ring_arcs(spark: SparkSession, shards: int, virtual_nodes: int) -> DataFrame:
@@ -48,63 +49,72 @@ def ring_arcs(spark: SparkSession, shards: int, virtual_nodes: int) -> DataFrame
     return arcs.unionByName(last)
 
 
-def _place(spark: SparkSession, demand: DataFrame, shards: int, capacity: int) -> DataFrame:
+def _round(arcs: DataFrame, shards: int, capacity: int) -> DataFrame:
+    """What each arc has left asks the next shard clockwise that is not full.
+
+    Shards accept in ring order until they are full. Every row carries all loads.
+    """
+    ring = Window.partitionBy(F.lit(0)).orderBy("arc")
+    onward = ring.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    asked_before = (
+        Window.partitionBy("ask").orderBy("arc").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    not_full = F.when(F.get("loads", F.col("shard")) < capacity, F.col("shard"))
+    left = F.col("bytes") - F.col("done")
+    ahead = F.coalesce(F.sum(left).over(asked_before), F.lit(0))
+    free = F.lit(capacity) - F.get("loads", F.col("ask")) - ahead
+    taking = arcs.withColumn(
+        "ask",
+        F.coalesce(
+            F.first(not_full, ignorenulls=True).over(onward),
+            F.first(not_full, ignorenulls=True).over(whole),
+        ),
+    ).withColumn("take", F.coalesce(F.greatest(F.least(left, free), F.lit(0)), F.lit(0)))
+    by_shard = F.array(
+        *[
+            F.coalesce(F.sum(F.when(F.col("ask") == s, F.col("take"))).over(whole), F.lit(0))
+            for s in range(shards)
+        ]
+    )
+    end = F.col("done") + F.col("take")
+    piece = F.array(
+        F.struct(F.col("ask").alias("shard"), F.col("done").alias("begin"), end.alias("end"))
+    )
+    return taking.withColumn("added", by_shard).select(
+        "arc",
+        "shard",
+        "bytes",
+        end.alias("done"),
+        F.zip_with("loads", "added", lambda x, y: x + y).alias("loads"),
+        F.when(F.col("take") > 0, F.concat("pieces", piece))
+        .otherwise(F.col("pieces"))
+        .alias("pieces"),
+    )
+
+
+def _place(demand: DataFrame, shards: int, capacity: int) -> DataFrame:
     """Splits each arc's bytes among shards: `(arc, shard, begin, end)`.
 
-    Every round, what an arc has left asks the next shard clockwise that is not full;
-    shards accept in ring order until they are full. Each round fills a shard or ends,
-    so there are at most `shards` rounds, over a table of fixed size.
+    Each round fills a shard or ends, so there are at most `shards` rounds, over a table of
+    fixed size that is written after every few of them.
     """
-    width = Window.partitionBy("ask").orderBy("arc").rowsBetween(Window.unboundedPreceding, -1)
-    onward = Window.orderBy("arc").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.orderBy("arc").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    arcs = cut(demand.withColumn("done", F.lit(0).cast("long")))
-    pieces: list[DataFrame] = []
-    while arcs.filter("bytes > done").limit(1).count():
-        taken = spark.range(0, shards, 1, 1).select(F.col("id").cast("int").alias("shard"))
-        taken = taken.withColumn("load", F.lit(0).cast("long"))
-        for piece in pieces:
-            taken = taken.unionByName(
-                piece.select("shard", (F.col("end") - F.col("begin")).alias("load"))
-            )
-        loads = taken.groupBy("shard").agg(F.sum("load").alias("load"))
-        room = F.when(F.col("load") < capacity, F.struct("shard", "load"))
-        asking = (
-            arcs.join(F.broadcast(loads), "shard")  # one row per shard
-            .withColumn(
-                "to",
-                F.coalesce(
-                    F.first(room, ignorenulls=True).over(onward),
-                    F.first(room, ignorenulls=True).over(whole),
-                ),
-            )
-            .withColumn("ask", F.col("to.shard"))
-            .withColumn("left", F.col("bytes") - F.col("done"))
-        )
-        ahead = F.coalesce(F.sum("left").over(width), F.lit(0))
-        free = F.lit(capacity) - F.col("to.load") - ahead
-        step = cut(
-            asking.withColumn("take", F.greatest(F.least("left", free), F.lit(0))).select(
-                "arc", "shard", "bytes", "ask", "done", "take"
-            )
-        )
-        pieces.append(
-            step.filter("take > 0").select(
-                "arc",
-                F.col("ask").alias("shard"),
-                F.col("done").alias("begin"),
-                (F.col("done") + F.col("take")).alias("end"),
-            )
-        )
-        arcs = step.select("arc", "shard", "bytes", (F.col("done") + F.col("take")).alias("done"))
-    result = demand.limit(0).select(
-        "arc", "shard", F.col("bytes").alias("begin"), F.col("bytes").alias("end")
+    nothing = F.array().cast("array<struct<shard:int,begin:bigint,end:bigint>>")
+    arcs = demand.select(
+        "arc",
+        "shard",
+        "bytes",
+        F.lit(0).cast("long").alias("done"),
+        F.array_repeat(F.lit(0).cast("long"), shards).alias("loads"),
+        nothing.alias("pieces"),
     )
-    for piece in pieces:
-        result = result.unionByName(piece)
-    return result
+    for turn in range(1, shards + 1):
+        arcs = _round(arcs, shards, capacity)
+        if turn % ROUNDS_A_WRITE == 0 or turn == shards:
+            arcs = cut(arcs)
+            if arcs.filter("bytes > done").isEmpty():
+                break
+    return arcs.select("arc", F.explode("pieces").alias("_piece")).select("arc", "_piece.*")
 
 
 def ring_shards(
@@ -171,7 +181,7 @@ def ring_shards(
     )
     total = demand.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     capacity = total * (1000 + slack) // (1000 * shards) + 1
-    pieces = _place(spark, demand, shards, capacity)
+    pieces = _place(demand, shards, capacity)
 
     # a group's rows are spread over parts: totals go back by part and place
     groups = located.groupBy("_part", "_place").agg(
