@@ -247,7 +247,7 @@ def leaks(
     """One row per document and benchmark item that leaks into it.
 
     `(key, item, windows, found, coverage, slots, changed, reparameterised)`: how many of the
-    item's template windows there are and are found, its slots in them, and how many of
+    item's different template windows there are and are found, its slots in them, and how many of
     these have another value in the document. An alignment (document place minus item place)
     is consistent if one value of the item always meets one value of the document; of an
     inconsistent one only the windows with the item's own values count. Windows with fewer than LEAST_LITERALS words that are not slots are no evidence.
@@ -260,7 +260,14 @@ def leaks(
     tokens are not searched. Rows that repeat an id, or have none, are one document or
     item each. Empty tables give an empty one. Other columns are not read.
     """
-    items = cut(_texts(benchmark, item, text).mapInArrow(_cut_windows(None, None), _WINDOWS))
+    # a window that an item repeats counts once, at its first place: a document's window meets
+    # each item once
+    every = _texts(benchmark, item, text).mapInArrow(_cut_windows(None, None), _WINDOWS)
+    items = cut(
+        every.groupBy("id", "size", "hash")
+        .agg(F.min(F.struct("place", "slots")).alias("_first"))
+        .select("id", "size", "hash", "_first.*")
+    )
     sizes = [row["size"] for row in items.select("size").distinct().collect()]
     wanted = key_bitmap(items, "hash", _FILTER_BITS)
     if sizes:
@@ -307,7 +314,7 @@ def leaks(
             F.when(F.col("_consistent"), F.col("_all")).otherwise(F.col("_same")).alias("_pairs"),
         )
     )
-    total = items.groupBy("id").agg(F.count_distinct("place", "hash").alias("windows"))
+    total = items.groupBy("id").agg(F.count(F.lit(1)).alias("windows"))
     changed = F.filter("_pairs", lambda p: p["mine"] != p["theirs"])
     return (
         runs.select(
