@@ -72,26 +72,30 @@ def components_of(adjacent):
 
 
 def dense_mcl(weights, inflation):
-    """Cluster name per node: the smallest member."""
-    a = np.array(weights, dtype=float)
-    np.fill_diagonal(a, 0)
-    linked = np.flatnonzero(a.sum(axis=0) > 0)
-    a = a[np.ix_(linked, linked)]
-    np.fill_diagonal(a, a.max(axis=0))
-    m = a / a.sum(axis=0)
-    for _ in range(1000):
-        e = (m @ m) ** inflation
-        e /= e.sum(axis=0)
-        done = np.abs(e - m).max() < 1e-12
-        m = e
-        if done:
+    """Cluster name per node: the smallest member.
+
+    Expands and inflates to a fixed point of the rounded matrix. Its attractors are the nodes
+    with return mass; attractors that share mass are one system, and a node belongs to the
+    system that most of its column's mass is in.
+    """
+    flow = np.array(weights, dtype=float)
+    np.fill_diagonal(flow, 0)
+    loops = flow.max(axis=0)
+    np.fill_diagonal(flow, np.where(loops > 0, loops, 1))
+    flow /= flow.sum(axis=0)
+    while True:
+        grown = np.linalg.matrix_power(flow, 2) ** inflation
+        grown /= grown.sum(axis=0)
+        if np.array_equal(grown.round(12), flow.round(12)):
             break
-    to = np.round(m, 9).argmax(axis=0)
-    tie = np.zeros_like(m)
-    tie[np.arange(len(to)), to] = tie[to, np.arange(len(to))] = 1
-    out = np.arange(len(weights))
-    out[linked] = linked[components_of(tie)]
-    return out
+        flow = grown
+    attractors = np.flatnonzero(np.diag(flow) > 1e-6)
+    shared = flow[np.ix_(attractors, attractors)] > 1e-6
+    system = components_of((shared | shared.T).astype(float))
+    mass = np.zeros((len(attractors), len(flow)))
+    np.add.at(mass, system, flow[attractors])
+    owner = mass.argmax(axis=0)
+    return np.array([np.flatnonzero(owner == k).min() for k in owner])
 
 
 def edges_of(spark, s):

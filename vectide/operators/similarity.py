@@ -96,33 +96,25 @@ def threshold_graph(
 def _forest(rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
     """Positions in (rows, cols) of edges that span the components they form.
 
-    Every round keeps, for each tree, its lightest outgoing edge by position
-    and merges the trees those edges join.
+    Breadth first over adjacency lists sorted by node: each node but the first of its
+    component keeps the edge that reached it.
     """
-    tree = np.arange(n)
+    ends = np.concatenate([rows, cols])
+    order = np.argsort(ends, kind="stable")
+    to, edge = np.concatenate([cols, rows])[order], np.tile(np.arange(len(rows)), 2)[order]
+    first = np.searchsorted(ends[order], np.arange(n + 1))
+    seen = np.zeros(n, dtype=bool)
     kept = []
-    live = np.arange(len(rows))
-    while len(live):
-        a, b = tree[rows[live]], tree[cols[live]]
-        cross = a != b
-        live, a, b = live[cross], a[cross], b[cross]
-        if not len(live):
-            break
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        # one edge per higher tree, towards its lowest neighbour: no cycles
-        order = np.lexsort((low, high))
-        lead = np.ones(len(order), dtype=bool)
-        lead[1:] = high[order][1:] != high[order][:-1]
-        chosen = order[lead]
-        kept.append(live[chosen])
-        parent = np.arange(n)
-        parent[high[chosen]] = low[chosen]
-        while True:
-            above = parent[parent]
-            if np.array_equal(above, parent):
-                break
-            parent = above
-        tree = parent[tree]
+    for seed in np.unique(rows).tolist():
+        front = np.empty(0, dtype=np.int64) if seen[seed] else np.array([seed])
+        seen[front] = True
+        while len(front):
+            spans = [np.arange(first[v], first[v + 1]) for v in front.tolist()]
+            at = np.concatenate(spans)
+            at = at[~seen[to[at]]]
+            front, lead = np.unique(to[at], return_index=True)
+            seen[front] = True
+            kept.append(edge[at[lead]])
     return np.concatenate(kept) if kept else np.empty(0, dtype=np.int64)
 
 
