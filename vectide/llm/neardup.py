@@ -22,6 +22,8 @@ PERCENT = 75
 # a pair at the threshold shares no band with probability (1 - 0.75**5)**30 = 0.0003
 BANDS, BAND_ROWS = 30, 5
 HASHES = BANDS * BAND_ROWS
+# different orders by which buckets choose the member that all are compared with
+HEADS = 3
 # signatures keep 8 bits of each minimum: unequal minima agree by chance in 1 of 256
 CHANCE = 1 / 256
 # pairs are pruned when a link is less likely than this, checked after each batch
@@ -255,8 +257,8 @@ def near_duplicates(
     shorter). Texts with 100 * intersection >= percent * union are linked; a component is
     named by its smallest id, and the row with that id is kept. Texts of the same words
     are one node from the start, whatever their number. Each band bucket compares its
-    members with one of them, drawn anew in each bucket, so a large group costs a row per
-    member and band; members that this leaves in different components are then
+    members with one of them, drawn by one of HEADS orders, so a large group costs a row per
+    member and band and a few pairs per member; members that this leaves in different components are then
     compared with each other. Pairs are pruned batch by batch (`fewest_matches`) and the
     rest is verified on whole sets.
 
@@ -285,20 +287,20 @@ def near_duplicates(
     bands = classes.select(
         "node",
         "n",
-        F.explode(
+        F.posexplode(
             F.transform(
                 F.sequence(F.lit(0), F.lit(BANDS - 1)),
                 lambda b: F.xxhash64(
                     F.substring("signature", b * BAND_ROWS + 1, F.lit(BAND_ROWS)), b
                 ),
             )
-        ).alias("band"),
-    )
+        ).alias("_at", "band"),
+    ).withColumn("turn", F.col("_at") % HEADS)
     heads = (
         bands.groupBy("band")
         .agg(
             F.count(F.lit(1)).alias("_size"),
-            F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node")).alias("_head"),
+            F.min(F.struct(F.xxhash64("node", "turn").alias("h"), "node")).alias("_head"),
         )
         .filter("_size > 1")
         .select("band", F.col("_head.node").alias("head"))
@@ -347,28 +349,18 @@ def near_duplicates(
 def _left_over(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of bucket members in different components that no head has compared.
 
-    Only buckets with several components have any. Members outside the head's component
-    meet all others whose number of shingles allows a link.
+    Only buckets with a member outside the head's component have any. Such members meet all
+    others whose number of shingles allows a link.
     """
-    label = labels.select(F.col("node"), "component")
-    labelled = members.join(label, "node", "left").withColumn(
-        "component", F.coalesce("component", "node")
-    )
-    split = (
-        labelled.groupBy("band")
-        .agg(
-            F.min("component").alias("_low"),
-            F.max("component").alias("_high"),
-            F.max(F.when(F.col("node") == F.col("head"), F.col("component"))).alias("_main"),
-        )
-        .filter("_low != _high")
-        .select("band", "_main")
-    )
-    open_members = cut(
-        labelled.filter("node != head").join(split, "band").select(
-            "band", "node", "n", "component", "_main"
-        )
-    )
+    def component(table: DataFrame, node: str, name: str) -> DataFrame:
+        label = labels.select(F.col("node").alias(node), F.col("component").alias(name))
+        return table.join(label, node, "left").withColumn(name, F.coalesce(name, node))
+
+    compared = members.filter("node != head").select("node", "head").distinct()
+    apart = component(component(compared, "node", "_a"), "head", "_b").filter("_a != _b")
+    split = members.join(apart, ["node", "head"], "left_semi").select("band").distinct()
+    in_split = members.filter("node != head").join(split, "band", "left_semi")
+    open_members = cut(component(component(in_split, "node", "component"), "head", "_main"))
     a, b = open_members.alias("a"), open_members.alias("b")
     return (
         a.filter("a.component != a._main")
