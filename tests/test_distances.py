@@ -119,24 +119,39 @@ def classical(d):
     return np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2)), 100 * v[::-1][:2] / v[v > 0].sum()
 
 
-def test_pcoa_of_the_full_distance(spark, data, monkeypatch):
+def test_pcoa_of_the_full_distance(spark, data):
     z, counts = data
     plot = plot_pcoa(long_counts(spark, counts), catalog(spark, z), drop=0)
     want, _ = classical(dense_mmd(counts, z)[0])
     table = plot.data.toPandas().sort_values("sample_id")
     assert np.allclose(gaps(table), want, atol=1e-8)
     assert plot.labels["message"] is None
-    # the same axes when the matrix is never gathered
-    import vectide.operators.ordination as ordination
-
-    monkeypatch.setattr(ordination, "DIRECT_SAMPLES", 2)
     samples = spark.createDataFrame([(f"s{i}", i) for i in range(6)], "sample_id string, ord long")
     d = sample_mmd(long_counts(spark, counts), catalog(spark, z))
-    points, share = pcoa(d, samples)
+    points, values, trace = pcoa(d, samples)
     assert np.allclose(gaps(points.toPandas().sort_values("sample_id")), want, atol=1e-6)
+    share = 100 * np.array(values) / trace
     assert np.allclose(share, classical(dense_mmd(counts, z)[0])[1], atol=1e-4)
 
 
+def test_pcoa_of_a_distance_that_is_not_euclidean(spark):
+    # more samples than a few blocks span, and large negative eigenvalues
+    n = 60
+    rng = np.random.default_rng(3)
+    d = np.abs(rng.normal(1, 0.4, (n, n)))
+    d = np.triu(d, 1) + np.triu(d, 1).T
+    cells = [(f"s{i}", f"s{j}", float(d[i, j])) for i in range(n) for j in range(i + 1, n)]
+    samples = spark.createDataFrame([(f"s{i}", i) for i in range(n)], "sample_id string, ord long")
+    frame = spark.createDataFrame(cells, "sample_a string, sample_b string, distance double")
+    points, values, trace = pcoa(frame, samples)
+    j = np.eye(n) - 1 / n
+    v, w = np.linalg.eigh(-0.5 * j @ d**2 @ j)
+    assert np.allclose(values, v[::-1][:2]) and np.isclose(trace, v.sum())
+    table = points.orderBy("ord").select("pco1", "pco2").toPandas().to_numpy()
+    want = w[:, ::-1][:, :2] * np.sqrt(v[::-1][:2])
+    assert np.allclose(np.abs(table), np.abs(want), atol=1e-6)
+
+
 def test_pcoa_drops_the_heaviest_region(spark, data):
     z, counts = data
     big = counts.copy()

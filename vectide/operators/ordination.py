@@ -35,9 +35,10 @@ from .distances import (
 from .similarity import threshold_links
 from .tiles import TILE_ROWS
 
-# a centred matrix of up to this many samples is decomposed directly
-DIRECT_SAMPLES = 1000
 _EXTRA_AXES = 8
+# products of the centred matrix with a block of vectors before giving up
+_MOST_PRODUCTS = 60
+_RESIDUAL = 1e-11
 _MASS_DECIMALS = 12
 
 
@@ -107,61 +108,66 @@ def centred(distances: DataFrame, order: DataFrame) -> DataFrame:
     )
 
 
+def _image(b: DataFrame, ids: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """The matrix times a block of vectors, as a Spark aggregate."""
+    names = [f"q{c}" for c in range(block.shape[1])]
+    q = pd.DataFrame(block, columns=names)
+    q.insert(0, "sb", ids)
+    return (
+        b.join(b.sparkSession.createDataFrame(q), "sb")
+        .groupBy("sa")
+        .agg(*[F.sum(F.col("b") * F.col(n)).alias(n) for n in names])
+        .toPandas()
+        .sort_values("sa")[names]
+        .to_numpy()
+    )
+
+
 def _top_axes(b: DataFrame, ids: np.ndarray, k: int):
-    """Leading eigenpairs by subspace iteration; products are Spark aggregates."""
-    spark = b.sparkSession
-    b = cut(b)
+    """The k largest eigenpairs by a block Krylov method; products are Spark aggregates.
+
+    The basis grows by the image of its last block, and the largest (not the largest in size)
+    Ritz values are taken, so negative eigenvalues cannot crowd the block. It ends when
+    the pairs' residuals vanish or the basis spans all samples.
+    """
     width = min(len(ids), k + _EXTRA_AXES)
-    basis = np.linalg.qr(np.random.default_rng(0).normal(size=(len(ids), width)))[0]
-    trace = b.filter("sa = sb").agg(F.sum("b")).first()[0]
-    names = [f"q{c}" for c in range(width)]
-    last = np.zeros(width)
-    for _ in range(300):
-        q = pd.DataFrame(basis, columns=names)
-        q.insert(0, "sb", ids)
-        image = (
-            b.join(spark.createDataFrame(q), "sb")
-            .groupBy("sa")
-            .agg(*[F.sum(F.col("b") * F.col(n)).alias(n) for n in names])
-            .toPandas()
-            .sort_values("sa")[names]
-            .to_numpy()
-        )
-        ritz, turn = np.linalg.eigh(basis.T @ image)
-        ritz, turn = ritz[::-1], turn[:, ::-1]
+    block = np.linalg.qr(np.random.default_rng(0).normal(size=(len(ids), width)))[0]
+    basis = np.empty((len(ids), 0))
+    images = np.empty((len(ids), 0))
+    for _ in range(_MOST_PRODUCTS):
+        basis = np.hstack([basis, block])
+        images = np.hstack([images, _image(b, ids, block)])
+        small = basis.T @ images
+        ritz, turn = np.linalg.eigh((small + small.T) / 2)
+        ritz, turn = ritz[::-1][:k], turn[:, ::-1][:, :k]
         vectors = basis @ turn
-        if np.abs(ritz[:k] - last[:k]).max() <= 1e-12 * np.abs(ritz).max():
-            break
-        last = ritz
-        basis = np.linalg.qr(image)[0]
-    return ritz[:k], vectors[:, :k], trace
+        residual = np.linalg.norm(images @ turn - vectors * ritz, axis=0).max()
+        if residual <= _RESIDUAL * max(np.abs(ritz).max(), 1e-300):
+            return ritz, vectors
+        fresh = images[:, -block.shape[1] :]
+        for _ in range(2):
+            fresh = fresh - basis @ (basis.T @ fresh)
+        u, size, _ = np.linalg.svd(fresh, full_matrices=False)
+        room = len(ids) - basis.shape[1]
+        block = u[:, size > 1e-13 * max(np.abs(ritz).max(), 1e-300)][:, :room]
+        if not block.shape[1]:
+            return ritz, vectors
+    raise RuntimeError(f"Principal coordinates did not converge: residual {residual:.1e}.")
 
 
 def pcoa(distances: DataFrame, samples: DataFrame, k: int = 2):
-    """Classical scaling: coordinates `(sample_id, ord, pco1..k)` and axis shares.
+    """Classical scaling: `(sample_id, ord, pco1..k)`, eigenvalues, and the trace.
 
-    `samples` is `(sample_id, ord)`. Up to `DIRECT_SAMPLES` samples the centred
-    matrix is decomposed directly. Beyond, only vectors of one value per sample
-    leave Spark, and the share of an axis is of the trace, which equals the sum
-    of positive eigenvalues for Euclidean distances such as MMD. An axis points
-    to the side of its largest coordinate.
+    `samples` is `(sample_id, ord)`. The trace is the sum of all eigenvalues; for Euclidean
+    distances such as MMD it is the sum of the positive ones. Only blocks of one value per
+    sample leave Spark, at every size. An axis points to the side of its largest
+    coordinate.
     """
     order = samples.select("sample_id", F.col("ord").cast("long").alias("ord"))
-    b = centred(distances, order)
-    n = order.count()
-    if n <= DIRECT_SAMPLES:
-        cells = b.toPandas()
-        ids = np.unique(cells["sa"].to_numpy())
-        dense = np.zeros((len(ids), len(ids)))
-        dense[
-            np.searchsorted(ids, cells["sa"]), np.searchsorted(ids, cells["sb"])
-        ] = cells["b"]
-        values, vectors = np.linalg.eigh((dense + dense.T) / 2)
-        values, vectors = values[::-1], vectors[:, ::-1]
-        positive = values[values > 0].sum()
-    else:
-        ids = order.select("ord").orderBy("ord").toPandas()["ord"].to_numpy()
-        values, vectors, positive = _top_axes(b, ids, k)
+    b = cut(centred(distances, order))
+    ids = order.select("ord").orderBy("ord").toPandas()["ord"].to_numpy()
+    trace = b.filter("sa = sb").agg(F.sum("b")).first()[0]
+    values, vectors = _top_axes(b, ids, k)
     floor = 1e-12 * max(abs(values[0]), 1e-300)
     if len(values) < k or values[k - 1] <= floor:
         raise InvalidInput(
@@ -173,8 +179,7 @@ def pcoa(distances: DataFrame, samples: DataFrame, k: int = 2):
     table = pd.DataFrame(axes, columns=[f"pco{c + 1}" for c in range(k)])
     table.insert(0, "ord", ids)
     points = order.join(distances.sparkSession.createDataFrame(table), "ord")
-    share = [float(100.0 * v / positive) for v in values[:k]]
-    return points.select("sample_id", "ord", *table.columns[1:]), share
+    return points.select("sample_id", "ord", *table.columns[1:]), values.tolist(), float(trace)
 
 
 def _hull(points: np.ndarray) -> np.ndarray:
@@ -352,7 +357,9 @@ def plot_pcoa(
         weights, x, order, int(drop), float(min_sim), weighted, sigma, tile_rows
     )
     distances = mmd_of_weights(survivors, x, order, sigma, tile_rows)
-    points, share = pcoa(distances, order)
+    # MMD is Euclidean: the trace is the sum of the positive eigenvalues
+    points, values, trace = pcoa(distances, order)
+    share = [100.0 * value / trace for value in values]
     labels = {
         "x": f"PCo1 ({share[0]:.0f}%)",
         "y": f"PCo2 ({share[1]:.0f}%)",

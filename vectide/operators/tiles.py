@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from ..session import cut, task_slots
 
 TILE_ROWS = 2048
+# blocks are not cut smaller than this to keep cores busy
+_LEAST_ROWS = 64
 _MAX_PIVOTS = 1024
 _ANGLE_SLACK = 1e-6
 
@@ -65,6 +67,12 @@ def _apply(placed: DataFrame, tiles: int, key: str, fn: TileFn, schema: str):
     )
 
 
+def _least_blocks(rows: DataFrame, total: int) -> int:
+    """Blocks that give every core several tiles, while tiles are worth a task."""
+    wanted = math.isqrt(8 * rows.sparkSession.sparkContext.defaultParallelism)
+    return min(wanted, total // _LEAST_ROWS)
+
+
 def map_tiles(
     rows: DataFrame,
     key: str,
@@ -75,7 +83,7 @@ def map_tiles(
 ) -> DataFrame:
     """Run `fn` once for every unordered pair of blocks of `rows`."""
     total = rows.count() if count is None else count
-    blocks = max(1, math.ceil(total / tile_rows))
+    blocks = max(1, math.ceil(total / tile_rows), _least_blocks(rows, total))
     block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     partners = F.transform(
         F.sequence(F.lit(0), F.lit(blocks - 1)),

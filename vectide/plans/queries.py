@@ -368,7 +368,10 @@ def align_score(t: Inputs) -> DataFrame:
 @query
 def evalue_gate(t: Inputs) -> DataFrame:
     """Linked vectors whose documents align significantly, whole texts."""
-    scored = align_pairs(threshold_graph(t.vectors(), CLUSTER), t.texts(), 0.01)
+    texts = t.texts()
+    # a pair needs both texts: some tables hold more vectors than documents
+    known = t.vectors().join(texts.select("protein_id"), "protein_id", "left_semi")
+    scored = align_pairs(threshold_graph(known, CLUSTER), texts, 0.01)
     return scored.select("i", "j", _r("weight"), "score")
 
 
@@ -419,7 +422,7 @@ def pcoa_centered(t: Inputs) -> DataFrame:
 
 @query
 def pcoa(t: Inputs) -> DataFrame:
-    points, _ = ordination.pcoa(_mmd(t), t.samples())
+    points, _, _ = ordination.pcoa(_mmd(t), t.samples())
     return points.select("sample_id", _r("pco1", places=5), _r("pco2", places=5))
 
 
