@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut
-from .common import hash60
+from .common import hash_sample
 
 NEIGHBOURS = 10
 # vectors that centroids are fitted on, lists at most, and rounds of the fit
@@ -215,7 +215,7 @@ def nearest(
     rows = cut(clean_vectors(df, key, vector))
     total = rows.count()
     asked = clean_vectors(queries, key, vector)
-    sample = rows.orderBy(hash60(F.col("id")), "id").limit(SAMPLE).toPandas()
+    sample = hash_sample(rows, "id", SAMPLE, "vector").toPandas()
     if not total:
         return rows.sparkSession.createDataFrame([], schema).select(
             "query_id", F.lit(0).alias("rank"), "vec_id", "score"

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import hash60, held_out
+from .common import hash_sample, held_out
 
 # trusted positives and unlabelled documents that weights are fitted on, at most
 FIT_POSITIVES, FIT_UNLABELLED = 20_000, 20_000
@@ -213,7 +213,7 @@ def quality_scores(
     learnable = shapes.filter(~held_out(F.col("id")))
 
     def bounded(rows: DataFrame, most: int) -> np.ndarray:
-        some = rows.orderBy(hash60(F.col("id")), "id", *FEATURES).limit(most).toPandas()
+        some = hash_sample(rows, "id", most, *FEATURES).toPandas()
         return some[list(FEATURES)].to_numpy(np.float64)
 
     positive = bounded(learnable.join(trusted, "id", "left_semi"), fit_positives)

@@ -66,10 +66,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that sources meet their target shares of words."""
     copies = mix_sources(docs).select(F.col("doc_id").alias("_id"), F.col("copies").alias("_n"))
     copies = copies.groupBy("_id").agg(F.max("_n").alias("_n")).filter("_n > 0")
+    spare = "_copy"
+    while spare in docs.columns:
+        spare += "_"
     return (
         docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-        .withColumn("_copy", F.explode(F.expr("sequence(1, _n)")))
-        .select(*[docs[c] for c in docs.columns])
+        .select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), copies["_n"])).alias(spare))
+        .drop(spare)
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import hash60, held_out
+from .common import hash_sample, held_out
 
 # labelled rows of each label that lexicon and weights are learned from, at most
 FIT_ROWS = 10_000
@@ -259,8 +259,7 @@ def fitted_rows(labels: DataFrame, key: str, label: str, most: int = FIT_ROWS) -
         .agg(F.max("label").alias("label"))
     )
     parts = [
-        rows.filter(F.col("label") == value).orderBy(hash60(F.col("id")), "id").limit(most)
-        for value in (0, 1)
+        hash_sample(rows.filter(F.col("label") == value), "id", most) for value in (0, 1)
     ]
     return cut(parts[0].unionByName(parts[1]))
 
