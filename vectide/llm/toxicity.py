@@ -58,6 +58,8 @@ class Automaton:
         self._children: list[dict[str, int]] = [{}]
         self._weight: list[float] = [0.0]
         self._stem: list[bool] = [False]
+        # ends of terms that may be misspelled, and nodes with such an end below
+        self._long: list[bool] = [False]
         self._fuzzy: list[bool] = [False]
         for term, weight in weights.items():
             self._add(term.rstrip("*"), term.endswith("*"), weight)
@@ -78,12 +80,14 @@ class Automaton:
                 self._children.append({})
                 self._weight.append(0.0)
                 self._stem.append(False)
+                self._long.append(False)
                 self._fuzzy.append(False)
             node = nxt
             self._fuzzy[node] |= fuzzy
         if weight > self._weight[node]:
             self._weight[node] = weight
         self._stem[node] |= stem
+        self._long[node] |= fuzzy
 
     def _closed(self, places: set[tuple[int, int]]) -> frozenset:
         """With missing letters entered; places one edit off need a longer term below."""
@@ -140,7 +144,7 @@ class Automaton:
                         best = (0, self._weight[node])
         for node, edits in self._sets[state]:
             weight = self._weight[node]
-            if not weight or (edits and (self._stem[node] or not self._fuzzy[node])):
+            if not weight or (edits and not self._long[node]):
                 continue
             if best is None or (edits, -weight) < (best[0], -best[1]):
                 best = (edits, weight)
