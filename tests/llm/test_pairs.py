@@ -182,6 +182,32 @@ def test_leaks_are_the_windows_shared_by_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 10
 
 
+def test_letter_case_hides_no_leak(spark):
+    accents = "Über den Öfen im Ärmelkanal schlief Émile neben Zoë und Ängsten aus Übermut."
+    short = "What colour is the tall tower"
+    swapped = PROBLEM.replace("Alice", "Carol").replace("Bob", "Dan").replace("How", "The")
+    the = PROBLEM.replace("How", "The")
+    texts = {
+        1: f"{spelled(2, 30)}. {PROBLEM.upper()}",
+        2: f"{spelled(3, 30)}. {PROBLEM.lower()}",
+        3: f"{the} {spelled(4, 30)} and so The {spelled(5, 30)}.",
+        4: f"{swapped} {spelled(6, 30)} and so The {spelled(7, 30)}.",
+        5: f"1) {short}",
+        6: accents.upper(),
+        7: spelled(8, 300).title(),
+        8: spelled(9, 300).upper(),
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = spark.createDataFrame(
+        [(1, PROBLEM), (2, the), (3, short), (4, accents)], "item_id long, text string"
+    )
+    rows = {(r.doc_id, r.item_id): r for r in leaks(docs, items).collect()}
+    want = {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 4)}
+    assert want <= set(rows) and not {d for d, _ in rows} & {7, 8}
+    assert rows[1, 1].coverage == rows[2, 1].coverage == rows[3, 2].coverage == 1
+    assert not rows[1, 1].reparameterised and rows[4, 2].reparameterised
+
+
 def test_leaks_of_awkward_rows(spark):
     docs = awkward(spark)
     items = awkward(spark).withColumnRenamed("doc_id", "item_id")

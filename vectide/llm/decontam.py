@@ -39,6 +39,8 @@ UNITS = (
     "volt volts joule joules byte bytes kb mb gb"
 ).split()
 LITERAL, NUMBER, NAME, UNIT = range(4)
+# how a text is read for names: by context, not at all (case folded), every capitalised word
+TYPED, FOLDED, CAPITALS = READINGS = range(3)
 
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -73,6 +75,11 @@ def _hashes(data: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> np.ndar
     return mixed(np.add.reduceat(values, starts))
 
 
+def _folded(text: bytes) -> bytes:
+    """Without the case of letters beyond ASCII, which the hashes fold by themselves."""
+    return text.decode("utf-8", "replace").casefold().encode()
+
+
 def _among(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes are in a sorted table."""
     return table[np.searchsorted(table, hashes).clip(max=len(table) - 1)] == hashes
@@ -87,14 +94,20 @@ def _known(words: list[str]) -> np.ndarray:
     )
 
 
-def templates(texts: list[bytes]) -> Template:
+def templates(texts: list[bytes], reading: int = TYPED) -> Template:
     """The templates of a block of texts, one after the other.
 
     Tokens are runs of letters or of digits (with points and commas between digits).
-    Numbers, number words, units after a number, and names become placeholders; a
-    name is a capitalised word that does not start a sentence, and the same word where it
-    does. Runs of numbers or of names are one slot.
+    Numbers, number words, units after a number, and names become placeholders. Runs of
+    numbers or of names are one slot.
+
+    Read as TYPED, a name is a capitalised word that does not start a sentence, and the same
+    word where it does. That depends on the text's own use of capitals, so there are two
+    more readings: FOLDED has no names and no case; for CAPITALS every capitalised word is
+    a name, whatever stands elsewhere in the text, and a run of names ends with its sentence.
     """
+    if reading == FOLDED:
+        texts = [t if t.isascii() else _folded(t) for t in texts]
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     limits = np.cumsum([len(text) + 1 for text in texts])
     digit = _DIGIT[data]
@@ -129,12 +142,16 @@ def templates(texts: list[bytes]) -> Template:
     upper = _UPPER[heads] | ((heads == 0xC3) & (data[starts + 1] < 0x9F))
     upper &= kinds == LITERAL
     names = upper & ~opens
-    if names.any():
+    if reading == CAPITALS:
+        kinds[upper] = NAME
+    elif reading == TYPED and names.any():
         own = hashes ^ mixed(owners.astype(np.uint64))
         kinds[upper & _among(np.unique(own[names]), own)] = NAME
 
     new = ~same | (kinds == LITERAL) | (kinds == UNIT)
     new[1:] |= kinds[1:] != kinds[:-1]
+    if reading == CAPITALS:
+        new |= opens & (kinds == NAME)
     slots = np.flatnonzero(new)
     place = np.arange(len(starts)) - slots[np.cumsum(new) - 1]
     values = mixed(np.add.reduceat(hashes * (2 * place + 1).astype(np.uint64), slots))
@@ -149,6 +166,7 @@ def templates(texts: list[bytes]) -> Template:
 _NUMBER_HASHES = _known(NUMBER_WORDS)
 _UNIT_HASHES = _known(UNITS)
 _PLACEHOLDER = mixed(np.arange(1, 5, dtype=np.uint64))
+_TAG = mixed(np.arange(len(READINGS), dtype=np.uint64)).view(np.int64)
 
 
 def windows(found: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,10 +183,11 @@ def windows(found: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at, mixed(total[at]).view(np.int64)
 
 
-_WINDOWS = "id long, size int, hash long, place int, slots array<long>"
+_WINDOWS = "id long, reading int, size int, hash long, place int, slots array<long>"
 _SCHEMA = pa.schema(
     [
         ("id", pa.int64()),
+        ("reading", pa.int32()),
         ("size", pa.int32()),
         ("hash", pa.int64()),
         ("place", pa.int32()),
@@ -196,13 +215,17 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
 def _cut_windows(
     sizes: list[int] | None, wanted: np.ndarray | None
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Windows of `sizes` whose hash is wanted; without `sizes`, of each item's own size."""
+    """Windows of `sizes` whose hash is wanted; without `sizes`, of each item's own size.
 
-    def rows(ids: list, texts: list[bytes]) -> Iterator[tuple]:
-        found = templates(texts)
+    In every reading; a hash holds its reading, so the bitmap tells readings apart.
+    """
+
+    def rows(ids: list, texts: list[bytes], reading: int) -> Iterator[tuple]:
+        found = templates(texts, reading)
         lengths = np.bincount(found.owners, minlength=len(texts))
         for size in sizes or range(LEAST_TOKENS, WINDOW + 1):
             at, hashes = windows(found, size)
+            hashes ^= _TAG[reading]
             if sizes is None:
                 fit = np.minimum(lengths[found.owners[at]], WINDOW) == size
             else:
@@ -212,6 +235,7 @@ def _cut_windows(
                 slots = found.values[span][found.kinds[span] != LITERAL]
                 yield (
                     ids[found.owners[k]],
+                    reading,
                     size,
                     code,
                     int(found.places[k]),
@@ -220,7 +244,12 @@ def _cut_windows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [row for ids, texts in _blocks(batch) for row in rows(ids, texts)]
+            made = [
+                row
+                for ids, texts in _blocks(batch)
+                for reading in READINGS
+                for row in rows(ids, texts, reading)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in made], f.type) for k, f in enumerate(_SCHEMA)],
                 schema=_SCHEMA,
@@ -252,6 +281,11 @@ def leaks(
     is consistent if one value of the item always meets one value of the document; of an
     inconsistent one only the windows with the item's own values count. Windows with fewer than LEAST_LITERALS words that are not slots are no evidence.
 
+    Items and documents are read in each of READINGS, apart from each other, so neither the
+    case of a copy nor capitals elsewhere in its document hide it. An item leaks if one
+    reading reaches `coverage`; the row tells of the one with the largest coverage, then
+    with the fewest changed slots.
+
     A bitmap of fixed size, made from the benchmark's windows, lets candidate windows
     through; an exact join on the window's hash follows, so documents' windows are shuffled
     only where they can match, whatever the sizes of either side.
@@ -264,9 +298,9 @@ def leaks(
     # each item once
     every = _texts(benchmark, item, text).mapInArrow(_cut_windows(None, None), _WINDOWS)
     items = cut(
-        every.groupBy("id", "size", "hash")
+        every.groupBy("id", "reading", "size", "hash")
         .agg(F.min(F.struct("place", "slots")).alias("_first"))
-        .select("id", "size", "hash", "_first.*")
+        .select("id", "reading", "size", "hash", "_first.*")
     )
     sizes = [row["size"] for row in items.select("size").distinct().collect()]
     wanted = key_bitmap(items, "hash", _FILTER_BITS)
@@ -276,15 +310,17 @@ def leaks(
         hits = items.limit(0)
     found = hits.select(
         F.col("id").alias("_doc"),
+        "reading",
         "size",
         "hash",
         F.col("place").alias("_at"),
         F.col("slots").alias("_slots"),
     )
-    joined = found.join(items.withColumnRenamed("id", "_item"), ["size", "hash"])
+    joined = found.join(items.withColumnRenamed("id", "_item"), ["reading", "size", "hash"])
     aligned = joined.select(
         "_doc",
         "_item",
+        "reading",
         (F.col("_at") - F.col("place")).alias("_shift"),
         "place",
         F.arrays_zip(F.col("slots").alias("mine"), F.col("_slots").alias("theirs")).alias("_pairs"),
@@ -292,7 +328,7 @@ def leaks(
     unchanged = F.forall("_pairs", lambda p: p["mine"] == p["theirs"])
     # one item's places on one alignment: bounded by the item
     runs = (
-        aligned.groupBy("_doc", "_item", "_shift")
+        aligned.groupBy("_doc", "_item", "reading", "_shift")
         .agg(
             F.collect_set("place").alias("_places"),
             F.collect_set(F.when(unchanged, F.col("place"))).alias("_verbatim"),
@@ -308,31 +344,46 @@ def leaks(
         .select(
             "_doc",
             "_item",
+            "reading",
             F.when(F.col("_consistent"), F.col("_places"))
             .otherwise(F.col("_verbatim"))
             .alias("_places"),
             F.when(F.col("_consistent"), F.col("_all")).otherwise(F.col("_same")).alias("_pairs"),
         )
     )
-    total = items.groupBy("id").agg(F.count(F.lit(1)).alias("windows"))
+    total = items.groupBy("id", F.col("reading").alias("_reading")).agg(
+        F.count(F.lit(1)).alias("windows")
+    )
     changed = F.filter("_pairs", lambda p: p["mine"] != p["theirs"])
     return (
         runs.select(
             "_doc",
             "_item",
+            "reading",
             F.explode("_places").alias("_place"),
             F.size("_pairs").alias("_slots"),
             F.size(changed).alias("_changed"),
         )
-        .groupBy("_doc", "_item")
+        .groupBy("_doc", "_item", "reading")
         .agg(
             F.count_distinct("_place").alias("found"),
             F.max("_slots").alias("slots"),
             F.min("_changed").alias("changed"),
         )
-        .join(total, F.col("_item").eqNullSafe(F.col("id")))
+        .join(
+            total,
+            F.col("_item").eqNullSafe(F.col("id")) & (F.col("reading") == F.col("_reading")),
+        )
         .withColumn("coverage", F.least(F.col("found") / F.col("windows"), F.lit(1.0)))
         .filter(F.col("coverage") >= coverage)
+        .groupBy("_doc", "_item")
+        .agg(
+            F.max_by(
+                F.struct("windows", "found", "coverage", "slots", "changed"),
+                F.struct("coverage", -F.col("changed"), -F.col("reading")),
+            ).alias("_best")
+        )
+        .select("_doc", "_item", "_best.*")
         .select(
             F.col("_doc").alias(key),
             F.col("_item").alias(item),
