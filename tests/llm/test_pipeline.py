@@ -90,6 +90,54 @@ def test_links_agree_with_brute_force(spark):
     assert got == brute_links(rows) and len(got) > 20
 
 
+def bare(text):
+    return " ".join("".join(c if c.isalnum() else " " for c in text.lower()).split())
+
+
+def test_parts_of_lines_are_found_by_substring_search(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for conv in range(5):
+        said = []
+        for turn in range(14):
+            words = prose(rng.randrange(10**6), rng.randrange(20, 60), 60).split()
+            own = " ".join(w + rng.choice(["", "", "", ".", ","]) for w in words).capitalize()
+            quote = ""
+            if said and turn % 3:
+                source = rng.choice(said).split()
+                at = rng.randrange(len(source))
+                part = source[at : at + rng.choice([1, 2, 4, 7, 8, 9, 15, 30])]
+                wrap = rng.randrange(1, 12)
+                lines = [part[k : k + wrap] for k in range(0, len(part), wrap)]
+                quote = "".join(f"> {' '.join(line)}\n" for line in lines)
+                held = [t for t, x in enumerate(said) if f" {bare(' '.join(part))} " in f" {bare(x)} "]
+                if len(part) >= 7:
+                    # too long to be said twice: one original
+                    assert len(held) == 1
+                    want[conv, turn] = held[0]
+                elif wrap >= len(part):
+                    want[conv, turn] = max(held)
+            said.append(own)
+            rows.append((conv, turn, "user", quote + own))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r.reply_to for r in reply_ordered(df).collect() if r.linked}
+    assert want.items() <= got.items() and len(want) > 20
+
+
+def test_edited_and_unspaced_quotes_and_chance_words(spark):
+    rows = [
+        (1, 0, "user", "One thing first. Sort the list in place, as that needs no more memory at all!"),
+        (1, 1, "user", "我今天很高兴，因为天气很好。明天我们去公园。"),
+        (1, 2, "user", "Never mind the list."),
+        (1, 3, "user", "> [...] the list in place, as that needs no more RAM\nWhy?"),
+        (1, 4, "user", "> 因为天气很好\nSo?"),
+        (1, 5, "user", "> Nobody has said any of this at\n> all\nIndeed."),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.turn: (r.linked, r.reply_to) for r in reply_ordered(df).collect()}
+    assert got[3] == (True, 0) and got[4] == (True, 1) and got[5] == (False, 4)
+
+
 def test_replies_of_awkward_rows(spark):
     rows = [
         (None, 0, "user", "lost"),
