@@ -208,6 +208,28 @@ def test_letter_case_hides_no_leak(spark):
     assert not rows[1, 1].reparameterised and rows[4, 2].reparameterised
 
 
+def test_items_without_literals_or_spaces_and_long_passages_leak(spark):
+    sums = "12 + 7 - 3 * 8 / 4 = 13, 5 + 5"
+    names = "Ada Byron, Alan Turing, Grace Hopper, Donald Knuth, Barbara Liskov"
+    chinese = "今天天气很好我们一起去公园散步然后回家吃饭"
+    long = spelled(11, 600)
+    items = {1: sums, 2: names, 3: chinese, 4: long}
+    docs = {
+        1: f"{spelled(12, 30)} {sums} {spelled(13, 30)}",
+        2: f"{spelled(14, 30)}: {names}. {spelled(15, 30)}",
+        3: f"他说{chinese}，就这样。",
+        4: f"{spelled(16, 30)} {' '.join(long.split()[200:255])} {spelled(17, 30)}",
+        5: f"{spelled(18, 30)} {' '.join(long.split()[200:230])} {spelled(19, 30)}",
+        6: sums.replace("7", "9").replace("8", "6").replace("13", "14"),
+        7: "Rob Pike, Ken Thompson, Niklaus Wirth, Edsger Dijkstra, Tony Hoare",
+    }
+    found = leaks(
+        spark.createDataFrame(list(docs.items()), "doc_id long, text string"),
+        spark.createDataFrame(list(items.items()), "item_id long, text string"),
+    ).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(k, k) for k in range(1, 5)}
+
+
 def test_leaks_of_awkward_rows(spark):
     docs = awkward(spark)
     items = awkward(spark).withColumnRenamed("doc_id", "item_id")

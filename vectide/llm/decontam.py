@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -20,6 +21,8 @@ LEAST_TOKENS = 5
 LEAST_LITERALS = 3
 # an item leaks if this share of its windows is found in one document
 COVERAGE = 0.5
+# or if so many of its template tokens are found on one alignment
+PASSAGE = 50
 # texts are handled together up to this size
 BLOCK_BYTES = 2**18
 _FILTER_BITS = 27
@@ -38,9 +41,14 @@ UNITS = (
     "year years percent dollar dollars cent cents euro euros degree degrees mph kmh watt watts "
     "volt volts joule joules byte bytes kb mb gb"
 ).split()
+_UNSPACED = re.compile(
+    "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+    "\U00020000-\U0003ffff]"
+)
 LITERAL, NUMBER, NAME, UNIT = range(4)
-# how a text is read for names: by context, not at all (case folded), every capitalised word
-TYPED, FOLDED, CAPITALS = READINGS = range(3)
+# how a text is read: names by context, no names (case folded), every capitalised word a
+# name, no placeholders at all (case folded)
+TYPED, FOLDED, CAPITALS, VERBATIM = READINGS = range(4)
 
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -76,8 +84,11 @@ def _hashes(data: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> np.ndar
 
 
 def _folded(text: bytes) -> bytes:
-    """Without the case of letters beyond ASCII, which the hashes fold by themselves."""
-    return text.decode("utf-8", "replace").casefold().encode()
+    """Without the case of letters beyond ASCII, which the hashes fold by themselves.
+
+    Each character of a script without spaces is a word.
+    """
+    return _UNSPACED.sub(r" \g<0> ", text.decode("utf-8", "replace").casefold()).encode()
 
 
 def _among(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -105,8 +116,10 @@ def templates(texts: list[bytes], reading: int = TYPED) -> Template:
     word where it does. That depends on the text's own use of capitals, so there are two
     more readings: FOLDED has no names and no case; for CAPITALS every capitalised word is
     a name, whatever stands elsewhere in the text, and a run of names ends with its sentence.
+    VERBATIM is folded as well and has no placeholders: texts made of numbers or names have
+    words enough to be found as they are.
     """
-    if reading == FOLDED:
+    if reading in (FOLDED, VERBATIM):
         texts = [t if t.isascii() else _folded(t) for t in texts]
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     limits = np.cumsum([len(text) + 1 for text in texts])
@@ -132,7 +145,8 @@ def templates(texts: list[bytes], reading: int = TYPED) -> Template:
     same[1:] = owners[1:] == owners[:-1]
     heads = data[starts]
     kinds = np.full(len(starts), LITERAL, np.int8)
-    kinds[digit[starts] | _among(_NUMBER_HASHES, hashes)] = NUMBER
+    if reading != VERBATIM:
+        kinds[digit[starts] | _among(_NUMBER_HASHES, hashes)] = NUMBER
     follows = same.copy()
     follows[1:] &= kinds[:-1] == NUMBER
     kinds[follows & (kinds == LITERAL) & _among(_UNIT_HASHES, hashes)] = UNIT
@@ -272,6 +286,7 @@ def leaks(
     item: str = "item_id",
     text: str = "text",
     coverage: float = COVERAGE,
+    passage: int = PASSAGE,
 ) -> DataFrame:
     """One row per document and benchmark item that leaks into it.
 
@@ -283,7 +298,7 @@ def leaks(
 
     Items and documents are read in each of READINGS, apart from each other, so neither the
     case of a copy nor capitals elsewhere in its document hide it. An item leaks if one
-    reading reaches `coverage`; the row tells of the one with the largest coverage, then
+    reading reaches `coverage`, or `passage` tokens on one alignment; the row tells of the one with the largest coverage, then
     with the fewest changed slots.
 
     A bitmap of fixed size, made from the benchmark's windows, lets candidate windows
@@ -291,7 +306,7 @@ def leaks(
     only where they can match, whatever the sizes of either side.
 
     Null, empty or short texts have no windows and leak nothing; items under LEAST_TOKENS
-    tokens are not searched. Rows that repeat an id, or have none, are one document or
+    tokens in every reading (the most are VERBATIM) are not searched. Rows that repeat an id, or have none, are one document or
     item each. Empty tables give an empty one. Other columns are not read.
     """
     # a window that an item repeats counts once, at its first place: a document's window meets
@@ -321,6 +336,7 @@ def leaks(
         "_doc",
         "_item",
         "reading",
+        "size",
         (F.col("_at") - F.col("place")).alias("_shift"),
         "place",
         F.arrays_zip(F.col("slots").alias("mine"), F.col("_slots").alias("theirs")).alias("_pairs"),
@@ -330,6 +346,7 @@ def leaks(
     runs = (
         aligned.groupBy("_doc", "_item", "reading", "_shift")
         .agg(
+            F.max("size").alias("_size"),
             F.collect_set("place").alias("_places"),
             F.collect_set(F.when(unchanged, F.col("place"))).alias("_verbatim"),
             F.array_distinct(F.flatten(F.collect_list("_pairs"))).alias("_all"),
@@ -345,6 +362,7 @@ def leaks(
             "_doc",
             "_item",
             "reading",
+            "_size",
             F.when(F.col("_consistent"), F.col("_places"))
             .otherwise(F.col("_verbatim"))
             .alias("_places"),
@@ -354,6 +372,9 @@ def leaks(
     total = items.groupBy("id", F.col("reading").alias("_reading")).agg(
         F.count(F.lit(1)).alias("windows")
     )
+    tokens = F.flatten(
+        F.transform("_places", lambda p: F.sequence(p, p + F.col("_size") - F.lit(1)))
+    )
     changed = F.filter("_pairs", lambda p: p["mine"] != p["theirs"])
     return (
         runs.select(
@@ -361,12 +382,14 @@ def leaks(
             "_item",
             "reading",
             F.explode("_places").alias("_place"),
+            F.size(F.array_distinct(tokens)).alias("_tokens"),
             F.size("_pairs").alias("_slots"),
             F.size(changed).alias("_changed"),
         )
         .groupBy("_doc", "_item", "reading")
         .agg(
             F.count_distinct("_place").alias("found"),
+            F.max("_tokens").alias("_tokens"),
             F.max("_slots").alias("slots"),
             F.min("_changed").alias("changed"),
         )
@@ -375,7 +398,7 @@ def leaks(
             F.col("_item").eqNullSafe(F.col("id")) & (F.col("reading") == F.col("_reading")),
         )
         .withColumn("coverage", F.least(F.col("found") / F.col("windows"), F.lit(1.0)))
-        .filter(F.col("coverage") >= coverage)
+        .filter((F.col("coverage") >= coverage) | (F.col("_tokens") >= passage))
         .groupBy("_doc", "_item")
         .agg(
             F.max_by(
