@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -134,3 +137,42 @@ def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     keys = keys.astype(np.int64, copy=False)
     place = keys & np.int64(len(bitmap) * 64 - 1)
     return (bitmap[place >> 6] >> (keys & 63)) & 1 == 1
+
+
+# bytes of texts that a task handles at a time
+SLICE_BYTES = 2**18
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, list[bytes]]]:
+    """First row and texts of runs of rows of about SLICE_BYTES; null texts are empty.
+
+    Only the run at hand is copied out of the batch's buffer. A longer text is a run of its own.
+    """
+    values = batch.column(column)
+    _, offsets, data = values.buffers()
+    if data is None:
+        ends = np.zeros(len(values) + 1, np.int64)
+        data = memoryview(b"")
+    else:
+        width = np.int64 if pa.types.is_large_binary(values.type) else np.int32
+        ends = np.frombuffer(offsets, width)[values.offset : values.offset + len(values) + 1]
+        data = memoryview(data)
+    at = 0
+    while at < len(values):
+        stop = int(np.searchsorted(ends, int(ends[at]) + SLICE_BYTES))
+        stop = min(max(stop, at + 1), len(values))
+        places = ends[at : stop + 1].tolist()
+        yield at, [bytes(data[a:b]) for a, b in zip(places, places[1:])]
+        at = stop
+
+
+def by_slices(
+    batches: Iterator[pa.RecordBatch],
+    handle: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch],
+) -> Iterator[pa.RecordBatch]:
+    """`handle` of every run of rows with its texts; unused Arrow memory is given back at the end."""
+    for batch in batches:
+        for at, texts in text_slices(batch):
+            yield handle(batch.slice(at, len(texts)), texts)
+        del batch
+        pa.default_memory_pool().release_unused()

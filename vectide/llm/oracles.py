@@ -10,17 +10,20 @@ def _hash60(value: str) -> str:
 
 
 # CRC-32 by the usual reflected polynomial: a table of 256 entries, then byte by byte
-_CRC = """
+def _crcs(value: str = "text") -> str:
+    """Checksums of all different values of a column."""
+    return f"""
 crc_table AS MATERIALIZED (
   SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1
            THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t
   FROM range(256) AS bytes(b)),
 crcs AS (
-  SELECT text, CASE WHEN text = '' THEN 0 ELSE xor(list_reduce(
-      list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT),
+  SELECT {value}, CASE WHEN v = '' THEN 0 ELSE xor(list_reduce(
+      list_transform(regexp_extract_all(hex(encode(v)), '..'), lambda x: ('0x' || x)::BIGINT),
       lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]),
       4294967295), 4294967295) END AS crc
-  FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL), crc_table)
+  FROM (SELECT DISTINCT {value}, CAST({value} AS VARCHAR) AS v FROM documents
+        WHERE {value} IS NOT NULL), crc_table)
 """
 
 
@@ -56,7 +59,7 @@ round{k} AS MATERIALIZED (
         for k in range(shards)
     )
     return f"""
-WITH {_CRC},
+WITH {_crcs()},
 points AS (
   SELECT (i % {shards})::INT AS shard,
          {_hash60(f"'node-' || (i % {shards}) || '-' || (i // {shards})")} AS high
@@ -181,9 +184,124 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles,
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 """
 
+
+
+def _levels(name: str, leaves: str, height: int) -> str:
+    """A tree of eights for every `tree` of `leaves` (tree, i, h): levels `name`0 to `name`height.
+
+    A level of one node is repeated above; `n` counts a level's nodes in the tree.
+    """
+    levels = [f"{name}0 AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {leaves})"]
+    for k in range(height):
+        levels.append(f"""
+{name}{k + 1} AS MATERIALIZED (
+  SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM (
+    SELECT tree, i // 8 AS i,
+           CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h
+    FROM {name}{k} GROUP BY tree, i // 8, n))""")
+    return ",".join(levels)
+
+
+def _folds(name: str, rows: str, height: int) -> str:
+    """Siblings and the folded digest of `rows` (doc_id, tree, i, f, proof), level by level."""
+    folds = [f"{name}_f0 AS MATERIALIZED (SELECT doc_id, tree, i, f, proof FROM {rows})"]
+    for k in range(height):
+        folds.append(f"""
+{name}_f{k + 1} AS MATERIALIZED (
+  SELECT r.doc_id, r.tree, r.i // 8 AS i,
+         CASE WHEN l.n = 1 THEN r.f
+              ELSE sha256(string_agg(CASE WHEN l.i = r.i THEN r.f ELSE l.h END, '' ORDER BY l.i)) END AS f,
+         proof || CASE WHEN l.n = 1 THEN ''
+              ELSE coalesce(string_agg(l.h, '' ORDER BY l.i) FILTER (l.i <> r.i), '') END AS proof
+  FROM {name}_f{k} r JOIN {name}{k} l ON l.tree = r.tree AND l.i // 8 = r.i // 8
+  GROUP BY r.doc_id, r.tree, r.i, r.f, r.proof, l.n)""")
+    return ",".join(folds)
+
+
+def _merkle(height: int = 7, top: int = 3) -> str:
+    """Trees of up to 8**height documents a language, 8**top languages."""
+    def leaf(text: str) -> str:
+        fields = ["doc_id", "source", "lang", "n_chars", text]
+        parts = [
+            f"coalesce(octet_length(encode({v}::VARCHAR)) || ':' || {v}::VARCHAR, '-')" for v in fields
+        ]
+        return f"sha256({' || '.join(parts)})"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH {_crcs("doc_id")},
+d AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf("text")} AS h,
+         CASE WHEN crc % 3 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS f
+  FROM documents LEFT JOIN crcs USING (doc_id)),
+ranked AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM d),
+nodes AS (SELECT tree, i, h FROM ranked),
+{_levels("l", "nodes", height)},
+roots AS MATERIALIZED (
+  SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, h, tree AS lang FROM l{height}),
+tops AS (SELECT tree, i, h FROM roots),
+{_levels("t", "tops", top)},
+started AS (SELECT doc_id, tree, i, f, '' AS proof FROM ranked),
+{_folds("l", "started", height)},
+upper_ AS (
+  SELECT doc_id, '' AS tree, r.i, f, proof FROM l_f{height} x JOIN roots r ON r.lang = x.tree),
+{_folds("t", "upper_", top)}
+SELECT x.doc_id, d.h AS leaf, r.h AS subroot, t{top}.h AS root, sha256(proof) AS proof_sha256,
+       x.f AS folded_root, x.f = t{top}.h AS verified
+FROM t_f{top} x JOIN d USING (doc_id) JOIN roots r ON r.lang = d.tree, t{top}
+"""
+
+
+_AUDIT = f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+cut_ AS (
+  SELECT doc_id, part, text, regexp_extract_all(text, {_WORDS}) AS words,
+         min(doc_id) OVER (PARTITION BY text) AS first FROM texts),
+fails AS MATERIALIZED (
+  SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad,
+         {{'A': len(words) < 200,
+          'B': 100 * len(list_distinct(words)) < 50 * len(words),
+          'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+          'D': regexp_matches(text, '[#$%&*|]'),
+          'E': coalesce(first < doc_id, false)}} AS f
+  FROM cut_ LEFT JOIN labels USING (doc_id)),
+long_ AS MATERIALIZED (
+  SELECT part, good, bad, [x.k FOR x IN [{{'k': 'A', 'v': f.A}}, {{'k': 'B', 'v': f.B}},
+    {{'k': 'C', 'v': f.C}}, {{'k': 'D', 'v': f.D}}, {{'k': 'E', 'v': f.E}}] IF x.v] AS failed
+  FROM fails),
+cells AS MATERIALIZED (
+  SELECT part, failed, count(*) AS n, count_if(good) AS good, count_if(bad) AS bad
+  FROM long_ GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT array_to_string(o, '') AS filter_order, step::INT AS step, o[step] AS k, o[:step - 1] AS earlier
+  FROM orders, range(1, 6) AS s(step)),
+counted AS (
+  SELECT part, filter_order, step, k,
+    sum(CASE WHEN NOT list_has_any(failed, list_append(earlier, k)) THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN here THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN list_contains(failed, k) AND list_has_any(failed, earlier) THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN failed = [k] THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN here THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN here THEN bad ELSE 0 END)::BIGINT AS toxic_lost
+  FROM (SELECT *, list_contains(failed, k) AND NOT list_has_any(failed, earlier) AS here
+        FROM cells, steps)
+  GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley
+FROM counted
+"""
+
 ORACLES: dict[str, str] = {
     "op5_ring_shards": _ring(),
     "op6_mix_sources": _MIX,
     "op8_warc_revisits": _WARC,
     "op9_minhash_bayes": _NEAR,
+    "op12_incremental_witnesses": _merkle(),
+    "op13_filter_audit": _AUDIT,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 from .ann import nearest
+from .bpe import decode_ids, encode_texts
 from .decontam import leaks
+from .filters import audit
+from .merkle import FIELDS, leaf_digest, manifest, verify
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .quality import quality_scores
@@ -84,6 +88,30 @@ def op10_positive_unlabelled(spark: SparkSession, folder: str) -> DataFrame:
     return quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op11_distinct_words(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    return decode_ids(encode_texts(documents, ranks), ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_incremental_witnesses(spark: SparkSession, folder: str) -> DataFrame:
+    lower = F.translate("text", ascii_uppercase, ascii_lowercase)
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    text = F.when(third, lower).otherwise(F.col("text"))
+    tampered = leaf_digest([text if name == "text" else F.col(name) for name in FIELDS])
+    proved = manifest(_table(spark, folder, "documents"), along={"tampered_leaf": tampered})
+    return verify(proved, "tampered_leaf").drop("tampered_leaf")
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_scan": op1_adaptive_scan,
     "op2_token_counts": op2_token_counts,
@@ -95,4 +123,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_minhash_bayes": op9_minhash_bayes,
     "op10_positive_unlabelled": op10_positive_unlabelled,
+    "op11_distinct_words": op11_distinct_words,
+    "op12_incremental_witnesses": op12_incremental_witnesses,
+    "op13_filter_audit": op13_filter_audit,
 }
