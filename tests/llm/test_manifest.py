@@ -62,10 +62,10 @@ def test_words_are_encoded_as_the_library_does():
             assert encode_word(word.encode(), ranks) == own._encode_single_piece(word)
 
 
-@pytest.mark.parametrize("block", [2**23, 300])
+@pytest.mark.parametrize("block", [2**25, 300])
 def test_encoding_awkward_rows_and_back(spark, monkeypatch, block):
     monkeypatch.setattr(lexicon, "BLOCK_BYTES", block)
-    monkeypatch.setattr(lexicon, "LISTED", 50)
+    monkeypatch.setattr(lexicon, "BUCKETS", 16)
     monkeypatch.setattr("vectide.llm.bpe._BATCH_IDS", 100)
     docs, own = awkward(spark, odd_texts()), library()
     got = decode_ids(encode_texts(docs, RANKS), RANKS).collect()
@@ -197,7 +197,7 @@ def plain_audit(docs, labels):
     return out
 
 
-@pytest.mark.parametrize("block", [2**23, 2000])
+@pytest.mark.parametrize("block", [2**25, 2000])
 def test_audit_of_awkward_rows(spark, monkeypatch, block):
     monkeypatch.setattr(lexicon, "BLOCK_BYTES", block)
     monkeypatch.setattr(filters, "HOT_SHARE", 1 / 10)
@@ -227,7 +227,6 @@ def test_matrix_is_the_counts_of_words(spark):
             entries = slice(shard.starts[k], shard.starts[k + 1])
             seen[doc.id] = dict(zip(shard.columns[entries], shard.values[entries]))
     assert [sorted(seen[k].values()) for k in range(4)] == [[1, 1, 2], [], [1, 3], [1]]
-    codes = {code for row in seen.values() for code in row}
-    assert codes == set(range(4))
+    assert len({code for row in seen.values() for code in row}) == 4
     # the same word has the same column in every document
     assert len(set(seen[0]) & set(seen[2])) == 2 and not set(seen[3]) & set(seen[0])

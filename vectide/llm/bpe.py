@@ -5,15 +5,16 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import by_slices
-from .lexicon import put_back, word_blocks
+from .lexicon import code_words, packed, put_back, unpacked, word_blocks
 from .tokens import PRE_TOKENS
 
 _LOADED: dict[str, dict[bytes, int]] = {}
@@ -87,42 +88,54 @@ class _Split:
         return {}
 
 
-def _encoded(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = load_ranks(path)
-
-        def encode(batch: pa.RecordBatch, words: list[bytes]) -> pa.RecordBatch:
-            ids = [np.array(encode_word(w, ranks), "<i4").tobytes() for w in words]
-            return pa.RecordBatch.from_arrays(
-                [batch.column("text"), pa.array(ids, pa.binary())], ["text", "ids"]
-            )
-
-        return by_slices(batches, encode)
-
-    return run
-
-
-def _assembled(
-    documents: pa.StructArray, places: np.ndarray, codes: pa.ChunkedArray
-) -> pa.Table:
-    """Ids of each document of a block: the ids of its words, in the order of its positions."""
-    parts = [np.frombuffer(ids.as_buffer(), "<i4") for ids in codes]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    flat = np.concatenate(parts) if parts else np.zeros(0, "<i4")
-    starts = np.cumsum(sizes) - sizes
-    spans = sizes[places]
-    ends = np.concatenate([[0], np.cumsum(spans)])
-    # the place in `flat` of every id: its word's start and how far it is into the word
-    into = np.arange(ends[-1]) - np.repeat(ends[:-1], spans)
-    ids = flat[np.repeat(starts[places], spans) + into]
-    words = np.concatenate([[0], np.cumsum(documents.field("n").to_numpy())])
-    return pa.table(
-        [
-            documents.field("id"),
-            pa.ListArray.from_arrays(pa.array(ends[words], pa.int32()), pa.array(ids, pa.int32())),
-        ],
-        names=["id", "ids"],
-    )
+class _Encoder:
+    """Coders of buckets: each distinct word of a bucket is encoded once."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, bucket: int) -> Callable[[list[bytes]], bytes]:
+        ranks = load_ranks(self.path)
+        known: dict[bytes, list[int]] = {}
+
+        def codes(words: list[bytes]) -> bytes:
+            found = []
+            for word in words:
+                ids = known.get(word)
+                if ids is None:
+                    ids = known[word] = encode_word(word, ranks)
+                found.append(ids)
+            # how many ids each word has, then the ids
+            return packed(np.array([len(words), *map(len, found), *chain.from_iterable(found)]))
+
+        return codes
+
+
+def _gather_ids(at: list[np.ndarray], codes: list[bytes]) -> Callable:
+    """Ids of documents: the ids of their words, in the order of their positions."""
+    sizes = np.zeros(sum(map(len, at)), np.int64)
+    starts = np.zeros(len(sizes), np.int64)
+    parts, total = [np.zeros(0, np.int64)], 0
+    for numbers, packed_codes in zip(at, codes):
+        values = unpacked(packed_codes)
+        counts = values[1 : values[0] + 1]
+        parts.append(values[values[0] + 1 :].astype(np.int32))
+        sizes[numbers] = counts
+        starts[numbers] = total + np.cumsum(counts) - counts
+        total += len(parts[-1])
+    flat = np.concatenate(parts).astype(np.int32)
+
+    def assemble(documents: pa.StructArray, places: np.ndarray) -> pa.RecordBatch:
+        spans = sizes[places]
+        ends = np.concatenate([[0], np.cumsum(spans)])
+        # the place in `flat` of every id: its word's start and how far it is into the word
+        shift = starts[places] - ends[:-1]
+        ids = flat[np.repeat(shift, spans) + np.arange(ends[-1])]
+        words = np.concatenate([[0], np.cumsum(documents.field("n").to_numpy())])
+        lists = pa.ListArray.from_arrays(pa.array(ends[words], pa.int32()), pa.array(ids))
+        return pa.RecordBatch.from_arrays([documents.field("id"), lists], ["id", "ids"])
+
+    return assemble
 
 
 def encode_texts(
@@ -132,9 +145,9 @@ def encode_texts(
 
     `ranks` names a file of token ranks, present on every machine. Pre-tokens are exploded
     with their positions, block by block of text; the distinct pre-tokens of the whole table are
-    shuffled, each is encoded once, and ids are joined back and put in place by position. A
-    pre-token is one row for each block it occurs in, so no word is a hot key, however often it
-    occurs. One task holds one block (8 MB of text, or one longer text) at a time.
+    shuffled, each is encoded once, and ids are joined back by block and put in place by
+    position. A pre-token is one entry for each block it occurs in, so no word is a hot key, however
+    often it occurs. One task holds one block (32 MB of text, or one longer text) at a time.
 
     Null and empty texts have no ids. Null keys, repeated rows and very long texts and words are
     rows like others. An empty table gives an empty one. Other columns are not read.
@@ -143,18 +156,12 @@ def encode_texts(
     texts = df.select(
         F.col(key).alias("id"), F.col(text).cast("string").cast("binary").alias("text")
     )
-    from pyspark.sql.pandas.types import to_arrow_type
-
     documents, words = word_blocks(texts, _Split(), {"id": to_arrow_type(kind)})
-    codes = (
-        words.select(F.col("word").cast("binary").alias("text"))
-        .distinct()
-        .mapInArrow(_encoded(ranks), "text binary, ids binary")
-        .select(F.col("text").cast("string").alias("word"), F.col("ids").alias("code"))
-    )
-    coded = words.join(codes, "word").select("block", "at", "code")
     return put_back(
-        documents, coded, _assembled, f"id {kind.simpleString()}, ids array<int>"
+        documents,
+        code_words(words, _Encoder(ranks)),
+        _gather_ids,
+        f"id {kind.simpleString()}, ids array<int>",
     ).withColumnRenamed("id", key)
 
 

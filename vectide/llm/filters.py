@@ -9,11 +9,12 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import cut
-from .lexicon import put_back, word_blocks
+from .lexicon import BUCKETS, code_words, put_back, word_blocks
 
 FILTERS = "ABCDE"
 # A: under so many words; B: distinct words under, C: capitals over so many percent
@@ -35,46 +36,51 @@ def _facts(text: bytes) -> tuple[int, int, bool, bytes]:
     )
 
 
-def _shard(documents: pa.StructArray, places: np.ndarray, codes: pa.ChunkedArray) -> pa.Table:
-    """One CSR shard: rows in the order of `documents`, columns ascending, counts as values."""
-    columns = codes.to_numpy()[places] if len(places) else np.zeros(0, np.int64)
-    rows = np.repeat(np.arange(len(documents)), documents.field("n").to_numpy())
-    order = np.lexsort((columns, rows))
-    rows, columns = rows[order], columns[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (columns[1:] != columns[:-1])
-    first = np.flatnonzero(new)
-    values = np.diff(first, append=len(rows))
-    starts = np.searchsorted(rows[first], np.arange(len(documents) + 1))
-    one = pa.array([0, len(first)], pa.int32())
-    return pa.table(
-        [
-            pa.ListArray.from_arrays(pa.array([0, len(documents)], pa.int32()), documents),
-            pa.array([starts.tolist()], pa.list_(pa.int64())),
-            pa.ListArray.from_arrays(one, pa.array(columns[first], pa.int64())),
-            pa.ListArray.from_arrays(one, pa.array(values, pa.int64())),
-        ],
-        names=["documents", "starts", "columns", "values"],
-    )
+class _Dictionary:
+    """Coders of buckets: a bucket's distinct words are numbered as they come.
 
+    A number and its bucket make the word's column: bucket + BUCKETS * number, which is unique,
+    and close to gapless since buckets are of like size.
+    """
 
-def _dictionary(words: DataFrame) -> DataFrame:
-    """`(word, code)` for every distinct word of the table: columns 0, 1, 2, ... without gaps."""
-    distinct = cut(words.select("word").distinct().withColumn("_id", F.monotonically_increasing_id()))
-    sizes = distinct.groupBy(F.shiftright("_id", 33).alias("_part")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    # one row for each partition
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        F.col("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    )
-    at = F.col("_id").bitwiseAND(F.lit(2**33 - 1))
-    return (
-        distinct.withColumn("_part", F.shiftright("_id", 33))
-        .join(F.broadcast(offsets), "_part")
-        .select("word", (F.col("_before") + at).alias("code"))
-    )
+    def __call__(self, bucket: int) -> Callable[[list[bytes]], bytes]:
+        known: dict[bytes, int] = {}
+
+        def codes(words: list[bytes]) -> bytes:
+            numbers = [known.setdefault(word, len(known)) for word in words]
+            return (np.array(numbers, "<i8") * BUCKETS + bucket).tobytes()
+
+        return codes
+
+
+def _gather_shard(at: list[np.ndarray], codes: list[bytes]) -> Callable:
+    """One CSR shard for each run: rows in order, columns ascending, counts as values."""
+    column = np.zeros(sum(map(len, at)), np.int64)
+    for numbers, some in zip(at, codes):
+        column[numbers] = np.frombuffer(some, "<i8")
+
+    def assemble(documents: pa.StructArray, places: np.ndarray) -> pa.RecordBatch:
+        columns = column[places]
+        rows = np.repeat(np.arange(len(documents)), documents.field("n").to_numpy())
+        order = np.lexsort((columns, rows))
+        rows, columns = rows[order], columns[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]) | (columns[1:] != columns[:-1])
+        first = np.flatnonzero(new)
+        values = np.diff(first, append=len(rows))
+        starts = np.searchsorted(rows[first], np.arange(len(documents) + 1))
+        one = pa.array([0, len(first)], pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.ListArray.from_arrays(pa.array([0, len(documents)], pa.int32()), documents),
+                pa.array([starts.tolist()], pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(one, pa.array(columns[first], pa.int64())),
+                pa.ListArray.from_arrays(one, pa.array(values, pa.int64())),
+            ],
+            ["documents", "starts", "columns", "values"],
+        )
+
+    return assemble
 
 
 def term_matrix(
@@ -87,17 +93,16 @@ def term_matrix(
 
     `df` holds `text` (binary) and the columns `carried`. Words are runs of bytes other
     than ASCII white space, case kept; columns of the matrix are the numbers of a dictionary of
-    the whole table. A shard covers one block of text: `documents` lists its rows (carried
+    the whole table. A shard covers a run of documents: `documents` lists its rows (carried
     columns, `n`, facts of the text), row k has the entries `starts[k]` to `starts[k + 1]`.
     A document without words is a row without entries.
     """
-    documents, words = word_blocks(df, bytes.split, carried, facts, of_facts, pa.binary())
-    coded = words.join(_dictionary(words), "word").select("block", "at", "code")
+    documents, words = word_blocks(df, bytes.split, carried, facts, of_facts)
     kind = documents.schema["documents"].dataType.simpleString()
     return put_back(
         documents,
-        coded,
-        _shard,
+        code_words(words, _Dictionary()),
+        _gather_shard,
         f"documents {kind}, starts array<bigint>, columns array<bigint>, values array<bigint>",
     )
 
@@ -154,8 +159,6 @@ def failures(df: DataFrame, key: str = "doc_id", text: str = "text", part: str =
     equals that of a row with a smaller id fails E; a null id is smaller than none and has none
     smaller. Null texts are empty, and equal to empty ones.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kind = df.schema[key].dataType
     texts = df.select(
         F.col(key).alias("id"),
