@@ -1,10 +1,13 @@
+import hashlib
 import math
 
 import numpy as np
 import pytest
 from helpers import catalog, long_counts, square, unit
+from pyspark.sql import functions as F
 
 from vectide.functions.stats import t_two_sided
+from vectide.operators.checks import InvalidInput
 from vectide.operators.beta import bray_curtis, centre_distances, permanova, permdisp
 from vectide.operators.differential import bh_adjust, clr, clr_baseline, ols_by_group
 from vectide.operators.labels import pooled_labels
@@ -67,6 +70,56 @@ def test_permanova_f_r2_and_p(spark, table):
     assert math.isclose(blocked["f"], f, rel_tol=1e-9) and 0 < blocked["p"] <= 1
 
 
+def by_hash(names, values, perm, seed=1):
+    """Values of a permutation by its definition: ranks of digests of seed, number and name."""
+    base = dict(zip(names, values))
+    order = sorted(names, key=lambda s: (hashlib.md5(f"{seed}-{perm}-{s}".encode()).hexdigest(), s))
+    return {s: base[t] for s, t in zip(order, sorted(names))}
+
+
+def test_p_values_count_the_hashed_permutations(spark, table):
+    d = bray_curtis(long_counts(spark, table), samples=groups(spark))
+    d2, names, labels = square(d) ** 2, [f"s{k}" for k in range(8)], list("AAAABBBB")
+    assert sorted(r.sample_id for r in groups(spark).collect()) == names
+    seen, _ = f_statistic(d2, labels)
+    drawn = [by_hash(names, labels, p) for p in range(1, 100)]
+    hits = sum(f_statistic(d2, [x[s] for s in names])[0] >= seen - 1.5e-8 for x in drawn)
+    assert permanova(d, groups(spark), permutations=99).first()["p"] == (hits + 1) / 100
+
+    spread = {r.sample_id: r.spread for r in centre_distances(d, groups(spark)).collect()}
+    values = np.array([spread[s] for s in names])
+    def anova(v):
+        parts = v[:4], v[4:]
+        within = sum(((x - x.mean()) ** 2).sum() for x in parts)
+        return sum(4 * (x.mean() - v.mean()) ** 2 for x in parts) / (within / 6)
+    residuals = values - np.repeat([values[:4].mean(), values[4:].mean()], 4)
+    drawn = [by_hash(names, residuals, p) for p in range(1, 100)]
+    hits = sum(anova(np.array([x[s] for s in names])) >= anova(values) - 1.5e-8 for x in drawn)
+    got = permdisp(d, groups(spark), permutations=99).first()
+    assert got["p"] == (hits + 1) / 100 and math.isclose(got["f"], anova(values), rel_tol=1e-6)
+
+
+def test_many_blocks_of_samples_and_bad_designs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 4))
+    rows = [
+        (f"s{i}", f"s{j}", float(np.linalg.norm(x[i] - x[j]))) for i in range(60) for j in range(i)
+    ]
+    d = spark.createDataFrame(rows, "sample_a string, sample_b string, distance double")
+    who = [(f"s{k}", "ABC"[k % 3], "xy"[k % 2]) for k in range(60)]
+    samples = spark.createDataFrame(who, "sample_id string, group string, block string")
+    whole = permanova(d, samples, permutations=49, block="block").first()
+    monkeypatch.setattr("vectide.operators.beta._SAMPLE_BLOCK", 7)
+    parts = permanova(d, samples, permutations=49, block="block").first()
+    assert parts["p"] == whole["p"] and math.isclose(parts["f"], whole["f"], rel_tol=1e-9)
+    with pytest.raises(InvalidInput, match="one label per sample"):
+        permanova(d, samples.unionByName(samples.limit(1)))
+    with pytest.raises(InvalidInput, match="two groups"):
+        permdisp(d, samples.withColumn("group", F.lit("A")))
+    with pytest.raises(RuntimeError, match="did not settle"):
+        centre_distances(d, samples, iterations=1)
+
+
 @pytest.mark.parametrize("center", ["centroid", "median"])
 def test_spread_around_group_centres(spark, center):
     rng = np.random.default_rng(12)

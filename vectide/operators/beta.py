@@ -6,20 +6,22 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import task_slots
+from ..session import cut
 from .checks import InvalidInput, whole_number
 from .distances import sample_order
+from .permutations import check_design, group_shape, permuted
 
 _SAMPLE_BLOCK = 512
 _CHUNK_CELLS = 200_000
-_PERMUTATION_BLOCK = 64
-# permuted labels a task keeps between batches; beyond, it draws them again
-_KEPT_LABELS = 50_000_000
+# pairs times permutations that a task compares at once
+_TILE_CELLS = 4_000_000
+# statistics this close to the observed one count as equal to it
+_TIE = 1.5e-8
 
 
 # --- Bray-Curtis ----------------------------------------------------------------
@@ -130,31 +132,37 @@ def bray_curtis(
     )
 
 
-# --- permutations ---------------------------------------------------------------
+# --- PERMANOVA ------------------------------------------------------------------
 
 
-def permuted(labels: np.ndarray, strata: np.ndarray | None, seed: int, at: int):
-    """Labels under permutation `at`; 0 is the observed order."""
-    if at == 0:
-        return labels
-    rng = np.random.default_rng([seed, at])
-    if strata is None:
-        return labels[rng.permutation(len(labels))]
-    out = labels.copy()
-    for s in np.unique(strata):
-        members = np.flatnonzero(strata == s)
-        out[members] = labels[members[rng.permutation(len(members))]]
-    return out
-
-
-def _design(samples: DataFrame, group: str, block: str | None) -> pd.DataFrame:
-    """One row per sample: the square root of the pair table it labels."""
-    columns = ["sample_id", group] + ([block] if block else [])
-    table = samples.select(*columns).toPandas()
-    if table[columns].isna().any().any() or table["sample_id"].duplicated().any():
-        raise InvalidInput("The design must give one label per sample.")
-    # sorted by name, so a seed means the same permutations on every run
-    return table.sort_values("sample_id").reset_index(drop=True)
+def _within_tile(
+    key: tuple[pa.Scalar, ...], pairs: pa.Table, labels: pa.Table
+) -> pa.Table:
+    """Sums of squares within groups, for every permutation, over the pairs of two blocks."""
+    names = labels["sample_id"].combine_chunks()
+    i = pc.index_in(pairs["sample_a"], names)
+    j = pc.index_in(pairs["sample_b"], names)
+    known = pc.and_(pc.is_valid(i), pc.is_valid(j)).to_numpy()
+    i = i.fill_null(0).to_numpy()[known]
+    j = j.fill_null(0).to_numpy()[known]
+    d2 = pairs["distance"].to_numpy()[known] ** 2
+    codes, shares = (
+        labels[c].combine_chunks().flatten().to_numpy().reshape(len(names), -1).T
+        for c in ("codes", "shares")
+    )
+    within = np.zeros(len(codes))
+    step = max(1, _TILE_CELLS // max(1, len(i)))
+    for at in range(0, len(codes), step):
+        part, share = codes[at : at + step], shares[at : at + step]
+        mine = part[:, i]
+        within[at : at + step] = ((mine == part[:, j]) * share[:, i]) @ d2
+    return pa.table(
+        {
+            "perm": pa.array(np.arange(len(codes), dtype=np.int64)),
+            "within": pa.array(within),
+            "total": pa.array(np.full(len(codes), d2.sum())),
+        }
+    )
 
 
 def permanova(
@@ -167,56 +175,49 @@ def permanova(
 ) -> DataFrame:
     """One-way PERMANOVA: one row of sums of squares, R2, pseudo-F and p.
 
-    Every task holds the labels (one value per sample), redraws the seeded
-    permutations itself and reduces its pairs to one sum per permutation; pairs
-    are never multiplied by permutations. `block` permutes within its levels.
+    Permutations are a table (`permuted`), with a row of labels for each sample. Samples are hashed
+    into blocks; a task holds the pairs of two blocks and these blocks' labels, and returns one
+    sum for each permutation, so pairs are never multiplied by permutations and
+    neither pairs nor samples reach the driver. `block` permutes within its levels.
     """
     if not whole_number(permutations):
         raise InvalidInput("`permutations` must be a whole number.")
-    design = _design(samples, group, block)
-    codes, levels = pd.factorize(design[group], sort=True)
-    strata = pd.factorize(design[block])[0] if block else None
-    n, a = len(design), len(levels)
-    if a < 2 or n <= a:
-        raise InvalidInput("PERMANOVA needs two groups and more samples than groups.")
-    share = 1.0 / np.bincount(codes)
-    index = design["sample_id"].tolist()
-
-    def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place = pd.Index(index)
-        within = np.zeros(permutations + 1)
-        total = 0.0
-        drawn: dict[int, np.ndarray] = {}
-        for frame in frames:
-            i = place.get_indexer(frame["sample_a"])
-            j = place.get_indexer(frame["sample_b"])
-            known = (i >= 0) & (j >= 0)
-            i, j = i[known], j[known]
-            d2 = frame["distance"].to_numpy()[known] ** 2
-            total += d2.sum()
-            for start in range(0, permutations + 1, _PERMUTATION_BLOCK):
-                stop = min(start + _PERMUTATION_BLOCK, permutations + 1)
-                labels = drawn.get(start)
-                if labels is None:
-                    labels = np.array(
-                        [permuted(codes, strata, seed, p) for p in range(start, stop)]
-                    )
-                    if n * (permutations + 1) <= _KEPT_LABELS:
-                        drawn[start] = labels
-                li = labels[:, i]
-                same = li == labels[:, j]
-                within[start:stop] += (same * share[li]) @ d2
-        yield pd.DataFrame(
-            {
-                "perm": np.arange(permutations + 1),
-                "within": within,
-                "total": np.full(permutations + 1, total),
-            }
+    design = cut(check_design(samples, group, block))
+    n, a = group_shape(design, "PERMANOVA")
+    # one row for each group
+    groups = design.groupBy("group").agg((F.lit(1.0) / F.count(F.lit(1))).alias("share"))
+    groups = groups.withColumn("code", F.row_number().over(Window.orderBy("group")))
+    coded = design.join(groups, "group").withColumn("label", F.struct("code", "share"))
+    drawn = coded.select(F.lit(0).alias("perm"), "sample_id", "label")
+    if permutations:
+        drawn = drawn.unionByName(permuted(coded, "label", int(permutations), seed))
+    blocks = math.ceil(n / _SAMPLE_BLOCK)
+    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    tiles = F.transform(
+        F.sequence(F.lit(0), F.lit(blocks - 1)),
+        lambda k: F.struct(F.least("_b", k).alias("ti"), F.greatest("_b", k).alias("tj")),
+    )
+    labels = (
+        drawn.groupBy("sample_id")
+        .agg(F.array_sort(F.collect_list(F.struct("perm", "label"))).alias("_rows"))
+        .select(
+            "sample_id",
+            F.transform("_rows", lambda r: r["label"]["code"]).alias("codes"),
+            F.transform("_rows", lambda r: r["label"]["share"]).alias("shares"),
+            hashed("sample_id").alias("_b"),
         )
-
+        .select("sample_id", "codes", "shares", F.inline(tiles))
+    )
+    one, two = hashed("sample_a"), hashed("sample_b")
+    pairs = distances.select(
+        F.col("sample_a").cast("string").alias("sample_a"),
+        F.col("sample_b").cast("string").alias("sample_b"),
+        F.col("distance").cast("double").alias("distance"),
+    ).withColumns({"ti": F.least(one, two), "tj": F.greatest(one, two)})
     sums = (
-        distances.select("sample_a", "sample_b", "distance")
-        .mapInPandas(reduce, "perm long, within double, total double")
+        pairs.groupBy("ti", "tj")
+        .cogroup(labels.groupBy("ti", "tj"))
+        .applyInArrow(_within_tile, "perm long, within double, total double")
         .groupBy("perm")
         .agg(
             F.sum("within").alias("ss_residual"),
@@ -240,7 +241,7 @@ def permanova(
         F.collect_list(F.when(F.col("perm") > 0, F.col("f"))).alias("drawn"),
     )
     beyond = F.size(
-        F.filter("drawn", lambda v: v >= F.col("f") - F.lit(1.5e-8))
+        F.filter("drawn", lambda v: v >= F.col("f") - F.lit(_TIE))
     )
     return table.select(
         F.lit(a - 1).alias("df_group"),
@@ -266,13 +267,16 @@ def centre_distances(
     samples: DataFrame,
     group: str = "group",
     center: str = "median",
-    iterations: int = 200,
+    iterations: int = 500,
+    tolerance: float = 1e-8,
 ) -> DataFrame:
     """`(sample_id, group, spread)`: each sample's distance to its group's centre.
 
     A centre is a weighted mean of its members, so its distances follow from
     pair distances alone: weights are equal for the centroid, and are refined
-    towards the spatial median by reweighting with inverse distances.
+    towards the spatial median by reweighting with inverse distances, until no distance moves by
+    `tolerance`. Weights and distances are tables from round to round; it is an error if they do not
+    settle in `iterations` rounds.
     """
     if center not in ("median", "centroid"):
         raise InvalidInput("`center` must be 'median' or 'centroid'.")
@@ -299,7 +303,7 @@ def centre_distances(
         )
     )
     if center == "median":
-        both = both.persist()
+        both = cut(both)
     sizes = labels.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
     weights = labels.join(sizes, "group").select(
         "sample_id", "group", (F.lit(1.0) / F.col("size")).alias("w")
@@ -324,32 +328,21 @@ def centre_distances(
 
     if center == "centroid":
         return spread_around(weights)
-    spark = distances.sparkSession
-    schema = weights.schema
-    before = None
+    # the state is a table: one weight for each sample
+    state = cut(spread_around(weights))
     for _ in range(iterations):
-        # one value per sample comes back per step
-        now = spread_around(weights).toPandas().sort_values("sample_id")
-        values = now["spread"].to_numpy()
-        if before is not None and np.abs(values - before).max() < 1e-9:
-            break
-        before = values
-        now["w"] = 1.0 / np.maximum(values, 1e-12)
-        now["w"] /= now.groupby("group")["w"].transform("sum")
-        weights = spark.createDataFrame(now[["sample_id", "group", "w"]], schema)
-    both.unpersist()
-    return spark.createDataFrame(
-        now[["sample_id", "group", "spread"]],
-        spread_around(weights).schema,
-    )
-
-
-def _anova_f(values: np.ndarray, codes: np.ndarray, groups: int) -> float:
-    sizes = np.bincount(codes, minlength=groups)
-    means = np.bincount(codes, weights=values, minlength=groups) / sizes
-    within = ((values - means[codes]) ** 2).sum()
-    between = (sizes * (means - values.mean()) ** 2).sum()
-    return (between / (groups - 1)) / (within / (len(values) - groups))
+        inverse = F.lit(1.0) / F.greatest("spread", F.lit(1e-12))
+        totals = state.groupBy("group").agg(F.sum(inverse).alias("_total"))
+        weights = state.join(totals, "group").select(
+            "sample_id", "group", (inverse / F.col("_total")).alias("w")
+        )
+        before = state.select("sample_id", F.col("spread").alias("_before"))
+        state = cut(spread_around(weights).join(before, "sample_id"))
+        moved = state.agg(F.max(F.abs(F.col("spread") - F.col("_before")))).first()[0]
+        state = state.drop("_before")
+        if moved is None or moved < tolerance:
+            return state
+    raise RuntimeError(f"The spatial median did not settle in {iterations} rounds.")
 
 
 def permdisp(
@@ -362,38 +355,57 @@ def permdisp(
 ) -> DataFrame:
     """Homogeneity of spread: F of the distances to group centres, and p.
 
-    The null distribution permutes the residuals; permutations are shared out
-    over tasks, each holding one value per sample.
+    The null distribution permutes the residuals, as a table with a row for each permutation and
+    sample (`permuted`); all F values come from one aggregate by permutation and group.
     """
     if not whole_number(permutations):
         raise InvalidInput("`permutations` must be a whole number.")
-    spread = centre_distances(distances, samples, group, center).toPandas()
-    spread = spread.sort_values("sample_id")
-    codes, levels = pd.factorize(spread["group"], sort=True)
-    a, n = len(levels), len(spread)
-    if a < 2 or n <= a:
-        raise InvalidInput("PERMDISP needs two groups and more samples than groups.")
-    values = spread["spread"].to_numpy()
-    means = np.bincount(codes, weights=values) / np.bincount(codes)
-    residuals = values - means[codes]
-    f = float(_anova_f(values, codes, a))
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            drawn = [
-                _anova_f(permuted(residuals, None, seed, int(p)), codes, a)
-                for p in frame["id"]
-            ]
-            yield pd.DataFrame({"hit": [float(v >= f - 1.5e-8) for v in drawn]})
-
-    spark = distances.sparkSession
-    tries = spark.range(1, permutations + 1, 1, task_slots(spark))
-    hits = tries.mapInPandas(draw, "hit double").agg(
-        F.coalesce(F.sum("hit"), F.lit(0.0)).alias("hits")
+    design = check_design(samples, group, None)
+    n, a = group_shape(design, "PERMDISP")
+    spread = cut(centre_distances(distances, design, "group", center))
+    # one row for each group
+    means = spread.groupBy("group").agg(
+        F.avg("spread").alias("_mean"), F.count(F.lit(1)).alias("size")
+    )
+    residuals = cut(
+        spread.join(means, "group").select(
+            "sample_id",
+            "group",
+            "size",
+            F.lit("").alias("block"),
+            (F.col("spread") - F.col("_mean")).alias("value"),
+        )
+    )
+    observed = spread.join(means, "group").select(
+        F.lit(0).alias("perm"), "group", "size", F.col("spread").alias("value")
     )
-    return hits.select(
+    every = observed
+    if permutations:
+        who = residuals.select("sample_id", "group", "size")
+        drawn = permuted(residuals, "value", int(permutations), seed).join(who, "sample_id")
+        every = observed.unionByName(drawn.select("perm", "group", "size", "value"))
+    by_group = every.groupBy("perm", "group").agg(
+        F.sum("value").alias("s"),
+        F.sum(F.col("value") * F.col("value")).alias("q"),
+        F.first("size").alias("size"),
+    )
+    tests = by_group.groupBy("perm").agg(
+        F.sum("s").alias("s"),
+        F.sum("q").alias("q"),
+        F.sum(F.col("s") * F.col("s") / F.col("size")).alias("b"),
+    )
+    f = F.try_divide(
+        (F.col("b") - F.col("s") * F.col("s") / n) / (a - 1), (F.col("q") - F.col("b")) / (n - a)
+    )
+    found = tests.select("perm", f.alias("f"))
+    at_zero = F.max(F.when(F.col("perm") == 0, F.col("f")))
+    table = found.agg(
+        at_zero.alias("f"), F.collect_list(F.when(F.col("perm") > 0, F.col("f"))).alias("drawn")
+    )
+    hits = F.size(F.filter("drawn", lambda v: v >= F.col("f") - F.lit(_TIE)))
+    return table.select(
         F.lit(a - 1).alias("df_group"),
         F.lit(n - a).alias("df_residual"),
-        F.lit(f).alias("f"),
-        ((F.col("hits") + 1.0) / F.lit(float(permutations + 1))).alias("p"),
+        "f",
+        ((hits + 1.0) / F.lit(float(permutations + 1))).alias("p"),
     )

@@ -95,6 +95,49 @@ def _with(*parts: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",".join(parts)
 
 
+_PERMUTED = """
+base AS (SELECT *, row_number() OVER (ORDER BY sample_id) AS place FROM samples),
+drawn AS MATERIALIZED (
+  SELECT perm, ord, row_number() OVER (
+    PARTITION BY perm ORDER BY md5('1-' || perm || '-' || sample_id), sample_id) AS place
+  FROM samples, range(1, 1000) AS p(perm))"""
+
+_CENTROIDS = """
+both_ AS (SELECT sa, sb, d * d AS d2 FROM dist UNION ALL SELECT sb, sa, d * d FROM dist),
+sizes AS (SELECT grp, count(*) AS n FROM samples GROUP BY grp),
+mine AS (
+  SELECT a.grp, a.ord, sum(CASE WHEN b.grp = a.grp THEN d2 ELSE 0 END) AS s
+  FROM both_ JOIN samples a ON a.ord = sa JOIN samples b ON b.ord = sb GROUP BY ALL),
+own AS (SELECT grp, sum(s) / 2 AS t FROM mine GROUP BY grp),
+spreads AS MATERIALIZED (
+  SELECT ord, grp, n, sqrt(abs(s / n - t / (n * n))) AS spread
+  FROM mine JOIN own USING (grp) JOIN sizes USING (grp))"""
+
+
+# past what the six places shown need to settle
+_MEDIAN_ROUNDS = 120
+
+
+def _medians(rounds: int) -> str:
+    """Reweighting towards the spatial median, a fixed number of rounds."""
+    steps = ["""
+inside AS MATERIALIZED (
+  SELECT sa, sb, d * d AS d2 FROM dist JOIN samples a ON a.ord = sa JOIN samples b ON b.ord = sb
+  WHERE a.grp = b.grp),
+near AS MATERIALIZED (SELECT sa, sb, d2 FROM inside UNION ALL SELECT sb, sa, d2 FROM inside),
+w0 AS MATERIALIZED (SELECT ord, grp, 1.0::DOUBLE / count(*) OVER (PARTITION BY grp) AS w FROM samples)"""]
+    for k in range(rounds):
+        steps.append(f"""
+s{k} AS MATERIALIZED (
+  SELECT ord, grp, sqrt(abs(c - sum(w * c) OVER (PARTITION BY grp) / 2)) AS spread FROM (
+    SELECT a.ord, a.grp, a.w, coalesce(sum(b.w * d2), 0) AS c
+    FROM w{k} a LEFT JOIN near ON sa = a.ord LEFT JOIN w{k} b ON b.ord = sb GROUP BY ALL)),
+w{k + 1} AS MATERIALIZED (
+  SELECT ord, grp, 1 / greatest(spread, 1e-12) / sum(1 / greatest(spread, 1e-12)) OVER (PARTITION BY grp) AS w
+  FROM s{k})""")
+    return ",".join(steps)
+
+
 _EDGES = "\nedges AS (SELECT i, j, greatest(least(cs, 1), 0) AS weight FROM pairs WHERE cs >= 0.35)"
 _LINKS = "\nlinks AS (SELECT i, j, greatest(least(cs, 1), 0) AS weight FROM pairs WHERE cs >= 0.3)"
 
@@ -476,16 +519,47 @@ shape AS (SELECT count(*) AS a, sum(n) AS n FROM sizes)
 SELECT (a - 1)::INTEGER AS df_group, (n - a)::INTEGER AS df_residual, round(t, 9) AS ss_total,
        round((t - w) / t, 6) AS r2, round((t - w) / (a - 1) / (w / (n - a)), 6) AS f
 FROM total, within, shape""",
-    "permdisp_spread": _with(*_MMD1)
+    "permanova_p": _with(*_MMD1, _PERMUTED)
     + """,
-both_ AS (SELECT sa, sb, d * d AS d2 FROM dist UNION ALL SELECT sb, sa, d * d FROM dist),
+labelled AS MATERIALIZED (
+  SELECT perm, drawn.ord, grp FROM drawn JOIN base USING (place)
+  UNION ALL SELECT 0, ord, grp FROM samples),
 sizes AS (SELECT grp, count(*) AS n FROM samples GROUP BY grp),
-mine AS (
-  SELECT a.grp, a.ord, sum(CASE WHEN b.grp = a.grp THEN d2 ELSE 0 END) AS s
-  FROM both_ JOIN samples a ON a.ord = sa JOIN samples b ON b.ord = sb GROUP BY ALL),
-own AS (SELECT grp, sum(s) / 2 AS t FROM mine GROUP BY grp)
-SELECT samples.sample_id, mine.grp AS "group", round(sqrt(abs(s / n - t / (n * n))), 6) AS spread
-FROM mine JOIN own USING (grp) JOIN sizes USING (grp) JOIN samples ON samples.ord = mine.ord""",
+shape AS (SELECT count(*) AS a, sum(n) AS n FROM sizes),
+total AS (SELECT sum(d * d) / (SELECT count(*) FROM samples) AS t FROM dist),
+within AS (
+  SELECT a.perm, sum(d * d / n) AS w
+  FROM dist JOIN labelled a ON a.ord = sa
+  JOIN labelled b ON b.ord = sb AND b.perm = a.perm AND b.grp = a.grp
+  JOIN sizes ON sizes.grp = a.grp GROUP BY a.perm),
+tests AS (SELECT perm, (t - w) / (a - 1) / (w / (n - a)) AS f FROM within, total, shape)
+SELECT round(o.f, 6) AS f, (count(*) FILTER (x.f >= o.f - 1.5e-8) + 1) / 1000.0::DOUBLE AS p
+FROM tests x, tests o WHERE o.perm = 0 AND x.perm > 0 GROUP BY o.f""",
+    "permdisp": _with(*_MMD1, _PERMUTED, _CENTROIDS)
+    + """,
+residuals AS (
+  SELECT ord, grp, n, spread, spread - avg(spread) OVER (PARTITION BY grp) AS r FROM spreads),
+every AS (
+  SELECT perm, mine.grp, mine.n, theirs.r AS v
+  FROM drawn JOIN residuals mine ON mine.ord = drawn.ord
+  JOIN base USING (place) JOIN residuals theirs ON theirs.ord = base.ord
+  UNION ALL SELECT 0, grp, n, spread FROM residuals),
+groups AS (SELECT perm, grp, n, sum(v) AS s, sum(v * v) AS q FROM every GROUP BY perm, grp, n),
+tests AS (
+  SELECT perm, (sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (count(*) - 1)
+               / ((sum(q) - sum(s * s / n)) / (sum(n) - count(*))) AS f
+  FROM groups GROUP BY perm)
+SELECT round(o.f, 6) AS f, (count(*) FILTER (x.f >= o.f - 1.5e-8) + 1) / 1000.0::DOUBLE AS p
+FROM tests x, tests o WHERE o.perm = 0 AND x.perm > 0 GROUP BY o.f""",
+    "permdisp_median": _with(*_MMD1)
+    + f""",
+{_medians(_MEDIAN_ROUNDS)}
+SELECT sample_id, s.grp AS "group", round(spread, 6) AS spread
+FROM s{_MEDIAN_ROUNDS - 1} s JOIN samples USING (ord)""",
+    "permdisp_spread": _with(*_MMD1, _CENTROIDS)
+    + """
+SELECT sample_id, spreads.grp AS "group", round(spread, 6) AS spread
+FROM spreads JOIN samples USING (ord)""",
     "clr": _with(_COUNTS, _CLR)
     + """
 SELECT sample_id, feature, round(l + baseline, 6) + 0.0 AS clr

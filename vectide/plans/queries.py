@@ -467,6 +467,7 @@ def permanova_f(t: Inputs) -> DataFrame:
 
 @query
 def permanova_p(t: Inputs) -> DataFrame:
+    """All samples, 999 permutations of the labels."""
     return beta.permanova(_mmd(t), t.samples()).select(_r("f"), "p")
 
 
@@ -479,9 +480,17 @@ def permdisp_spread(t: Inputs) -> DataFrame:
 
 @query
 def permdisp(t: Inputs) -> DataFrame:
+    """Distances to centroids, 999 permutations of the residuals."""
     return beta.permdisp(_mmd(t), t.samples(), center="centroid").select(_r("f"), "p")
 
 
+@query
+def permdisp_median(t: Inputs) -> DataFrame:
+    """Distance of every sample to the spatial median of its group."""
+    out = beta.centre_distances(_mmd(t), t.samples(), center="median")
+    return out.select("sample_id", "group", _r("spread"))
+
+
 def _two_groups(t: Inputs) -> DataFrame:
     treated = F.col("group").isin("ASIA", "EUROPE")
     return t.samples().select(
