@@ -6,13 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.checks import InvalidInput, check_ids
-
-
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("line"),
-        F.split("value", "\t", -1).alias("cells"),
-    )
+from .lines import in_file_order, read_text
 
 
 def read_counts(spark: SparkSession, path: str, validate: bool = True) -> DataFrame:
@@ -20,13 +14,16 @@ def read_counts(spark: SparkSession, path: str, validate: bool = True) -> DataFr
 
     The header is read as data and paired with cells by position: names keep
     their dots and case, and a repeated name is an error instead of a silent
-    rename. Zeros are kept, since a listed protein needs a vector.
+    rename. Zeros are kept, since a listed protein needs a vector. A table may lie in
+    several files; each has the header.
     """
-    lines = _lines(spark, path)
-    header = lines.filter("line = 0").select(
+    lines = in_file_order(read_text(spark, path, "Count table")).select(
+        "ord", "opens", "value", F.split("value", "\t", -1).alias("cells")
+    )
+    header = lines.filter("ord = 0").select(
         F.posexplode("cells").alias("at", "protein_id")
     ).filter("at > 0")
-    rows = lines.filter("line > 0").filter(F.size("cells") > 1)
+    rows = lines.filter("not opens").filter(F.size("cells") > 1)
     cells = rows.select(
         F.element_at("cells", 1).alias("sample_id"),
         F.posexplode("cells").alias("at", "text"),
@@ -35,6 +32,8 @@ def read_counts(spark: SparkSession, path: str, validate: bool = True) -> DataFr
         "sample_id", "protein_id", F.expr("try_cast(text AS DOUBLE)").alias("value")
     )
     if validate:
+        if lines.filter("opens").select("value").distinct().count() > 1:
+            raise InvalidInput("every file of the count table needs the same header")
         check_ids(header, "protein_id", "Protein")
         check_ids(rows.select(F.element_at("cells", 1).alias("s")), "s", "Sample")
         if long.filter(F.col("value").isNull()).limit(1).count():
@@ -47,15 +46,13 @@ def read_counts(spark: SparkSession, path: str, validate: bool = True) -> DataFr
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """One row per sample with its metadata, and `ord`, its place in the file.
+    """One row per sample with its metadata, and `ord`, its place in the file or files.
 
     The first column names the sample and is returned as `sample_id`.
     """
     table = spark.read.csv(path, sep="\t", header=True)
     first = table.columns[0]
-    named = table.withColumnRenamed(first, "sample_id").withColumn(
-        "ord", F.monotonically_increasing_id()
-    )
+    named = in_file_order(table).drop("file", "opens").withColumnRenamed(first, "sample_id")
     check_ids(named, "sample_id", "Sample")
     return named
 
