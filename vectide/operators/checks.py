@@ -77,6 +77,16 @@ def clean_sequence(sequence: Column) -> Column:
     return F.upper(F.regexp_replace(sequence, r"\*\z", ""))
 
 
+def aligner_residues(sequence: Column) -> Column:
+    """Residues as the aligner reads them: those without a row of their own are unknown."""
+    return F.translate(sequence, "UO", "XX")
+
+
+def model_residues(sequence: Column) -> Column:
+    """Residues as embedding models read them: rare and ambiguous ones are unknown."""
+    return F.regexp_replace(sequence, "[UZOB]", "X")
+
+
 def check_sequences(seqs: DataFrame) -> DataFrame:
     """Validate `(protein_id, sequence)` rows in order; returns them cleaned."""
     if "protein_id" not in seqs.columns:

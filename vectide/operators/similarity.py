@@ -10,7 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.alignment import encode, evalues, local_scores, self_score
+from ..functions.alignment import (
+    encode,
+    evalues,
+    local_scores,
+    residue_counts,
+    score_bounds,
+)
 from ..functions.vectors import unit
 from ..session import cut
 from .checks import (
@@ -109,8 +115,10 @@ def _forest(rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
         front = np.empty(0, dtype=np.int64) if seen[seed] else np.array([seed])
         seen[front] = True
         while len(front):
-            spans = [np.arange(first[v], first[v + 1]) for v in front.tolist()]
-            at = np.concatenate(spans)
+            # all adjacency ranges of the front at once
+            spans = first[front + 1] - first[front]
+            begins = np.cumsum(spans) - spans
+            at = np.arange(spans.sum()) + np.repeat(first[front] - begins, spans)
             at = at[~seen[to[at]]]
             front, lead = np.unique(to[at], return_index=True)
             seen[front] = True
@@ -155,38 +163,86 @@ def threshold_links(
     )
 
 
+def _aligned(
+    left: pa.Table, right: pa.Table | None, close: np.ndarray, max_evalue: float, total: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns, scores and E-values of the `close` pairs of a tile that are significant.
+
+    A pair whose residues allow no score that could pass is not aligned.
+    """
+    codes_a = [encode(s) for s in left["sequence"].to_pylist()]
+    codes_b = codes_a if right is None else [encode(s) for s in right["sequence"].to_pylist()]
+    lengths_a = np.array([len(c) for c in codes_a], dtype=np.int64)
+    lengths_b = np.array([len(c) for c in codes_b], dtype=np.int64)
+    bounds = score_bounds(residue_counts(codes_a), residue_counts(codes_b))
+    shorter = np.minimum.outer(lengths_a, lengths_b)
+    rows, cols = np.nonzero(close & (evalues(bounds, shorter, total) <= max_evalue))
+    scores = local_scores([(codes_a[r], codes_b[c]) for r, c in zip(rows, cols)])
+    found = evalues(scores, shorter[rows, cols], total)
+    strong = found <= max_evalue
+    return rows[strong], cols[strong], scores[strong], found[strong]
+
+
 def _gated_tile(max_evalue: float, total: float):
     def fn(left: pa.Table, right: pa.Table | None) -> Iterator[pa.RecordBatch]:
         a = matrix(left)
         b = None if right is None else matrix(right)
-        other = left if right is None else right
         rows, cols, weight = pairs_at_least(a, b, 0.0, True)
-        codes_a = [encode(s) for s in left["sequence"].to_pylist()]
-        codes_b = (
-            codes_a
-            if right is None
-            else [encode(s) for s in right["sequence"].to_pylist()]
-        )
+        cosine = np.zeros((len(a), len(a if b is None else b)))
+        cosine[rows, cols] = weight
+        rows, cols, _, _ = _aligned(left, right, cosine > 0, max_evalue, total)
         ids_a = left["ord"].to_numpy()
-        ids_b = other["ord"].to_numpy()
-        lengths_a = np.array([len(c) for c in codes_a])
-        lengths_b = np.array([len(c) for c in codes_b])
-        bound_a = np.array([self_score(c) for c in codes_a])
-        bound_b = np.array([self_score(c) for c in codes_b])
-        shorter = np.minimum(lengths_a[rows], lengths_b[cols])
-        # a pair that its best conceivable score cannot save is not aligned
-        ceiling = np.minimum(bound_a[rows], bound_b[cols])
-        hope = evalues(ceiling, shorter, total) <= max_evalue
-        rows, cols, weight, shorter = rows[hope], cols[hope], weight[hope], shorter[hope]
-        scores = local_scores([(codes_a[r], codes_b[c]) for r, c in zip(rows, cols)])
-        strong = evalues(scores, shorter, total) <= max_evalue
-        yield from edge_batches(
-            ids_a, ids_b, rows[strong], cols[strong], weight[strong]
-        )
+        ids_b = ids_a if right is None else right["ord"].to_numpy()
+        yield from edge_batches(ids_a, ids_b, rows, cols, cosine[rows, cols])
+
+    return fn
+
+
+def _significant_tile(max_evalue: float, total: float):
+    def fn(left: pa.Table, right: pa.Table | None) -> Iterator[pa.RecordBatch]:
+        size = (left.num_rows, (left if right is None else right).num_rows)
+        every = np.ones(size, dtype=bool)
+        close = np.triu(every, 1) if right is None else every
+        rows, cols, scores, found = _aligned(left, right, close, max_evalue, total)
+        ids_a = left["ord"].to_numpy()
+        ids_b = ids_a if right is None else right["ord"].to_numpy()
+        i, j = ids_a[rows], ids_b[cols]
+        for at in range(0, len(i), _SLICE):
+            part = slice(at, at + _SLICE)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.minimum(i[part], j[part])),
+                    pa.array(np.maximum(i[part], j[part])),
+                    pa.array(scores[part]),
+                    pa.array(found[part]),
+                ],
+                names=["i", "j", "score", "evalue"],
+            )
 
     return fn
 
 
+def significant_pairs(
+    catalog: DataFrame, max_evalue: float = 0.01, tile_rows: int | None = None
+) -> DataFrame:
+    """`(i, j, score, evalue)` of all pairs of a catalog of sequences that pass the gate.
+
+    `catalog` has `protein_id`, `sequence` and optionally `ord`; vectors are not needed. A text is
+    sent once to each tile of pairs, never once for each pair. Equality with `max_evalue` passes.
+    """
+    check_max_evalue(max_evalue)
+    texts = cut(
+        alignable(with_ord(catalog)).select(F.col("ord").cast("long").alias("ord"), "sequence")
+    )
+    return map_tiles(
+        texts,
+        "ord",
+        _significant_tile(float(max_evalue), total_residues(texts)),
+        "i long, j long, score long, evalue double",
+        tile_rows or ALIGN_TILE_ROWS,
+    )
+
+
 def total_residues(catalog: DataFrame) -> float:
     return float(
         catalog.agg(F.sum(F.length("sequence").cast("double")).alias("t")).first()["t"]

@@ -180,18 +180,28 @@ _MATRIX = ", ".join(
 )
 
 # one matrix row per step; gaps along the row by a running maximum
-_SCORES = f"""
-blosum(a, b, s) AS (VALUES {_MATRIX}),
-passages AS (
-  SELECT item_id AS ord, upper(regexp_replace(text, '[^{_KEEP}]', '', 'g')) AS s
-  FROM benchmark),
+def _scores(gated: bool = False) -> str:
+    """Scores of pairs of passages: all of them, or those with a vector and cosine >= 0."""
+    if gated:
+        catalog = """
+catalog AS (SELECT ord, translate(s, 'UO', 'XX') AS s, length(s) AS len FROM passages WHERE s <> ''),
+todo AS (
+  SELECT a.ord AS i, b.ord AS j, a.s AS q, b.s AS t, a.len AS len_i, b.len AS len_j
+  FROM catalog a JOIN catalog b ON a.ord < b.ord),"""
+    else:
+        catalog = """
 catalog AS (
   SELECT p.ord, translate(s, 'UO', 'XX') AS s, length(s) AS len, e
   FROM passages p JOIN u USING (ord)),
 todo AS (
   SELECT a.ord AS i, b.ord AS j, a.s AS q, b.s AS t, a.len AS len_i, b.len AS len_j,
          list_dot_product(a.e, b.e) AS cs
-  FROM catalog a JOIN catalog b ON a.ord < b.ord WHERE list_dot_product(a.e, b.e) >= 0),
+  FROM catalog a JOIN catalog b ON a.ord < b.ord WHERE list_dot_product(a.e, b.e) >= 0),"""
+    return f"""
+blosum(a, b, s) AS (VALUES {_MATRIX}),
+passages AS (
+  SELECT item_id AS ord, upper(regexp_replace(text, '[^{_KEEP}]', '', 'g')) AS s
+  FROM benchmark),{catalog}
 columns AS (
   SELECT i, j, q, len_i, c, substr(t, c, 1) AS letter
   FROM todo, generate_series(1, len_j) g(c)),
@@ -219,6 +229,10 @@ dp(r, i, j, q, len_i, c, by_row, h, f, best) AS (
 scores AS (
   SELECT i, j, max(best) AS score FROM dp WHERE r = len_i GROUP BY i, j)"""
 
+
+_SCORES = _scores()
+
+
 _TWO = """
 two AS (
   SELECT sample_id, CASE WHEN grp IN ('ASIA', 'EUROPE') THEN 'A' ELSE 'B' END AS grp
@@ -435,6 +449,17 @@ FROM modal JOIN sizes USING (bin)""",
     + """
 SELECT i, j, score::BIGINT AS score, len_i::BIGINT AS len_i, len_j::BIGINT AS len_j
 FROM scores JOIN todo USING (i, j)""",
+    "align_columns": _with(_UNITS, _SCORES, recursive=True)
+    + """
+SELECT i, j, score::BIGINT AS score FROM scores""",
+    "evalue_gate": _with(_scores(gated=True), recursive=True)
+    + """,
+found AS (
+  SELECT i, j, score, ln(least(len_i, len_j)::DOUBLE * (SELECT sum(len) FROM catalog)) / ln(10)
+         - (0.267 * score - ln(0.041)) / ln(10) AS log_evalue
+  FROM scores JOIN todo USING (i, j))
+SELECT i, j, score::BIGINT AS score, round(log_evalue, 6) + 0.0 AS log_evalue
+FROM found WHERE log_evalue <= -2""",
     "gated_similarity": _with(_UNITS, _SCORES, recursive=True)
     + """
 SELECT i, j, round(least(cs, 1), 6) AS weight FROM scores JOIN todo USING (i, j)
@@ -617,7 +642,9 @@ sym AS (
     + """
 SELECT i AS protein_id, count(*) AS neighbours, round(sum(p), 6) AS mass FROM sym GROUP BY i""",
     "fasta_records": _with(_SEQS)
-    + "\nSELECT protein_id, s AS sequence FROM texts",
+    + """
+SELECT row_number() OVER (ORDER BY protein_id) - 1 AS ord, protein_id, s AS sequence, true AS headed
+FROM texts""",
     "embed_composition": _with(_SEQS)
     + f""",
 shares AS (

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import alignment
 from ..functions import vectors as vec
 from ..operators import beta, bins, checks, differential, distances, ordination
 from ..operators.align import align_pairs
@@ -17,6 +18,7 @@ from ..operators.labels import pooled_labels, top_labels
 from ..operators.mcl import DENSE_LIMIT, markov_clusters
 from ..operators.similarity import (
     protein_similarity,
+    significant_pairs,
     similarity_degrees,
     threshold_graph,
 )
@@ -104,8 +106,8 @@ def sequence_remap(t: Inputs) -> DataFrame:
     """Residues as the aligner and as a model read them."""
     return t.texts().select(
         "protein_id",
-        F.translate("sequence", "UO", "XX").alias("aligned"),
-        F.regexp_replace("sequence", "[UZOB]", "X").alias("modelled"),
+        checks.aligner_residues(F.col("sequence")).alias("aligned"),
+        checks.model_residues(F.col("sequence")).alias("modelled"),
     )
 
 
@@ -365,8 +367,27 @@ def align_score(t: Inputs) -> DataFrame:
     )
 
 
+@query
+def align_columns(t: Inputs) -> DataFrame:
+    """The column function over the texts of both ends of the passages' links."""
+    pairs = threshold_graph(t.passages(), 0.0).select("i", "j")
+    texts = t.texts("benchmark", "item_id")
+    left = texts.select(F.col("ord").alias("i"), F.col("sequence").alias("a"))
+    right = texts.select(F.col("ord").alias("j"), F.col("sequence").alias("b"))
+    both = pairs.join(left, "i").join(right, "j")
+    return both.select("i", "j", alignment.align_score("a", "b").alias("score"))
+
+
 @query
 def evalue_gate(t: Inputs) -> DataFrame:
+    """All pairs of the whole benchmark that align significantly, whole texts, no vectors."""
+    return significant_pairs(t.texts("benchmark", "item_id"), 0.01).select(
+        "i", "j", "score", _r(F.log10("evalue"), "log_evalue")
+    )
+
+
+@query
+def evalue_gate_documents(t: Inputs) -> DataFrame:
     """Linked vectors whose documents align significantly, whole texts."""
     texts = t.texts()
     # a pair needs both texts: some tables hold more vectors than documents
@@ -563,12 +584,12 @@ def tsne(t: Inputs) -> DataFrame:
 
 @query
 def fasta_records(t: Inputs) -> DataFrame:
-    """Documents written as FASTA to the shared folder and scanned back."""
+    """Documents written as FASTA parts to the shared folder and scanned back in file order."""
     path = f"{checkpoint_dir(t.spark)}/fasta-{uuid.uuid4().hex}"
     write_fasta(t.texts(), path)
     records = read_records(t.spark, path)
     return records.select(
-        F.col("protein_id").cast("long").alias("protein_id"), "sequence"
+        "ord", F.col("protein_id").cast("long").alias("protein_id"), "sequence", "headed"
     )
 
 
