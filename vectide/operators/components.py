@@ -1,4 +1,4 @@
-"""Connected components by repeated hooking and relabelling."""
+"""Connected components by alternating two ways of hooking nodes to smaller ones."""
 
 from __future__ import annotations
 
@@ -8,65 +8,61 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-def _undirected(edges: DataFrame) -> DataFrame:
-    return (
-        edges.filter(F.col("i") != F.col("j"))
-        .select(F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
-        .distinct()
-    )
+def _lowest(edges: DataFrame) -> DataFrame:
+    """Each node's smallest smaller neighbour; map-side minimum, so a hub is one row per task."""
+    return edges.groupBy(F.col("hi").alias("_node")).agg(F.min("lo").alias("_least"))
 
 
-def _roots(parents: DataFrame) -> DataFrame:
-    """Every node's root: pointers jump to their pointer's target until none moves.
+def _hooked(edges: DataFrame) -> DataFrame:
+    """One round on edges (hi, lo): nodes meet the smallest node around their neighbours.
 
-    Each jump halves the depth, so a path of n nodes takes log2(n) of them.
+    First every edge moves its lower end to the smallest neighbour of that end. Then the lower ends
+    of each node, and the node itself, are hooked to the smallest of them. `changed` marks edges that
+    either step made; without any, every component is a star around its smallest node.
     """
-    while True:
-        above = parents.select(
-            F.col("node").alias("parent"), F.col("parent").alias("_grand")
-        )
-        jumped = cut(parents.join(above, "parent", "left"))
-        if jumped.filter(F.col("_grand").isNotNull()).isEmpty():
-            return parents
-        parents = jumped.select("node", F.coalesce("_grand", "parent").alias("parent"))
+    below = _lowest(edges)
+    moved = edges.join(below, F.col("lo") == F.col("_node"), "left").select(
+        "hi", F.coalesce("_least", "lo").alias("lo"), F.col("_least").isNotNull().alias("_moved")
+    )
+    least = _lowest(moved)
+    around = moved.join(least, F.col("hi") == F.col("_node")).select(
+        "hi", "lo", "_least", (F.col("_moved") | (F.col("lo") != F.col("_least"))).alias("changed")
+    )
+    ends = F.array(
+        F.struct(F.col("hi").alias("hi"), F.col("_least").alias("lo")),
+        F.struct(F.col("lo").alias("hi"), F.col("_least").alias("lo")),
+    )
+    return (
+        around.select("changed", F.inline(F.filter(ends, lambda e: e["hi"] != e["lo"])))
+        .groupBy("hi", "lo")
+        .agg(F.max("changed").alias("changed"))
+    )
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """`(node, component)`: the smallest node of the component names it.
 
-    Every round hooks each node to its smallest neighbour (an aggregate with
-    map-side minimum, so a hub costs one row per task), jumps pointers to the
-    roots, and rewrites the edges between surviving roots. Edges shrink every
-    round and are written out, so lineage stays one round long. With `nodes`, nodes
+    Each round is one job that writes the edges it leaves, with a mark on those that are new; the number
+    of edges never grows and rounds grow with the logarithm of the longest path. With `nodes`, nodes
     without an edge are components of their own.
     """
-    live = cut(_undirected(edges))
-    hooks: list[DataFrame] = []
-    while not live.isEmpty():
-        lowest = live.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent"))
-        parents = _roots(cut(lowest))
-        hooks.append(parents)
-        to_lo = parents.select(F.col("node").alias("lo"), F.col("parent").alias("_lo"))
-        to_hi = parents.select(F.col("node").alias("hi"), F.col("parent").alias("_hi"))
-        moved = (
-            live.join(to_lo, "lo", "left")
-            .join(to_hi, "hi", "left")
-            .select(
-                F.coalesce("_lo", "lo").alias("i"), F.coalesce("_hi", "hi").alias("j")
-            )
-        )
-        live = cut(_undirected(moved))
+    live = (
+        edges.filter(F.col("i") != F.col("j"))
+        .select(F.greatest("i", "j").alias("hi"), F.least("i", "j").alias("lo"))
+        .distinct()
+    )
+    while True:
+        live = cut(_hooked(live.select("hi", "lo")))
+        if live.filter("changed").isEmpty():
+            break
     if nodes is None:
         nodes = edges.select(F.col("i").alias("node")).union(edges.select("j")).distinct()
-    labels = nodes.select("node", F.col("node").alias("component"))
-    for parents in hooks:
-        step = parents.select(
-            F.col("node").alias("component"), F.col("parent").alias("_up")
-        )
-        labels = labels.join(step, "component", "left").select(
-            "node", F.coalesce("_up", "component").alias("component")
-        )
-    return cut(labels)
+    stars = live.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+    return cut(
+        nodes.select("node")
+        .join(stars, "node", "left")
+        .select("node", F.coalesce("component", "node").alias("component"))
+    )
 
 
 def graph_stats(edges: DataFrame, components: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from ..session import cut, task_slots
 
 TILE_ROWS = 2048
 # blocks are not cut smaller than this to keep cores busy
-_LEAST_ROWS = 64
+_LEAST_ROWS = 512
 _MAX_PIVOTS = 1024
 _ANGLE_SLACK = 1e-6
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,3 +44,13 @@ def task_slots(spark: SparkSession) -> int:
         spark.sparkContext.defaultParallelism,
         int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
     )
+
+
+def process_cache(name: str) -> dict:
+    """A dictionary that all tasks of one worker process share.
+
+    Functions of this package are shipped by value, so a module's globals are new in every task; what
+    hangs on a module that the process keeps is not.
+    """
+    keeper = sys.modules.setdefault("_vectide_process", types.ModuleType("_vectide_process"))
+    return keeper.__dict__.setdefault(name, {})
