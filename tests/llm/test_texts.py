@@ -1,6 +1,7 @@
 """Operators that read each text for itself: tokens, toxicity, quality."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -9,7 +10,16 @@ import pytest
 from llm_tables import awkward, nothing, prose
 from tokenizers import Tokenizer
 
-from vectide.llm.quality import estimate_prior, quality_scores
+from vectide.llm.quality import (
+    FEATURES,
+    QUANTILES,
+    RIDGE,
+    estimate_prior,
+    expanded,
+    fit_risk,
+    quality_scores,
+    sums_over,
+)
 from vectide.llm.tokens import TokenCounter, token_counts
 from vectide.llm.toxicity import Automaton, context_features, toxicity_scores
 
@@ -50,6 +60,29 @@ def test_counts_are_the_librarys(monkeypatch):
     assert TokenCounter(PATH).counts(texts) == want
 
 
+def test_texts_without_spaces_merge_in_time(monkeypatch):
+    """Long pre-tokens count as the library does, and time grows nearly with their length."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    long = [
+        "".join(rng.choice(letters) for _ in range(200_000)),
+        "x" * 50_001,
+        "theinternationalization" * 2000,
+        "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(20_000)),
+    ]
+    library, counter = Tokenizer.from_file(PATH), TokenCounter(PATH)
+    start = time.process_time()
+    got = counter.counts(long)
+    assert time.process_time() - start < 5
+    assert got == [len(e.ids) for e in library.encode_batch(long, add_special_tokens=False)]
+    # the same merges for short sequences, overlapping pairs among them
+    monkeypatch.setattr("vectide.llm.tokens.LONG", 1)
+    texts = ["".join(rng.choice("abeht é漢x") for _ in range(rng.randrange(200))) for _ in range(300)]
+    texts += ["a" * k for k in range(60)] + awkward_texts()
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert TokenCounter(PATH).counts(texts) == want
+
+
 def test_token_counts_of_awkward_rows(spark):
     docs = awkward(spark)
     library = Tokenizer.from_file(PATH)
@@ -158,7 +191,46 @@ def test_prior_is_found():
     rng = np.random.default_rng(0)
     positive = rng.normal(2, 1, 4000)
     mixed = np.concatenate([rng.normal(2, 1, 3000), rng.normal(-2, 1, 7000)])
-    assert estimate_prior(positive, mixed) == pytest.approx(0.3, abs=0.04)
+    shares = lambda at: np.array([(mixed >= t).mean() for t in at])
+    assert estimate_prior(positive, shares) == pytest.approx(0.3, abs=0.04)
+
+
+def test_risk_is_minimised_over_all_rows(spark):
+    """Sums on Spark are those of all rows, and no small change of the weights lowers the risk."""
+    rng = np.random.default_rng(2)
+    rows = rng.normal(0, 1, (3000, len(FEATURES)))
+    rows[:1200, :4] += 1.5
+    good = rows[:900]
+    cuts = np.quantile(rows, QUANTILES, axis=0).T
+    table = spark.createDataFrame(rows.tolist(), ", ".join(f"{f} double" for f in FEATURES))
+    sums = sums_over(table.repartition(7), cuts)
+    x, p = expanded(rows, cuts), expanded(good, cuts)
+    assert np.allclose(sums(lambda x: x.sum(axis=0)), x.sum(axis=0))
+
+    def risk(w, prior=0.4):
+        other = np.logaddexp(0, x @ w).mean() - prior * np.logaddexp(0, p @ w).mean()
+        return prior * np.logaddexp(0, -(p @ w)).mean() + other + RIDGE / 2 * w @ w, other
+
+    w = fit_risk(p, sums, 0.4, np.zeros(x.shape[1]))
+    least, part = risk(w)
+    assert least < risk(np.zeros(len(w)))[0]
+    # no small change lowers it by more than the last halving leaves open
+    for _ in range(50):
+        other, at = risk(w + rng.normal(0, 0.02, len(w)))
+        assert min(part, at) < 0 or other > least - 2e-3
+
+
+def test_one_hot_id_does_not_fill_the_sample(spark):
+    """An id on most rows is one id of the sample, and its rows do not reach the driver."""
+    docs, labels = labelled(spark, 200)
+    hot = docs.limit(1).select("text").crossJoin(spark.range(3000)).selectExpr("5L as doc_id", "text")
+    docs = docs.select("doc_id", "text").unionByName(hot)
+    for scores, column in ((toxicity_scores, "toxic"), (quality_scores, "quality")):
+        rows = scores(docs, labels).collect()
+        assert len(rows) == 3200
+        want = {r.doc_id: r[column] for r in labels.collect()}
+        right = [r.predicted == want[r.doc_id] for r in rows if r.doc_id != 5 and r.doc_id in want]
+        assert np.mean(right) > 0.9
 
 
 @pytest.mark.parametrize("scores", [toxicity_scores, quality_scores])

@@ -14,21 +14,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import process_cache
 from .lexicon import code_words, packed, put_back, unpacked, word_blocks
 from .tokens import PRE_TOKENS
 
-_LOADED: dict[str, dict[bytes, int]] = {}
 # ids in one batch of decoded rows
 _BATCH_IDS = 2**20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and their ids from a file of base64 tokens and ranks, once a process."""
-    if path not in _LOADED:
+    loaded = process_cache("ranks")
+    if path not in loaded:
         with open(path, "rb") as file:
             lines = (line.split() for line in file if line.strip())
-            _LOADED[path] = {base64.b64decode(token): int(rank) for token, rank in lines}
-    return _LOADED[path]
+            loaded[path] = {base64.b64decode(token): int(rank) for token, rank in lines}
+    return loaded[path]
 
 
 def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:

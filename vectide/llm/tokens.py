@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -12,6 +13,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import process_cache
+from .common import by_slices
+
 LIMIT = 512
 # pre-tokens of byte-level BPE; fixed by the published tokenizer, white space spelled out
 PRE_TOKENS = (
@@ -22,6 +26,8 @@ PRE_TOKENS = (
 BLOCK_CHARS = 2**20
 BLOCK_TOKENS = 2**16
 REMEMBERED = 300_000
+# bytes from which a pre-token is merged with the places of its pairs at hand
+LONG = 256
 _NONE = np.iinfo(np.int64).max
 
 
@@ -79,15 +85,89 @@ class TokenCounter:
         ranks[ends - 1] = _NONE
         return ranks
 
+    def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        at = np.searchsorted(self._keys, keys).clip(max=len(self._keys) - 1)
+        return np.where(self._keys[at] == keys, self._order[at], _NONE)
+
     def merged_lengths(self, sequences: list[bytes]) -> np.ndarray:
-        """Symbols left of each byte sequence when no pair has a merge.
+        """Symbols left of each byte sequence when no pair has a merge."""
+        lengths = np.array([len(s) for s in sequences], np.int64)
+        result = np.zeros(len(sequences), np.int64)
+        long = lengths > LONG
+        for some, merge in ((~long, self._merged_short), (long, self._merged_long)):
+            at = np.flatnonzero(some)
+            if len(at):
+                result[at] = merge([sequences[k] for k in at], lengths[at])
+        return result
+
+    def _merged_long(self, sequences: list[bytes], lengths: np.ndarray) -> np.ndarray:
+        """The same merges with each round's cost in proportion to its merges.
 
-        All sequences lie in one array. In each round every sequence applies its own lowest
+        A long sequence has about a round for each of its ranks. So places are kept in buckets by
+        rank, with the places before and after each; a round takes the lowest rank of all
+        sequences and looks anew only at pairs beside its merges. Merging one sequence does not
+        touch another, and a merge only makes pairs of higher rank, so each sequence still
+        merges its own lowest rank first.
+        """
+        symbols = self._bytes[np.frombuffer(b"".join(sequences), np.uint8)]
+        n = len(symbols)
+        ends = np.cumsum(lengths)
+        # place n stands for no neighbour
+        symbols = np.append(symbols, -1)
+        after = np.arange(1, n + 2)
+        before = np.arange(-1, n)
+        after[ends - 1] = n
+        before[ends - lengths] = n
+        ranks = self._pair_ranks(symbols, symbols[after.clip(max=n)])
+        ranks[n] = _NONE
+        alive = np.ones(n, bool)
+        order = np.argsort(ranks, kind="stable")
+        order = order[ranks[order] != _NONE]
+        cuts = np.flatnonzero(np.diff(ranks[order], prepend=-1, append=-1)) if len(order) else []
+        buckets = {int(ranks[order[a]]): [order[a:b]] for a, b in zip(cuts, cuts[1:])}
+        heap = sorted(buckets)
+        while heap:
+            rank = heappop(heap)
+            # a place is noted twice if both of its sides changed
+            places = np.unique(np.concatenate(buckets.pop(rank)).astype(np.int64))
+            places = places[ranks[places] == rank]
+            if not len(places):
+                continue
+            # in a run of overlapping places every other one merges
+            fresh = np.ones(len(places), bool)
+            fresh[1:] = after[places[:-1]] != places[1:]
+            run = np.flatnonzero(fresh)
+            into = np.arange(len(places)) - run[np.cumsum(fresh) - 1]
+            places = places[into % 2 == 0]
+            gone = after[places]
+            beyond = after[gone]
+            symbols[places] = self._merged[rank]
+            alive[gone] = False
+            ranks[gone] = _NONE
+            after[places] = beyond
+            before[beyond] = places
+            beside = before[places]
+            touched = np.concatenate([places, beside[beside != n]])
+            found = self._pair_ranks(symbols[touched], symbols[after[touched]])
+            ranks[touched] = found
+            new = found != _NONE
+            for place, value in zip(touched[new].tolist(), found[new].tolist()):
+                held = buckets.get(value)
+                if held is None:
+                    buckets[value] = held = [[]]
+                    heappush(heap, value)
+                if not isinstance(held[-1], list):
+                    held.append([])
+                held[-1].append(place)
+        return np.add.reduceat(alive.astype(np.int64), ends - lengths)
+
+    def _merged_short(self, sequences: list[bytes], lengths: np.ndarray) -> np.ndarray:
+        """All sequences lie in one array. In each round every sequence applies its own lowest
         rank at all its places, from the left where they overlap; a pair's result can
         only form pairs of higher rank, so this is the order of one merge at a time.
         Sequences without a merge leave the array with their length.
         """
-        lengths = np.array([len(s) for s in sequences], np.int64)
         result = lengths.copy()
         symbols = self._bytes[np.frombuffer(b"".join(sequences), np.uint8)]
         active = np.flatnonzero(lengths > 1)
@@ -161,30 +241,30 @@ class TokenCounter:
         return totals
 
 
-_LOADED: dict[str, TokenCounter] = {}
-
-
 def token_counter(path: str) -> TokenCounter:
     """One counter for each vocabulary file and worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = TokenCounter(path)
-    return _LOADED[path]
+    loaded = process_cache("token_counters")
+    if path not in loaded:
+        loaded[path] = TokenCounter(path)
+    return loaded[path]
 
 
 def _counted(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = token_counter(path)
-        for batch in batches:
-            texts = [text or "" for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
+
+        def count(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
-                    pa.array([len(text.encode()) for text in texts], pa.int64()),
-                    pa.array(counter.counts(texts), pa.int64()),
+                    pa.array([len(text) for text in texts], pa.int64()),
+                    pa.array(counter.counts([text.decode() for text in texts]), pa.int64()),
                 ],
                 ["id", "n_bytes", "n_tokens"],
             )
 
+        return by_slices(batches, count)
+
     return run
 
 
@@ -195,7 +275,7 @@ def token_counts(
 
     `path` names a byte-level BPE tokenizer file, present on every machine. Whole texts
     are counted; long ones go through in blocks of pre-tokens, so memory is bounded by the
-    text itself. Null text counts as empty: 0 bytes, 0 tokens. Null keys and repeated rows
+    text itself. A text without spaces is one pre-token, whose time grows nearly with its length. Null text counts as empty: 0 bytes, 0 tokens. Null keys and repeated rows
     are rows like others. An empty table gives an empty one. Other columns are not read.
     """
     kind = df.schema[key].dataType.simpleString()

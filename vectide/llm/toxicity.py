@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import hash_sample, held_out
+from .common import by_slices, hash_sample, held_out, text_slices
 
 # labelled rows of each label that lexicon and weights are learned from, at most
 FIT_ROWS = 10_000
@@ -198,8 +198,10 @@ def _terms(text: str) -> set[str]:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, label in zip(*(batch.column(c).to_pylist() for c in ("text", "label"))):
-            counts[label].update(_terms(text or ""))
+        labels = batch.column("label").to_pylist()
+        for at, texts in text_slices(batch):
+            for label, text in zip(labels[at:], texts):
+                counts[label].update(_terms(text.decode()))
         terms = list(counts[0].keys() | counts[1].keys())
         yield pa.RecordBatch.from_arrays(
             [
@@ -218,12 +220,13 @@ def _near(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(weights)
-        for batch in batches:
-            words: set[str] = set()
-            for text in batch.column("text").to_pylist():
-                words.update(_WORDS.findall((text or "").lower()))
-            near = [w for w in words if (found := automaton.find(w)) and found[0]]
-            yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], ["word"])
+
+        def near(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+            words = {w for text in texts for w in _WORDS.findall(text.decode().lower())}
+            found = [w for w in words if (hit := automaton.find(w)) and hit[0]]
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["word"])
+
+        return by_slices(batches, near)
 
     return run
 
@@ -233,12 +236,10 @@ def _measured(
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(weights)
-        for batch in batches:
-            rows = [
-                context_features(text or "", automaton, ordinary)
-                for text in batch.column("text").to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
+
+        def measure(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+            rows = [context_features(text.decode(), automaton, ordinary) for text in texts]
+            return pa.RecordBatch.from_arrays(
                 [batch.column("id")]
                 + [
                     pa.array([row[k] for row in rows], pa.float64())
@@ -247,6 +248,8 @@ def _measured(
                 ["id", *FEATURES],
             )
 
+        return by_slices(batches, measure)
+
     return run
 
 
@@ -343,7 +346,13 @@ def toxicity_scores(
     near = clean.mapInArrow(_near(weights), "word string").distinct().collect()
     ordinary = frozenset(row["word"] for row in near)
     features = cut(texts.mapInArrow(_measured(weights, ordinary), f"id long, {_FEATURE_TYPES}"))
-    learned = features.join(F.broadcast(fit), "id").toPandas()
+    # one row for each fitted id, however many rows repeat it; a repeated id counts by its means
+    learned = (
+        features.join(F.broadcast(fit), "id")
+        .groupBy("id")
+        .agg(F.first("label").alias("label"), *[F.avg(name).alias(name) for name in FEATURES])
+        .toPandas()
+    )
     if learned["label"].nunique() == 2:
         w = fit_logistic(learned[list(FEATURES)].to_numpy(), learned["label"].to_numpy())
         z = F.lit(float(w[-1]))
