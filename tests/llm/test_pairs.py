@@ -8,10 +8,12 @@ import numpy as np
 import pytest
 from llm_tables import CLASHING, awkward, nothing, prose
 
+from vectide.llm import ann, decontam, neardup
 from vectide.llm.ann import nearest, scan
 from vectide.llm.decontam import leaks, templates
 from vectide.llm.neardup import fewest_matches, near_duplicates
 from vectide.llm.shingles import word_hashes
+from vectide.session import cut
 
 
 def shingles(text, size=5):
@@ -75,6 +77,74 @@ def test_near_duplicates_are_the_exact_components(spark, copies):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+@pytest.fixture(scope="module")
+def stars():
+    """Groups of edits of one text, at every distance, some of them edits of edits."""
+    rng = random.Random(14)
+    texts = []
+    for g, (members, branches) in enumerate([(220, 3), (120, 0), (40, 1)]):
+        base = prose(500 + g, 110 + 30 * g, 5000).split()
+        texts.append(" ".join(base))
+        for _ in range(branches):
+            branch = edited(base, rng, 6).split()
+            texts += [edited(branch, rng, rng.randrange(5)) for _ in range(members // 5)]
+        for _ in range(members):
+            words = edited(base, rng, rng.randrange(1, 8)).split()
+            for _ in range(rng.randrange(3)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randrange(2)] = [f"i{rng.randrange(9)}"] * rng.randrange(2)
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    return dict(enumerate(texts))
+
+
+def test_members_of_a_star_are_the_exact_components(spark, stars, monkeypatch):
+    docs = spark.createDataFrame(list(stars.items()), "doc_id long, text string")
+    tried = []
+    whole = neardup._by_differences
+    monkeypatch.setattr(
+        neardup, "_by_differences", lambda *a: tried.append(cut(whole(*a))) or tried[-1]
+    )
+    rows = near_duplicates(docs).collect()
+    want = components({k: shingles(t) for k, t in stars.items()})
+    assert {r.doc_id: r.component_id for r in rows} == want
+    # members of three groups that no centre links, without trying all pairs of them
+    assert sum(t.count() for t in tried) < 4 * len(stars)
+
+
+def test_differences_keep_every_link(spark):
+    """All pairs of a bucket with an open member are found, for every percent."""
+    rng = random.Random(3)
+    for percent in (60, 75, 90):
+        head = set(range(60))
+        sets = {0: head}
+        for node in range(1, 90):
+            some = set(rng.choice(list(sets.values()))) if node % 3 else set(head)
+            for _ in range(rng.randrange(1, 12)):
+                some.discard(rng.choice(sorted(some)))
+                some.add(rng.randrange(100 + node % 5 * 10))
+            sets[node] = some
+        def linked(a, b):
+            return 100 * len(a & b) >= percent * len(a | b)
+        direct = {n for n in sets if linked(sets[n], head)}
+        near = spark.createDataFrame(
+            [(0, n, n not in direct, 0 if n in direct else n) for n in sets],
+            "head long, node long, _open boolean, component long",
+        )
+        table = spark.createDataFrame(
+            [(n, sorted(v), n) for n, v in sets.items()], "node long, shingles array<long>, text long"
+        )
+        search = neardup._Search(table, table, percent)
+        found = {(r.i, r.j) for r in neardup._by_differences(near, search).collect()}
+        open_pairs = {
+            (a, b)
+            for a in sets
+            for b in sets
+            if 0 < a < b and not {a, b} <= direct and linked(sets[a], sets[b])
+        }
+        assert len(open_pairs) > 10 and open_pairs <= found
+
+
 def test_bayes_needs_more_matches_with_more_hashes():
     needed = fewest_matches()
     assert needed == sorted(needed) and 0 < needed[0] < 30 and needed[-1] < 0.75 * 150
@@ -230,6 +300,47 @@ def test_items_without_literals_or_spaces_and_long_passages_leak(spark):
     assert {(r.doc_id, r.item_id) for r in found} == {(k, k) for k in range(1, 5)}
 
 
+def test_a_preamble_of_all_items_costs_no_pairs(spark, monkeypatch):
+    """Documents with a shared preamble meet only the items that they may hold."""
+    preamble = prose(70, 20, 5000)
+    items = [(k, f"{preamble} {prose(7000 + k, 24, 5000)}") for k in range(60)]
+    short = [(100 + k, f"{preamble} {prose(8000 + k, 6, 5000)}") for k in range(3)]
+    docs = [(k, f"{prose(k, 30)} {preamble} {prose(90 + k, 40)}") for k in range(50)]
+    docs += [(100 + k, f"{prose(k, 9)} {items[k][1]} {prose(k, 8)}") for k in range(0, 60, 7)]
+    met, real = [], decontam._met
+    monkeypatch.setattr(decontam, "_met", lambda *a: met.append(cut(real(*a))) or met[-1])
+    found = leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items + short, "item_id long, text string"),
+    ).collect()
+    pairs = {(r.doc_id, r.item_id) for r in found}
+    # the preamble is more than half of the short items, which so leak into all documents
+    own = {(100 + k, k) for k in range(0, 60, 7)}
+    assert pairs == own | {(d, i) for d, _ in docs for i, _ in short}
+    # a row for each reading, window and leaking pair, none for the others
+    assert {(r._doc, r._item) for r in met[0].collect()} == pairs
+
+
+def test_texts_of_codes_are_not_templates_of_each_other(spark):
+    rng = random.Random(12)
+    codes = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    docs = [(k, codes()) for k in range(20)]
+    items = [(k, codes()) for k in range(20)] + [(99, docs[7][1])]
+    found = leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string"),
+    ).collect()
+    assert [(r.doc_id, r.item_id) for r in found] == [(7, 99)]
+    # a number that opens a word is still a slot
+    asked = "a train covers 5km of track before it reaches the second northern station"
+    other = asked.replace("5km", "17km")
+    found = leaks(
+        spark.createDataFrame([(1, other)], "doc_id long, text string"),
+        spark.createDataFrame([(2, asked)], "item_id long, text string"),
+    ).collect()
+    assert [(r.reparameterised, r.changed) for r in found] == [(True, 1)]
+
+
 def test_leaks_of_awkward_rows(spark):
     docs = awkward(spark)
     items = awkward(spark).withColumnRenamed("doc_id", "item_id")
@@ -263,6 +374,46 @@ def test_scan_keeps_every_near_row():
     assert hit > 0.98 * 300
 
 
+def test_rows_that_set_the_distance_stay():
+    """Rows that differ from the query along one rotated axis fail the test, but not all may go."""
+    rng = np.random.default_rng(3)
+    turn = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    query = rng.normal(size=64)
+    rows = query + np.outer(rng.uniform(1, 2, 200), turn[:, 5])
+    at, scores = scan(rows, rows @ turn, query, query @ turn, float("inf"), 11)
+    exact = np.sort(np.sqrt(((rows - query) ** 2).sum(axis=1)))
+    assert len(at) >= 11 and np.allclose(np.sort(scores)[:11], exact[:11])
+
+
+def test_clustered_vectors_probe_few_lists():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 32)) * 10
+    near = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 32))
+    far = rng.normal(size=(4000, 32))
+    for points, most in ((near, 0.2), (far, 1.0)):
+        centroids = ann.fit_centroids(points, 40)
+        home = ((points[:, None] - centroids) ** 2).sum(axis=2).argmin(axis=1)
+        share = ann.probed_share(points, centroids, np.bincount(home, minlength=40), 10)
+        assert 0 < share <= most
+
+
+def test_recall_at_the_shipped_setting(spark):
+    data = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = data.select("vec_id", "embedding").collect()
+    ids = np.array([r.vec_id for r in rows])
+    points = np.array([r.embedding for r in rows], np.float64)
+    found = defaultdict(set)
+    for r in nearest(data, data.filter("vec_id % 100 = 0")).collect():
+        found[r.query_id].add(r.vec_id)
+    hit = 0
+    for query, near in found.items():
+        at = np.flatnonzero(ids == query)[0]
+        exact = np.sqrt(((points - points[at]) ** 2).sum(axis=1))
+        exact[at] = np.inf
+        hit += len(near & set(ids[np.lexsort((ids, exact))[:10]].tolist()))
+    assert len(found) == 20 and hit >= 0.95 * 200
+
+
 def test_recall_and_ranks(spark):
     rng = np.random.default_rng(1)
     data = rng.normal(size=(1500, 16))

@@ -8,12 +8,13 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import cut
-from .common import in_bitmap, key_bitmap
+from .common import by_slices, in_bitmap, key_bitmap
 from .shingles import shingle_hashes, shingle_set, word_hashes
 
 SHINGLE_WORDS = 5
@@ -22,13 +23,13 @@ PERCENT = 75
 # a pair at the threshold shares no band with probability (1 - 0.75**5)**30 = 0.0003
 BANDS, BAND_ROWS = 30, 5
 HASHES = BANDS * BAND_ROWS
-# different orders by which buckets choose the member that all are compared with
-HEADS = 3
 # signatures keep 8 bits of each minimum: unequal minima agree by chance in 1 of 256
 CHANCE = 1 / 256
 # pairs are pruned when a link is less likely than this, checked after each batch
 MISS = 1e-6
 BATCH = 30
+# new centres are chosen while a round leaves at most this share of its rows apart
+WORTH = 0.5
 _CHUNK = 4096
 _FILTER_BITS = 26
 
@@ -69,52 +70,45 @@ def fewest_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:
 
 
 def _signed(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, counts, signatures = [], [], []
-            for text in batch.column("text").to_pylist():
-                words = word_hashes(text or b"")
-                shingles = np.unique(shingle_hashes(words, size))
-                keys.append(hashlib.md5(words.tobytes()).digest() if len(words) else None)
-                counts.append(len(shingles))
-                signatures.append(signature(shingles).tobytes() if len(words) else None)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc"),
-                    pa.array(keys, pa.binary()),
-                    pa.array(counts, pa.int64()),
-                    pa.array(signatures, pa.binary()),
-                ],
-                ["doc", "key", "n", "signature"],
-            )
+    def sign(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        keys, counts, signatures = [], [], []
+        for text in texts:
+            words = word_hashes(text)
+            shingles = np.unique(shingle_hashes(words, size))
+            keys.append(hashlib.md5(words.tobytes()).digest() if len(words) else None)
+            counts.append(len(shingles))
+            signatures.append(signature(shingles).tobytes() if len(words) else None)
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc"),
+                pa.array(keys, pa.binary()),
+                pa.array(counts, pa.int64()),
+                pa.array(signatures, pa.binary()),
+            ],
+            ["doc", "key", "n", "signature"],
+        )
 
-    return run
+    return lambda batches: by_slices(batches, sign)
 
 
 def _sets(
-    size: int, wanted: np.ndarray
+    size: int, wanted: Broadcast
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc")
-            some = ids.is_valid().to_numpy(zero_copy_only=False)
-            some &= in_bitmap(wanted, ids.fill_null(0).to_numpy())
-            batch = batch.filter(pa.array(some))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc"),
-                    pa.array(
-                        [
-                            shingle_set(text or b"", size).tobytes()
-                            for text in batch.column("text").to_pylist()
-                        ],
-                        pa.binary(),
-                    ),
-                ],
-                ["doc", "shingles"],
-            )
+    def sets(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        ids = batch.column("doc")
+        some = ids.is_valid().to_numpy(zero_copy_only=False)
+        some &= in_bitmap(wanted.value, ids.fill_null(0).to_numpy())
+        found = [
+            shingle_set(text, size).view(np.int64) for text, use in zip(texts, some) if use
+        ]
+        ends = np.cumsum([0, *map(len, found)])
+        flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+        return pa.RecordBatch.from_arrays(
+            [ids.filter(pa.array(some)), lists], ["node", "shingles"]
+        )
 
-    return run
+    return lambda batches: by_slices(batches, sets)
 
 
 def _pruned(
@@ -136,31 +130,12 @@ def _pruned(
                 alive = alive[matches[alive] >= least]
             kept = pa.array(alive)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("i").take(kept), batch.column("j").take(kept)]
-                + [pa.array(matches[alive])],
-                ["i", "j", "matches"],
+                [batch.column("i").take(kept), batch.column("j").take(kept)], ["i", "j"]
             )
 
     return run
 
 
-def _verified(
-    percent: int,
-) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for left, right in zip(
-                batch.column("left").to_pylist(), batch.column("right").to_pylist()
-            ):
-                a, b = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                linked.append(100 * shared >= percent * (len(a) + len(b) - shared))
-            yield batch.filter(pa.array(linked, pa.bool_())).select(["i", "j"])
-
-    return run
-
-
 def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     """Pairs with the values of both ends, as `left` and `right`."""
     left = table.select(F.col("node").alias("i"), F.col(value).alias("left"))
@@ -168,80 +143,166 @@ def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return pairs.join(left, "i").join(right, "j").select("i", "j", "left", "right")
 
 
-def _parted(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are not yet in one component, with both labels."""
-    of_i = labels.select(F.col("node").alias("i"), F.col("component").alias("_ci"))
-    of_j = labels.select(F.col("node").alias("j"), F.col("component").alias("_cj"))
-    return (
-        pairs.join(of_i, "i", "left")
-        .join(of_j, "j", "left")
-        .withColumn("_ci", F.coalesce("_ci", "i"))
-        .withColumn("_cj", F.coalesce("_cj", "j"))
-        .filter("_ci != _cj")
-    )
-
-
-def _best(pairs: DataFrame) -> DataFrame:
-    """The most similar open pair of every component."""
-    best = F.max(F.struct("matches", (-F.col("i")).alias("_i"), (-F.col("j")).alias("_j"), "i", "j"))
-    return (
-        pairs.select("i", "j", "matches", F.explode(F.array("_ci", "_cj")).alias("_component"))
-        .groupBy("_component")
-        .agg(best.alias("_best"))
-        .select("_best.i", "_best.j")
-        .distinct()
-    )
+def _labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """`rows` with the component of `node`; a node without links is one of its own."""
+    label = labels.select(F.col("node").alias(node), F.col("component").alias(name))
+    return rows.join(label, node, "left").withColumn(name, F.coalesce(name, node))
 
 
 class _Search:
-    """What the steps of one search share: texts, signatures and the links so far."""
+    """What the steps of one search share: signatures, sets and the links so far."""
 
-    def __init__(self, texts: DataFrame, nodes: DataFrame, size: int, percent: int):
-        self.texts, self.nodes, self.size, self.percent = texts, nodes, size, percent
+    def __init__(self, nodes: DataFrame, sets: DataFrame, percent: int):
+        self.nodes, self.sets, self.percent = nodes, sets, percent
         self.links = nodes.limit(0).select(
             F.col("node").alias("i"), F.col("node").alias("j")
         )
         self.labels = nodes.limit(0).select("node", F.col("node").alias("component"))
 
-    def connect(self, candidates: DataFrame) -> None:
-        """Prunes candidates and verifies those that can join two components.
-
-        First each node verifies its most similar pair, which joins most groups at once; then
-        all pairs whose ends are still apart. A pair inside a component adds nothing, so most
-        true pairs are never verified.
-        """
-        survivors = cut(
-            _with_both(candidates, self.nodes, "signature").mapInArrow(
-                _pruned(fewest_matches(self.percent)), "i long, j long, matches long"
-            )
+    def connect(self, pairs: DataFrame) -> None:
+        """Prunes pairs by signatures, verifies the rest on sets, joins what is linked."""
+        survivors = _with_both(pairs, self.nodes, "signature").mapInArrow(
+            _pruned(fewest_matches(self.percent)), "i long, j long"
+        )
+        shared = F.size(F.array_intersect("left", "right"))
+        union = F.size("left") + F.size("right") - shared
+        new = cut(
+            _with_both(survivors, self.sets, "shingles")
+            .filter(100 * shared >= self.percent * union)
+            .select("i", "j")
         )
-        if survivors.isEmpty():
+        if new.isEmpty():
             return
-        ends = survivors.select(F.explode(F.array("i", "j")).alias("node")).distinct()
-        wanted = key_bitmap(ends, "node", _FILTER_BITS)
-        sets = cut(
-            self.texts.mapInArrow(_sets(self.size, wanted), "doc long, shingles binary")
-            .withColumnRenamed("doc", "node")
+        self.links = self.links.unionByName(new)
+        # only components that new links join are worked out
+        across = _labelled(_labelled(new, self.labels, "i", "_a"), self.labels, "j", "_b")
+        joined = connected_components(
+            across.filter("_a != _b").select(F.col("_a").alias("i"), F.col("_b").alias("j"))
+        ).select(F.col("node").alias("component"), F.col("component").alias("_root"))
+        ends = new.select(F.explode(F.array("i", "j")).alias("node")).distinct()
+        fresh = ends.join(self.labels, "node", "left_anti").select(
+            "node", F.col("node").alias("component")
         )
-        picked = cut(_best(_parted(survivors, self.labels)))
-        self._verify(picked, sets)
-        rest = cut(
-            _parted(survivors, self.labels)
-            .select("i", "j")
-            .join(picked, ["i", "j"], "left_anti")
+        self.labels = cut(
+            self.labels.unionByName(fresh)
+            .join(joined, "component", "left")
+            .select("node", F.coalesce("_root", "component").alias("component"))
         )
-        if not rest.isEmpty():
-            self._verify(rest, sets)
 
-    def _verify(self, pairs: DataFrame, sets: DataFrame) -> None:
-        new = cut(
-            _with_both(pairs, sets, "shingles").mapInArrow(
-                _verified(self.percent), "i long, j long"
-            )
+
+def _pairs_with(rows: DataFrame, head: str) -> DataFrame:
+    return (
+        rows.filter(F.col("node") != F.col(head))
+        .select(F.least("node", head).alias("i"), F.greatest("node", head).alias("j"))
+        .distinct()
+    )
+
+
+def _centred(rows: DataFrame, name: str) -> DataFrame:
+    """`rows` (band, node) of bands with several nodes, with each band's central node.
+
+    That is the node whose bands hold the most rows: a text that the others are edits of shares a
+    band with more of them than they share with each other. So all bands of a group choose the same
+    centre, and one comparison a member links most of it.
+    """
+    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
+    shared = cut(rows.join(sizes, "band"))
+    scores = shared.groupBy("node").agg(F.sum("_size").alias("_score"))
+    centres = (
+        shared.join(scores, "node")
+        .groupBy("band")
+        .agg(F.max(F.struct("_score", (-F.col("node")).alias("_last"))).alias("_top"))
+        .select("band", (-F.col("_top._last")).alias(name))
+    )
+    return shared.drop("_size").join(centres, "band")
+
+
+def _needed_overlap(own: str, other_size: str, other_n: str, percent: int) -> Column:
+    """Differences from a common head that two linked texts share at least.
+
+    For sets a, b, h with differences A = a ^ h and B = b ^ h: |a ^ b| = |A| + |B| - 2 |A & B|, and
+    a link has |a ^ b| <= (100 - percent) / (100 + percent) * (|a| + |b|).
+    """
+    apart = F.floor((100 - percent) * (F.col("n") + F.col(other_n)) / (100 + percent))
+    return F.ceil((F.col(own) + F.col(other_size) - apart) / 2)
+
+
+def _by_differences(members: DataFrame, search: _Search) -> DataFrame:
+    """Pairs of one bucket in different components that may be linked, without trying all.
+
+    `members` are (head, node) of buckets in which some node is in another component than the
+    head. Such a node is not linked with the head; if it is linked with another node, both differ
+    from the head in some of the same shingles, namely in at least `_needed_overlap` of them.
+    Two sets that share c elements share one among the first |A| - c + 1 of A and |B| - c + 1 of B,
+    in any common order; with the rarest first, edits of one text made apart from each other have
+    no such element in common, whatever the size of their group. The bound of each node alone picks
+    its first elements, that of the pair filters what meets.
+    """
+    p = search.percent
+    # an id with several texts has several sets, told apart by `text` and `of`
+    of_head = search.sets.select(
+        F.col("node").alias("head"), F.col("text").alias("of"), F.col("shingles").alias("_of_head")
+    )
+    key, each = ["head", "of"], ["node", "text"]
+    differing = (
+        members.filter("node != head")
+        .join(search.sets, "node")
+        .join(of_head, "head")
+        .select(
+            *key,
+            *each,
+            "_open",
+            "component",
+            F.size("shingles").alias("n"),
+            F.size("_of_head").alias("_n_head"),
+            F.concat(
+                F.array_except("shingles", "_of_head"), F.array_except("_of_head", "shingles")
+            ).alias("_differences"),
+        )
+        .withColumn("d", F.size("_differences"))
+    )
+    elements = cut(
+        differing.select(
+            *key, *each, "_open", "component", "n", "_n_head", "d",
+            F.explode("_differences").alias("e"),
         )
-        if not new.isEmpty():
-            self.links = self.links.unionByName(new)
-            self.labels = connected_components(self.links)
+    )
+    counts = elements.groupBy(*key, "e").agg(
+        F.count(F.lit(1)).alias("_df"),
+        (F.min("component") != F.max("component")).alias("_mixed"),
+        F.max("_open").alias("_some_open"),
+    )
+    place = F.row_number().over(Window.partitionBy(*key, *each).orderBy("_df", "e"))
+    # what an open node shares with any partner: that differs from the head by no less than their
+    # sizes do; and what any node shares with an open one, which is not linked with the head
+    apart = F.floor((100 - p) * (F.col("n") + F.col("_n_head")) / (100 + p))
+    open_needs = F.greatest(F.lit(1), F.ceil((F.col("d") - apart) / 2))
+    needed = F.when(F.col("_open"), open_needs).otherwise(F.floor(p * F.col("d") / (100 + p)) + 1)
+    first = cut(
+        elements.join(counts, [*key, "e"])
+        .withColumn("place", place)
+        .filter(F.col("place") <= F.col("d") - needed + 1)
+        .filter("_mixed and _some_open")
+        .select(*key, "e", "node", "_open", "component", "n", "d", "place")
+    )
+    b = first.select(
+        *key,
+        "e",
+        *[F.col(c).alias(f"_{c}2") for c in ("node", "component", "n", "d", "place")],
+        F.col("_open").alias("_open2"),
+    )
+    overlap = _needed_overlap("d", "_d2", "_n2", search.percent)
+    behind = F.least(F.col("d") - F.col("place"), F.col("_d2") - F.col("_place2"))
+    return (
+        first.filter("_open")
+        .join(b, [*key, "e"])
+        .filter("component != _component2 and (not _open2 or node < _node2)")
+        .filter(f"100 * least(n, _n2) >= {search.percent} * greatest(n, _n2)")
+        # behind the first element that both have there must be room for the others
+        .filter(behind + 1 >= overlap)
+        .select(F.least("node", "_node2").alias("i"), F.greatest("node", "_node2").alias("j"))
+        .distinct()
+    )
 
 
 def near_duplicates(
@@ -257,10 +318,11 @@ def near_duplicates(
     shorter). Texts with 100 * intersection >= percent * union are linked; a component is
     named by its smallest id, and the row with that id is kept. Texts of the same words
     are one node from the start, whatever their number. Each band bucket compares its
-    members with one of them, drawn by one of HEADS orders, so a large group costs a row per
-    member and band and a few pairs per member; members that this leaves in different components are then
-    compared with each other. Pairs are pruned batch by batch (`fewest_matches`) and the
-    rest is verified on whole sets.
+    members with its central one (`_centred`), then those that this leaves in other components
+    with a centre of their own, as long as that joins most of them. Members that still are in different
+    components are compared where `_by_differences` cannot rule a link out. So a group of many
+    edits of one text costs rows in proportion to its members. Pairs are pruned batch by batch
+    (`fewest_matches`) and the rest is verified on whole sets.
 
     Null, empty or blank text: empty set, linked with nothing, a component of its own.
     Rows that repeat an id are one document: linked, with one component. A null id names
@@ -286,34 +348,54 @@ def near_duplicates(
     )
     bands = classes.select(
         "node",
-        "n",
-        F.posexplode(
+        F.explode(
             F.transform(
                 F.sequence(F.lit(0), F.lit(BANDS - 1)),
                 lambda b: F.xxhash64(
                     F.substring("signature", b * BAND_ROWS + 1, F.lit(BAND_ROWS)), b
                 ),
             )
-        ).alias("_at", "band"),
-    ).withColumn("turn", F.col("_at") % HEADS)
-    heads = (
-        bands.groupBy("band")
-        .agg(
-            F.count(F.lit(1)).alias("_size"),
-            F.min(F.struct(F.xxhash64("node", "turn").alias("h"), "node")).alias("_head"),
-        )
-        .filter("_size > 1")
-        .select("band", F.col("_head.node").alias("head"))
+        ).alias("band"),
     )
-    members = cut(bands.join(heads, "band").select("band", "node", "n", "head"))
-
-    search = _Search(texts, classes, size, percent)
-    search.connect(
-        members.filter("node != head")
-        .select(F.least("node", "head").alias("i"), F.greatest("node", "head").alias("j"))
-        .distinct()
+    members = cut(_centred(bands, "head"))
+    wanted = df.sparkSession.sparkContext.broadcast(
+        key_bitmap(members.select("node").distinct(), "node", _FILTER_BITS)
+    )
+    repeats = cut(
+        docs.filter("doc is not null").groupBy("doc").count().filter("count > 1").select("doc")
+    )
+    sets = texts.mapInArrow(_sets(size, wanted), "node long, shingles array<long>").withColumn(
+        "text", F.xxhash64("shingles")
     )
-    search.connect(_left_over(members, search.labels, percent))
+    if not repeats.isEmpty():
+        sets = sets.dropDuplicates(["node", "text"])
+    sets = cut(sets)
+    search = _Search(classes, sets, percent)
+    rows, head, count = members, "head", members.count()
+    while count:
+        search.connect(_pairs_with(rows, head))
+        apart = _labelled(_labelled(rows, search.labels, "node", "_a"), search.labels, head, "_b")
+        rows = cut(_centred(apart.filter("_a != _b").select("band", "node"), "centre"))
+        head, before, count = "centre", count, rows.count()
+        if count > WORTH * before:
+            break
+    near = _labelled(
+        _labelled(members.select("head", "node").distinct(), search.labels, "node", "component"),
+        search.labels,
+        "head",
+        "_main",
+    ).withColumn("_open", F.col("component") != F.col("_main"))
+    near = cut(near)
+    # a head with one other member has been compared with it
+    opened = cut(
+        near.filter("node != head")
+        .groupBy("head")
+        .agg(F.max("_open").alias("_some"), F.count(F.lit(1)).alias("_others"))
+        .filter("_some and _others > 1")
+        .select("head")
+    )
+    if not opened.isEmpty():
+        search.connect(_by_differences(near.join(opened, "head", "left_semi"), search))
 
     repeated = (
         docs.filter("doc is not null")
@@ -322,12 +404,7 @@ def near_duplicates(
         .select(F.col("node").alias("i"), F.col("doc").alias("j"))
     )
     # an id with several texts joins their components; others have one class only
-    several = (
-        docs.filter("doc is not null").groupBy("doc").agg(
-            F.count_distinct("key").alias("_texts")
-        )
-    ).filter("_texts > 1")
-    repeated = cut(repeated.join(several, repeated["j"] == several["doc"], "left_semi"))
+    repeated = cut(repeated.join(repeats, repeated["j"] == repeats["doc"], "left_semi"))
     labels = search.labels
     if not repeated.isEmpty():
         labels = connected_components(search.links.unionByName(repeated))
@@ -344,30 +421,3 @@ def near_duplicates(
             F.coalesce(F.col("doc") == F.col("component_id"), F.lit(False)).alias("kept"),
         )
     )
-
-
-def _left_over(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of bucket members in different components that no head has compared.
-
-    Only buckets with a member outside the head's component have any. Such members meet all
-    others whose number of shingles allows a link.
-    """
-    def component(table: DataFrame, node: str, name: str) -> DataFrame:
-        label = labels.select(F.col("node").alias(node), F.col("component").alias(name))
-        return table.join(label, node, "left").withColumn(name, F.coalesce(name, node))
-
-    compared = members.filter("node != head").select("node", "head").distinct()
-    apart = component(component(compared, "node", "_a"), "head", "_b").filter("_a != _b")
-    split = members.join(apart, ["node", "head"], "left_semi").select("band").distinct()
-    in_split = members.filter("node != head").join(split, "band", "left_semi")
-    open_members = cut(component(component(in_split, "node", "component"), "head", "_main"))
-    a, b = open_members.alias("a"), open_members.alias("b")
-    return (
-        a.filter("a.component != a._main")
-        .join(b, F.col("a.band") == F.col("b.band"))
-        .filter("a.component != b.component")
-        .filter("b.component = b._main or a.node < b.node")
-        .filter(f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)")
-        .select(F.least("a.node", "b.node").alias("i"), F.greatest("a.node", "b.node").alias("j"))
-        .distinct()
-    )
