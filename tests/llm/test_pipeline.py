@@ -189,12 +189,41 @@ def test_archives_come_back(spark, tmp_path):
             assert (row.record_type, row.refers_to) == ("revisit", groups[text])
     assert sum(r.record_type == "response" for r in rows) == len(groups) + 1
     files = [p for p in (tmp_path / "archives").iterdir() if p.name.startswith("part-")]
-    read = [f for p in files for f, _ in parse_records(gzip.decompress(p.read_bytes()))]
+    read = [f for p in files for f, _ in parse_records([gzip.decompress(p.read_bytes())])]
     assert all(f["WARC-Date"] and f["WARC-Type"] in ("response", "revisit") for f in read)
     write_warc(df.limit(0), str(tmp_path / "none"))
     assert read_warc(spark, str(tmp_path / "none")).collect() == []
 
 
+def test_archives_are_streamed_whatever_their_records_hold(spark, tmp_path):
+    """Large payloads, and payloads that hold what ends a record, in any chunks."""
+    html = [
+        "a\r\n\r\nb", "\r\n", "x\r\n", "\r\n\r\n", "\r\n\r\n\r\n", "WARC/1.1\r\n\r\n", "", "é" * 3_000_000,
+        "\r\r\n\r\r\n\n", "z" * 5_000_000 + "\r\n\r",
+    ]
+    df = spark.createDataFrame(
+        [(k, f"http://e.org/{k}", h) for k, h in enumerate(html)],
+        "page_id long, url string, html string",
+    ).coalesce(1)
+    path = str(tmp_path / "archives")
+    write_warc(df, path)
+    rows = {r.page_id: r for r in read_warc(spark, path).collect()}
+    assert [rows[k].html for k in range(len(html))] == html
+    (part,) = [p for p in (tmp_path / "archives").iterdir() if p.name.startswith("part-")]
+    data = gzip.decompress(part.read_bytes())
+    whole = list(parse_records([data]))
+    for size in (1, 7, 4096):
+        small = data[: 3000 if size == 1 else len(data)]
+        pieces = (small[k : k + size] for k in range(0, len(small), size))
+        got = []
+        try:
+            for record in parse_records(pieces):
+                got.append(record)
+        except ValueError:
+            assert size == 1
+        assert got == whole[: len(got)] and (size == 1 or got == whole)
+
+
 def test_stages_keep_columns_and_decide_by_id(spark, tmp_path):
     item = prose(77, 40, 60).replace("w", "ba ")
     texts = [prose(k, 40) for k in range(40)] + [prose(0, 40), f"{prose(90, 9)} {item} {prose(91, 9)}"]

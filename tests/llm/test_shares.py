@@ -115,3 +115,23 @@ def test_mixing_of_awkward_rows(spark):
     assert mix_sources(nothing(spark)).collect() == []
     blank = spark.createDataFrame([(1, "", "a"), (2, None, None)], docs.schema[:3])
     assert {(r.target, r.taken, r.copies) for r in mix_sources(blank).collect()} == {(0.0, 0, 1)}
+
+
+def test_a_source_for_each_document(spark):
+    """As many sources as documents: targets are the level that fills all words."""
+    rng = random.Random(8)
+    rows = [(k, prose(k, rng.randrange(1, 30)), f"http://e.org/{rng.random()}") for k in range(400)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    order = sorted(r[2] for r in rows)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    size = {s: len(t.split()) for _, t, s in rows}
+    whole, low, high = sum(size.values()), 0.0, 1e9
+    for _ in range(200):
+        level = (low + high) / 2
+        full = sum(min(3 * size[s], level * weight[s]) for s in order)
+        low, high = (level, high) if full < whole else (low, level)
+    source = {k: s for k, _, s in rows}
+    for row in got:
+        s = source[row.doc_id]
+        assert row.target == pytest.approx(min(3 * size[s], level * weight[s]), rel=1e-6)
+        assert abs(row.taken - row.target) <= 1

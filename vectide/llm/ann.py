@@ -18,8 +18,9 @@ NEIGHBOURS = 10
 SAMPLE = 20_000
 MOST_LISTS = 1024
 FIT_ROUNDS = 10
-# a query probes its nearest lists until they hold this share of all vectors
-PROBED = 0.8
+# a query probes its nearest lists until they hold the share of all vectors at which so many of the
+# true neighbours of so many sampled vectors, among the sample, are in probed lists
+RECALL, TRIED = 0.98, 500
 # rows and queries of one scan
 CELL_ROWS, CELL_QUERIES = 4096, 512
 # columns after which the partial distance is tested, and the test's strictness: a
@@ -80,12 +81,16 @@ def scan(
     The distance to beat starts at `bound` (or the k-th of a first block) and squared
     differences are summed column block by column block over the rows still alive. After
     each block a row goes if even its partial sum is too large, or if the sum scaled to all
-    columns is too large by the test's margin.
+    columns is too large by the test's margin. The rows that set the distance to beat stay, so k rows
+    are left of k or more.
     """
     columns = rows.shape[1]
+    leading = np.zeros(len(rows), bool)
     if not np.isfinite(bound) and len(rows) >= k:
         head = np.sqrt(((rows[: max(k, 256)] - query) ** 2).sum(axis=1))
-        bound = np.partition(head, k - 1)[k - 1]
+        best = np.argpartition(head, k - 1)[:k]
+        bound = head[best].max()
+        leading[best] = True
     # rounding of the turned vectors must not cost a tie
     limit = (bound * (1 + 1e-9)) ** 2
     alive = np.arange(len(rows))
@@ -96,6 +101,7 @@ def scan(
         done = min(at + COLUMN_BLOCK, columns)
         margin = (1 + EPSILON / np.sqrt(done)) ** 2
         keep = (partial <= limit) & (partial * columns <= limit * margin * done)
+        keep |= leading[alive]
         alive, partial = alive[keep], partial[keep]
     exact = np.sqrt(((rows[alive] - query) ** 2).sum(axis=1))
     return alive, exact
@@ -174,6 +180,34 @@ def _probing(centroids: np.ndarray, sizes: np.ndarray, least: int) -> Callable:
     return run
 
 
+def probed_share(
+    points: np.ndarray, centroids: np.ndarray, sizes: np.ndarray, k: int, recall: float = RECALL
+) -> float:
+    """The share of vectors whose lists hold `recall` of the k nearest of sampled vectors.
+
+    Known neighbours within the sample: with fewer rows they are farther than the table's, so in
+    lists no nearer. Clustered vectors need a small share, those without structure most of the lists.
+    """
+    tried = points[:: max(1, len(points) // TRIED)][:TRIED]
+    norms = (points**2).sum(axis=1)
+    to_lists = (centroids**2).sum(axis=1)
+    home = np.concatenate(
+        [
+            (to_lists - 2 * points[at : at + 4096] @ centroids.T).argmin(axis=1)
+            for at in range(0, len(points), 4096)
+        ]
+    )
+    needed = []
+    for query in tried:
+        distances = norms - 2 * points @ query
+        near = np.argpartition(distances, min(k, len(points) - 1))[: k + 1]
+        order = (to_lists - 2 * centroids @ query).argsort(kind="stable")
+        before = np.empty(len(order))
+        before[order] = np.cumsum(sizes[order])
+        needed.append(before[home[near]])
+    return float(np.quantile(np.concatenate(needed), recall) / max(1, sizes.sum()))
+
+
 def _top(found: DataFrame, k: int) -> DataFrame:
     """The k nearest of each query; a vector found twice counts once."""
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
@@ -191,14 +225,15 @@ def nearest(
     key: str = "vec_id",
     vector: str = "embedding",
     k: int = NEIGHBOURS,
-    probed: float = PROBED,
+    probed: float | None = None,
 ) -> DataFrame:
     """`(query_id, rank, vec_id, score)`: each query's k nearest found rows of `df`.
 
     Score: Euclidean distance of the original vectors in double precision; ties go to the
     smaller id. Rows with a query's id are not its candidates. Centroids are fitted on the
     SAMPLE vectors with the smallest id hashes; every vector is in a list. A query probes its
-    nearest lists until they hold `probed` of all vectors and more than k. Its first list
+    nearest lists until they hold `probed` of all vectors (`probed_share`, if not given) and more
+    than k. Its first list
     gives the distance to beat; the others are scanned against it.
 
     A list is cut into blocks of about CELL_ROWS vectors by a hash of the id, and its queries
@@ -227,6 +262,8 @@ def nearest(
     listed = cut(rows.mapInArrow(_listed(centroids), "id long, vector array<double>, list int"))
     counted = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}
     sizes = np.array([counted.get(n, 0) for n in range(lists)])
+    if probed is None:
+        probed = probed_share(points, centroids, sizes, k)
     least = max(int(np.ceil(probed * total)), min(2 * k + 2, total))
 
     probes = cut(

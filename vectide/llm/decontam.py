@@ -8,11 +8,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import in_bitmap, key_bitmap
+from .common import in_bitmap, key_bitmap, text_slices
 from .shingles import _BASE, _BYTE, _powers, mixed
 
 WINDOW = 8
@@ -23,8 +24,8 @@ LEAST_LITERALS = 3
 COVERAGE = 0.5
 # or if so many of its template tokens are found on one alignment
 PASSAGE = 50
-# texts are handled together up to this size
-BLOCK_BYTES = 2**18
+# windows of more items than this lead to an item only where they could make it leak alone
+COMMON = 16
 _FILTER_BITS = 27
 
 # fixed values: words read as numbers, and units where they follow a number
@@ -108,7 +109,7 @@ def _known(words: list[str]) -> np.ndarray:
 def templates(texts: list[bytes], reading: int = TYPED) -> Template:
     """The templates of a block of texts, one after the other.
 
-    Tokens are runs of letters or of digits (with points and commas between digits).
+    Tokens are words, and numbers (with points and commas between digits) that open a word.
     Numbers, number words, units after a number, and names become placeholders. Runs of
     numbers or of names are one slot.
 
@@ -131,7 +132,12 @@ def templates(texts: list[bytes], reading: int = TYPED) -> Template:
     digit |= mark
     inside = _WORD[data] | mark
     first = inside.copy()
-    first[1:] &= ~inside[:-1] | (digit[1:] != digit[:-1])
+    first[1:] &= ~inside[:-1]
+    # a number at the head of a word is a token of its own (5km); digits after letters are part of
+    # the word (w123)
+    letters = np.cumsum(inside & ~digit)
+    ahead = np.maximum.accumulate(np.where(first, letters - (inside & ~digit), 0))
+    first[1:] |= inside[1:] & ~digit[1:] & digit[:-1] & (letters[:-1] == ahead[:-1])
     starts = np.flatnonzero(first)
     if not len(starts):
         none = np.zeros(0, np.int64)
@@ -184,14 +190,18 @@ _TAG = mixed(np.arange(len(READINGS), dtype=np.uint64)).view(np.int64)
 
 
 def windows(found: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """First token and hash of all runs of `size` tokens of one text with enough literals."""
+    """First token and hash of all runs of `size` tokens of one text with enough different literals."""
     count = max(0, len(found.hashes) - size + 1)
     total = np.full(count, size, np.uint64)
     literals = np.zeros(count, np.int8)
     for k in range(size if count else 0):
         total *= _BASE
-        total += found.hashes[k : k + count]
-        literals += found.kinds[k : k + count] == LITERAL
+        here = found.hashes[k : k + count]
+        total += here
+        new = found.kinds[k : k + count] == LITERAL
+        for j in range(k):
+            new &= found.hashes[j : j + count] != here
+        literals += new
     whole = found.owners[:count] == found.owners[len(found.owners) - count :]
     at = np.flatnonzero(whole & (literals >= LEAST_LITERALS))
     return at, mixed(total[at]).view(np.int64)
@@ -210,24 +220,8 @@ _SCHEMA = pa.schema(
 )
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts in blocks of about BLOCK_BYTES; a longer text is a block of its own."""
-    ids: list = []
-    texts: list[bytes] = []
-    held = 0
-    for key, text in zip(*(batch.column(c).to_pylist() for c in ("id", "text"))):
-        ids.append(key)
-        texts.append(text or b"")
-        held += len(texts[-1])
-        if held >= BLOCK_BYTES:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-    if ids:
-        yield ids, texts
-
-
 def _cut_windows(
-    sizes: list[int] | None, wanted: np.ndarray | None
+    sizes: list[int] | None, wanted: Broadcast | None
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Windows of `sizes` whose hash is wanted; without `sizes`, of each item's own size.
 
@@ -243,7 +237,7 @@ def _cut_windows(
             if sizes is None:
                 fit = np.minimum(lengths[found.owners[at]], WINDOW) == size
             else:
-                fit = in_bitmap(wanted, hashes)
+                fit = in_bitmap(wanted.value, hashes)
             for k, code in zip(at[fit].tolist(), hashes[fit].tolist()):
                 span = slice(k, k + size)
                 slots = found.values[span][found.kinds[span] != LITERAL]
@@ -258,16 +252,19 @@ def _cut_windows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [
-                row
-                for ids, texts in _blocks(batch)
-                for reading in READINGS
-                for row in rows(ids, texts, reading)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in made], f.type) for k, f in enumerate(_SCHEMA)],
-                schema=_SCHEMA,
-            )
+            ids = batch.column("id").to_pylist()
+            for at, texts in text_slices(batch):
+                made = [
+                    row
+                    for reading in READINGS
+                    for row in rows(ids[at : at + len(texts)], texts, reading)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[k] for r in made], f.type) for k, f in enumerate(_SCHEMA)],
+                    schema=_SCHEMA,
+                )
+            del batch
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -279,6 +276,53 @@ def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def _met(found: DataFrame, items: DataFrame, coverage: float, passage: int) -> DataFrame:
+    """Windows of documents with the items' equal ones, for all pairs that may leak.
+
+    Many items may share a preamble, and many documents hold it: these would all meet. So windows of
+    more than COMMON items lead to an item only if its common windows could make it leak
+    without any other. Other items are led to by the rest of their windows, one of which each of
+    their leaks holds; the common ones are then looked up for pairs already met.
+    """
+    shared = ["reading", "size", "hash"]
+    often = cut(
+        items.groupBy(*shared).count().filter(F.col("count") > COMMON).select(*shared)
+    ).withColumn("_often", F.lit(True))
+    marked = cut(items.join(often, shared, "left").fillna(False, ["_often"]))
+    tokens = F.flatten(
+        F.transform(
+            F.collect_set(F.when(F.col("_often"), F.col("place"))),
+            lambda p: F.sequence(p, p + F.lit(WINDOW - 1)),
+        )
+    )
+    alone = (
+        marked.groupBy("_item", "reading")
+        .agg(
+            (F.count_if("_often") >= coverage * F.count(F.lit(1))).alias("_enough"),
+            (F.size(F.array_distinct(tokens)) >= passage).alias("_long"),
+        )
+        .filter("_enough or _long")
+        .select(F.col("_item").alias("_i"), F.col("reading").alias("_r"))
+    )
+    same = F.col("_item").eqNullSafe(F.col("_i")) & (F.col("reading") == F.col("_r"))
+    led = marked.filter("not _often").drop("_often").unionByName(
+        marked.filter("_often").join(alone, same, "left_semi").drop("_often")
+    )
+    first = cut(found.join(led, shared))
+    rest = marked.filter("_often").join(alone, same, "left_anti").drop("_often")
+    pairs = first.select(
+        F.col("_doc").alias("_d"), F.col("_item").alias("_i"), F.col("reading").alias("_r")
+    ).distinct()
+    asked = rest.join(pairs, same).drop("_i", "_r").select(
+        "_d", "_item", *[F.col(c).alias(f"_{c}2") for c in shared], "place", "slots"
+    )
+    equal = F.col("_doc").eqNullSafe(F.col("_d"))
+    for c in shared:
+        equal = equal & (F.col(c) == F.col(f"_{c}2"))
+    second = found.join(asked, equal).select(*first.columns)
+    return first.unionByName(second)
+
+
 def leaks(
     df: DataFrame,
     benchmark: DataFrame,
@@ -318,20 +362,22 @@ def leaks(
         .select("id", "reading", "size", "hash", "_first.*")
     )
     sizes = [row["size"] for row in items.select("size").distinct().collect()]
-    wanted = key_bitmap(items, "hash", _FILTER_BITS)
+    wanted = df.sparkSession.sparkContext.broadcast(key_bitmap(items, "hash", _FILTER_BITS))
     if sizes:
         hits = _texts(df, key, text).mapInArrow(_cut_windows(sizes, wanted), _WINDOWS)
     else:
         hits = items.limit(0)
-    found = hits.select(
-        F.col("id").alias("_doc"),
-        "reading",
-        "size",
-        "hash",
-        F.col("place").alias("_at"),
-        F.col("slots").alias("_slots"),
+    found = cut(
+        hits.select(
+            F.col("id").alias("_doc"),
+            "reading",
+            "size",
+            "hash",
+            F.col("place").alias("_at"),
+            F.col("slots").alias("_slots"),
+        )
     )
-    joined = found.join(items.withColumnRenamed("id", "_item"), ["reading", "size", "hash"])
+    joined = _met(found, items.withColumnRenamed("id", "_item"), coverage, passage)
     aligned = joined.select(
         "_doc",
         "_item",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import cut
 from .common import WORD, hash60, ordered_parts, running_total
@@ -23,40 +22,46 @@ def source_targets(
     share all words; a target stops at `most_epochs` times its source, and the excess goes to
     the others by weight until none is above. That is the level at which the sum of
     min(limit, level x weight) is the whole: sources sorted by limit / weight are full up
-    to some place, and running sums find it.
+    to some place, and running sums find it. Ranks and sums are distributed, so there may be as many
+    sources as documents.
     """
-    named = Window.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = Window.orderBy(F.col("_limit") / F.col("_weight"), "_rank")
-    full = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    one = F.lit(1).cast("long")
+    named = [F.col("source").asc_nulls_last()]
+    parts = ordered_parts(sizes.withColumn("_one", one), *named)
     turn = F.array(*[F.lit(w).cast("long") for w in weights])
     ranked = (
-        sizes.withColumn("_rank", F.row_number().over(named) - 1)
+        running_total(parts, [], named, "_one", "_rank")
+        .drop("_part", "_one")
         .withColumn("_weight", F.get(turn, F.col("_rank") % len(weights)))
         .withColumn("_limit", F.col("source_size") * most_epochs)
-        .withColumn("_place", F.row_number().over(by_ratio))
-        .withColumn("_all", F.sum("source_size").over(Window.partitionBy(F.lit(0))))
-        .withColumn("_left", F.col("_all") - F.coalesce(F.sum("_limit").over(full), F.lit(0)))
-        .withColumn("_weights", F.sum("_weight").over(rest))
+        .withColumn("_ratio", F.col("_limit") / F.col("_weight"))
     )
-    fits = F.col("_limit").cast(_WIDE) * F.col("_weights") >= F.col("_weight").cast(
-        _WIDE
-    ) * F.col("_left")
-    leveled = ranked.withColumn(
-        "_level",
-        F.min(F.when(fits, F.struct("_place", "_left", "_weights"))).over(
-            Window.partitionBy(F.lit(0))
-        ),
+    by_ratio = [F.col("_ratio"), F.col("_rank")]
+    parts = ordered_parts(ranked, *by_ratio)
+    summed = running_total(parts, [], by_ratio, "_limit", "_full")
+    summed = cut(running_total(summed, [], by_ratio, "_weight", "_before").drop("_part"))
+    whole = summed.agg(F.sum("source_size").alias("words"), F.sum("_weight").alias("weights")).first()
+    left = F.lit(whole["words"] or 0).cast("long") - F.col("_full")
+    rest = F.lit(whole["weights"] or 0).cast("long") - F.col("_before")
+    fits = F.col("_limit").cast(_WIDE) * rest >= F.col("_weight").cast(_WIDE) * left
+    # the first source that stays under its limit, and what is left from there on
+    level = (
+        summed.filter(fits)
+        .agg(F.min(F.struct("_ratio", "_rank", left.alias("left"), rest.alias("rest"))).alias("l"))
+        .first()["l"]
     )
-    share = (F.col("_weight") * F.col("_level._left")).cast("double") / F.col(
-        "_level._weights"
+    if level is None:
+        return summed.select("source", "source_size", F.col("_limit").cast("double").alias("target"))
+    below = F.struct("_ratio", "_rank") < F.struct(
+        F.lit(level["_ratio"]).alias("_ratio"), F.lit(level["_rank"]).cast("long").alias("_rank")
+    )
+    share = (F.col("_weight") * F.lit(level["left"]).cast("long")).cast("double") / F.lit(
+        level["rest"]
     ).cast("double")
-    return leveled.select(
+    return summed.select(
         "source",
         "source_size",
-        F.when(F.col("_place") < F.col("_level._place"), F.col("_limit").cast("double"))
-        .otherwise(share)
-        .alias("target"),
+        F.when(below, F.col("_limit").cast("double")).otherwise(share).alias("target"),
     )
 
 

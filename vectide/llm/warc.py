@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import text_slices
+
 # payloads of at least so many bytes are revisited
 LEAST_BYTES = 0
 # records carry one stated date, so that a rerun writes the same archives
 DATE = "2020-01-01T00:00:00Z"
-# an archive is read as one value
 FILE_RECORDS = 4000
+# rows and bytes of payloads returned at once
+_READ_ROWS, _READ_BYTES = 1000, 2**22
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:x-page:"
 # digits of base 32 in their order: those of conv(), and those fixed by RFC 4648
@@ -141,21 +142,39 @@ def write_warc(
     )
 
 
-_HEAD = re.compile(rb"WARC/1\.1\r\n((?:[^\r\n]+\r\n)*)\r\n")
+_END = b"\r\n\r\n"
+_FIRST = b"WARC/1.1\r\n"
+
 
+def parse_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and body of each record of a stream of bytes, whatever chunks it comes in.
 
-def parse_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and body of each record; bodies are taken by their stated length."""
-    at = 0
-    while at < len(archive):
-        head = _HEAD.match(archive, at)
-        if head is None:
-            raise ValueError(f"No WARC record at byte {at}.")
-        lines = head[1].decode().split("\r\n")[:-1]
-        fields = dict(line.split(": ", 1) for line in lines)
-        end = head.end() + int(fields["Content-Length"])
-        yield fields, archive[head.end() : end]
-        at = end + 4
+    Bodies are taken by their stated length, so they may hold what ends a record; no more than one
+    record is held.
+    """
+    held = bytearray()
+    fields: dict[str, str] = {}
+    start = end = 0
+    for chunk in chunks:
+        held += chunk
+        while True:
+            if not end:
+                start = held.find(_END)
+                if start < 0:
+                    break
+                if not held.startswith(_FIRST):
+                    raise ValueError(f"No WARC record at {bytes(held[:40])!r}.")
+                lines = held[len(_FIRST) : start].decode().split("\r\n")
+                fields = dict(line.split(": ", 1) for line in lines)
+                start += len(_END)
+                end = start + int(fields["Content-Length"])
+            if len(held) < end + len(_END):
+                break
+            yield fields, bytes(held[start:end])
+            del held[: end + len(_END)]
+            end = 0
+    if held:
+        raise ValueError("An archive ends inside a record.")
 
 
 _RECORD = pa.schema(
@@ -176,30 +195,35 @@ def _page(reference: str | None) -> int | None:
 
 
 def _read(payloads: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def rows(content: bytes) -> Iterator[dict]:
-        for fields, body in parse_records(gzip.decompress(content)):
-            digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-            if fields["WARC-Type"] == "response":
-                found = base64.b32encode(hashlib.sha1(body).digest()).decode()
-                if found != digest:
-                    raise ValueError(f"The payload of {fields} has digest {found}.")
-            yield {
-                "page_id": _page(fields.get("WARC-Record-ID")),
-                "url": fields.get("WARC-Target-URI"),
-                "record_type": fields["WARC-Type"],
-                "payload_bytes": int(fields["X-Payload-Length"]),
-                "payload_digest": digest,
-                "refers_to": _page(fields.get("WARC-Refers-To")),
-                "html": body.decode()
-                if payloads and fields["WARC-Type"] == "response"
-                else None,
-            }
+    def row(fields: dict[str, str], body: bytes) -> dict:
+        digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+        response = fields["WARC-Type"] == "response"
+        if response:
+            found = base64.b32encode(hashlib.sha1(body).digest()).decode()
+            if found != digest:
+                raise ValueError(f"The payload of {fields} has digest {found}.")
+        return {
+            "page_id": _page(fields.get("WARC-Record-ID")),
+            "url": fields.get("WARC-Target-URI"),
+            "record_type": fields["WARC-Type"],
+            "payload_bytes": int(fields["X-Payload-Length"]),
+            "payload_digest": digest,
+            "refers_to": _page(fields.get("WARC-Refers-To")),
+            "html": body.decode() if payloads and response else None,
+        }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                found = list(rows(content.as_py()))
-                yield pa.RecordBatch.from_pylist(found, _RECORD)
+        chunks = (
+            text + _END for batch in batches for _, texts in text_slices(batch, "value") for text in texts
+        )
+        rows, size = [], 0
+        for fields, body in parse_records(chunks):
+            rows.append(row(fields, body))
+            size += len(body) if payloads else 0
+            if len(rows) >= _READ_ROWS or size >= _READ_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, _RECORD)
+                rows, size = [], 0
+        yield pa.RecordBatch.from_pylist(rows, _RECORD)
 
     return run
 
@@ -208,15 +232,16 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     """The records of all archives in `path`; digests of responses are verified.
 
     `(page_id, url, record_type, payload_bytes, payload_digest, refers_to, html)`; `html` is
-    null for revisits (their payload is that of `refers_to`) and without `payloads`.
+    null for revisits (their payload is that of `refers_to`) and without `payloads`. Archives are
+    streamed, so their size does not matter; a task holds one record, and a few to return.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "part-*")
-        .load(path)
-        .select("content")
+    # compressed files are not split: a task streams each from its start
+    chunks = (
+        spark.read.option("pathGlobFilter", "part-*")
+        .text(path, lineSep="\r\n\r\n")
+        .select(F.col("value").cast("binary").alias("value"))
     )
-    return files.mapInArrow(
+    return chunks.mapInArrow(
         _read(payloads),
         "page_id long, url string, record_type string, payload_bytes long, "
         "payload_digest string, refers_to long, html string",
