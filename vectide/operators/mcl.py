@@ -30,6 +30,8 @@ _DECIMALS = 9
 # A flow this small squares to less than the smallest double. It is set to 0:
 # it cannot change a sum, and arithmetic on what is left of it is slow.
 _VANISHING = 1e-150
+# flows closer than this are equal at the end
+_AT_REST = 1e-9
 _PACK_EDGES = 50_000
 
 
@@ -37,30 +39,48 @@ class NotConverged(RuntimeError):
     """Markov clustering reached its iteration cap."""
 
 
+def _restlessness(flow: np.ndarray) -> float:
+    """How far columns are from being spread evenly over what they reach; 0 at the end.
+
+    An even column's largest share is the sum of its squared shares.
+    """
+    return float((flow.max(axis=0) - np.einsum("ij,ij->j", flow, flow)).max())
+
+
+def _attractor_systems(flow: np.ndarray) -> np.ndarray:
+    """Each node's cluster as its first member, from a flow at rest.
+
+    Nodes that keep flow of their own attract; attractors that flow to each other are one
+    system, and a node belongs to the system that most of its flow goes to, the first of equals.
+    """
+    size = len(flow)
+    draws = np.flatnonzero(flow.diagonal() > _AT_REST)
+    system = np.arange(size)
+    to, by = np.nonzero(flow[np.ix_(draws, draws)] > _AT_REST)
+    system = lowest_labels(draws[to], draws[by], size)
+    heads = np.unique(system[draws])
+    share = np.zeros((len(heads), size))
+    np.add.at(share, np.searchsorted(heads, system[draws]), flow[draws])
+    home = heads[(share > share.max(axis=0) - _AT_REST).argmax(axis=0)]
+    return lowest_labels(np.arange(size), home, size)
+
+
 def _dense_clusters(i: np.ndarray, j: np.ndarray, w: np.ndarray, inflation: float):
     nodes, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-    rows, cols = at[: len(i)], at[len(i) :]
+    a, b = at[: len(i)], at[len(i) :]
     flow = np.zeros((len(nodes), len(nodes)))
-    flow[rows, cols] = w
-    flow[cols, rows] = w
-    np.fill_diagonal(flow, flow.max(axis=0))
+    flow[a, b] = flow[b, a] = w
+    # a loop as strong as a node's strongest edge
+    loops = np.arange(len(nodes))
+    flow[loops, loops] = flow.max(axis=0)
     flow /= flow.sum(axis=0)
     for _ in range(MAX_ITERATIONS):
-        spread = (flow @ flow) ** inflation
-        spread /= spread.sum(axis=0)
-        spread[spread < _VANISHING] = 0.0
-        change = np.abs(spread - flow).max()
-        flow = spread
-        if change < TOLERANCE:
-            break
-    else:
-        raise NotConverged(
-            f"MCL did not converge within {MAX_ITERATIONS} iterations."
-        )
-    attractor = np.round(flow, _DECIMALS).argmax(axis=0)
-    # nodes that lead to one another share a cluster, named by its first node
-    label = lowest_labels(np.arange(len(nodes)), attractor, len(nodes))
-    return nodes, nodes[label]
+        flow = np.power(flow @ flow, inflation)
+        flow /= flow.sum(axis=0)
+        flow[flow < _VANISHING] = 0.0
+        if _restlessness(flow) < TOLERANCE:
+            return nodes, nodes[_attractor_systems(flow)]
+    raise NotConverged(f"MCL did not converge within {MAX_ITERATIONS} iterations.")
 
 
 def _small(edges: DataFrame, inflation: float) -> DataFrame:
