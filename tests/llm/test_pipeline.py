@@ -7,10 +7,15 @@ import random
 
 import corpus_pipeline
 from llm_tables import CLASHING, awkward, nothing, prose
+from test_pairs import components, shingles
 
 from vectide.llm import stages
+from vectide.llm.decontam import leaks
+from vectide.llm.mixing import mix_sources
 from vectide.llm.quotes import normalised, passages, quote_level, reply_ordered
+from vectide.llm.toxicity import toxicity_scores
 from vectide.llm.warc import parse_records, read_warc, write_warc
+from vectide.session import cut
 
 _CLASH = (7, 3, 1, "x", 9, 0.5, "k")
 
@@ -255,3 +260,41 @@ def test_stages_keep_columns_and_decide_by_id(spark, tmp_path):
     shards = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in shards} <= {r.doc_id for r in unique.collect()} - {141}
     assert nothing(spark).count() == 0
+
+
+def test_stages_in_turn_keep_what_their_operators_say(spark):
+    """Rows in less the rejected are the rows out; copies and slots follow from the operators."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    at = {name: stage for name, stage in corpus_pipeline.STAGES}
+
+    def step(name, docs):
+        return cut(at[name](spark, docs, folder))
+
+    def ids(df):
+        return Counter(r.doc_id for r in df.collect())
+
+    kept = step("toxicity", docs)
+    toxic = {r.doc_id for r in toxicity_scores(docs, labels).collect() if r.predicted}
+    assert ids(kept) == Counter({k: n for k, n in ids(docs).items() if k not in toxic})
+    unique = step("near-duplicates", kept)
+    groups = components({r.doc_id: shingles(r.text) for r in kept.collect()})
+    assert ids(unique) == Counter(set(groups.values()))
+    clean = step("decontamination", unique)
+    leaking = {r.doc_id for r in leaks(unique, benchmark).collect()}
+    assert ids(clean) == Counter({k: n for k, n in ids(unique).items() if k not in leaking})
+    mix = step("mixing", clean)
+    copies = {r.doc_id: r.copies for r in mix_sources(clean).collect()}
+    assert ids(mix) == Counter({k: n for k, n in copies.items() if n})
+    rows = at["sharding"](spark, mix, folder).collect()
+    assert Counter(r.doc_id for r in rows) == ids(mix)
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    whole = corpus_pipeline.run(spark, folder).collect()
+    assert sorted((r.doc_id, r.shard, r.slot) for r in whole) == sorted(
+        (r.doc_id, r.shard, r.slot) for r in rows
+    )
