@@ -282,6 +282,22 @@ cells AS (
 
 _MMD1 = (_UNITS, _COUNTS, _SAMPLES, _weights(), _kept(), _mmd("1.0"))
 
+_BINS = """
+homes AS (
+  SELECT c.node, c.component AS cluster, p.component FROM clusters c JOIN parts p USING (node)),
+ranked AS (
+  SELECT cluster, n, row_number() OVER (ORDER BY n DESC, component, cluster) AS rank
+  FROM (SELECT cluster, min(component) AS component, count(*) AS n FROM homes GROUP BY cluster)),
+inside AS (
+  SELECT h.i AS node, h.weight FROM half h JOIN homes a ON a.node = h.i
+  JOIN homes b ON b.node = h.j WHERE a.cluster = b.cluster),
+score AS (
+  SELECT cluster, homes.node, round(coalesce(sum(weight), 0), 9) AS s
+  FROM homes LEFT JOIN inside USING (node) GROUP BY ALL),
+medoid AS (
+  SELECT cluster, node FROM score
+  QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY s DESC, node) = 1)"""
+
 ORACLES: dict[str, str] = {
     "vec_normalize": _with(_UNITS)
     + """
@@ -380,25 +396,24 @@ SELECT component AS cluster, n AS size, rank, 'bin' || rank AS bin FROM (
   SELECT component, n, row_number() OVER (ORDER BY n DESC, component) AS rank
   FROM (SELECT component, count(*) AS n FROM parts GROUP BY component))""",
     "bin_table": _with(
-        _UNITS, _PAIRS, _EDGES, _mcl(2.0), _reach("u", "edges"), recursive=True
+        _UNITS, _PAIRS, _EDGES, _mcl(2.0), _reach("u", "edges"), _BINS, recursive=True
     )
-    + """,
-homes AS (
-  SELECT c.node, c.component AS cluster, p.component FROM clusters c JOIN parts p USING (node)),
-ranked AS (
-  SELECT cluster, n, row_number() OVER (ORDER BY n DESC, component, cluster) AS rank
-  FROM (SELECT cluster, min(component) AS component, count(*) AS n FROM homes GROUP BY cluster)),
-inside AS (
-  SELECT h.i AS node, h.weight FROM half h JOIN homes a ON a.node = h.i
-  JOIN homes b ON b.node = h.j WHERE a.cluster = b.cluster),
-score AS (
-  SELECT cluster, homes.node, round(coalesce(sum(weight), 0), 9) AS s
-  FROM homes LEFT JOIN inside USING (node) GROUP BY ALL),
-medoid AS (
-  SELECT cluster, node FROM score
-  QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY s DESC, node) = 1)
+    + """
 SELECT 'bin' || rank AS bin, rank, n AS size, node AS representative
 FROM ranked JOIN medoid USING (cluster)""",
+    "bin_heatmap_grid": _with(
+        _UNITS, _PAIRS, _EDGES, _mcl(2.0), _reach("u", "edges"), _BINS, recursive=True
+    )
+    + """,
+first AS (SELECT cluster, node AS head FROM ranked JOIN medoid USING (cluster) WHERE rank = 1),
+drawn AS (SELECT i, j, greatest(least(weight, 1), 0) AS weight FROM edges
+          UNION ALL SELECT j, i, greatest(least(weight, 1), 0) FROM edges),
+placed AS (
+  SELECT node, row_number() OVER (ORDER BY node <> head, coalesce(weight, 0) DESC, node) AS place
+  FROM homes JOIN first USING (cluster) LEFT JOIN drawn ON i = node AND j = head)
+SELECT a.node AS protein, b.node AS partner, a.place AS protein_at, b.place AS partner_at,
+       CASE WHEN a.node = b.node THEN 1.0 ELSE round(weight, 6) END AS similarity
+FROM placed a CROSS JOIN placed b LEFT JOIN drawn ON i = a.node AND j = b.node""",
     "bin_glom": _with(_COUNTS)
     + """
 SELECT sample_id, 'bin' || (label + 1) AS bin, round(sum(value), 6) AS value

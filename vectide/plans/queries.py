@@ -327,6 +327,17 @@ def bin_heatmap(t: Inputs) -> DataFrame:
     return cells.select("bin", "i", "j", _r("weight", "similarity"))
 
 
+@query
+def bin_heatmap_grid(t: Inputs) -> DataFrame:
+    """The largest bin as a full grid in drawing order; pairs without an edge are NULL."""
+    edges = cut(threshold_graph(t.vectors(), CLUSTER))
+    found = bins.bin_proteins(edges, t.vectors())
+    plot = bins.plot_bin_similarity(found, "bin1", edges, full_grid=True)
+    return plot.data.select(
+        "protein", "partner", "protein_at", "partner_at", _r("similarity")
+    )
+
+
 @query
 def bin_heatmap_members(t: Inputs) -> DataFrame:
     """Members of every bin with their similarity to its representative."""
