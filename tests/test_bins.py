@@ -131,3 +131,21 @@ def test_malformed_graphs_are_rejected(spark, row):
     e = spark.createDataFrame([row], "i long, j long, weight double")
     with pytest.raises(InvalidInput, match="`S`"):
         bin_proteins(e, catalog(spark, families()))
+
+
+def test_a_large_component_leaves_no_matrices_behind(spark, monkeypatch, tmp_path):
+    import os
+
+    import vectide.operators.mcl as mcl
+
+    monkeypatch.setattr(mcl, "TILE", 7)
+    monkeypatch.setattr("vectide.session.checkpoint_dir", lambda _: str(tmp_path))
+    z = unit(np.random.default_rng(5).normal(size=(60, 5)))
+    s = graph(z, 0.4)
+    nodes = spark.range(60).withColumnRenamed("id", "node")
+    parts = connected_components(edges_of(spark, s), nodes)
+    rows = markov_clusters(edges_of(spark, s), parts, 2.0, dense_limit=2).collect()
+    got = np.array([r.cluster for r in sorted(rows, key=lambda r: r.node)])
+    assert np.array_equal(got, dense_mcl(s, 2.0))
+    left = [spark.read.parquet(str(tmp_path / d)).columns for d in os.listdir(tmp_path)]
+    assert left and not any("cells" in columns for columns in left)
