@@ -99,3 +99,16 @@ def test_vectors_need_unique_names_and_one_length(spark):
         )
     with pytest.raises(InvalidInput, match="one length"):
         protein_similarity(catalog(spark, [[1.0, 0], [1.0]]), float("inf"))
+
+
+def test_blocks_hold_many_strips_and_lose_no_pair(spark):
+    from vectide.operators import tiles
+
+    # 75 strips of 8 rows: rows are sent to 11 tiles, not to 75
+    z = unit(np.random.default_rng(6).normal(size=(600, 6)))
+    x = catalog(spark, z)
+    got = pairs(threshold_graph(x, 0.4, tile_rows=8))
+    assert got.keys() == dense_pairs(z, 0.4).keys()
+    assert tiles._blocks(x, 600, 8) <= 16
+    # what is sent grows with the rows, not with their square
+    assert tiles._blocks(x, 600_000, 2048) <= 16
