@@ -254,10 +254,12 @@ def drop_regions(
     weighted: bool = True,
     sigma: float | None = None,
     tile_rows: int = TILE_ROWS,
+    strict: bool = True,
 ):
     """Weights without the `drop` heaviest regions, the bandwidth, and a report.
 
-    The bandwidth is that of the full set, so the kernel does not move.
+    The bandwidth is that of the full set, so the kernel does not move. Samples that hold only
+    dropped regions are an error; unless `strict`, they are left out, all of them if no region stays.
     """
     units = retained_units(weights, x)
     catalog = collapse_copies(units)
@@ -266,7 +268,7 @@ def drop_regions(
     region = cut(regions(catalog, min_sim, tile_rows))
     mass = cut(region_mass(weights, region))
     n_regions = mass.count()
-    if drop >= n_regions:
+    if strict and drop >= n_regions:
         raise InvalidInput(f"`drop` must be below the {n_regions} regions.")
     gone = heaviest(mass, drop)
     top = gone.collect() if drop else []
@@ -275,7 +277,7 @@ def drop_regions(
     left = kept.groupBy("sample_id").agg(F.sum("weight").alias("left"))
     shares = order.select("sample_id").join(left, "sample_id", "left")
     bare = shares.filter(F.col("left").isNull()).limit(5).collect()
-    if bare:
+    if bare and strict:
         names = ", ".join(str(r["sample_id"]) for r in bare)
         raise InvalidInput(
             f"Sample(s) {names} hold only dropped regions; lower `drop`."
@@ -303,7 +305,7 @@ def drop_regions(
             )
             .collect()
         }
-        share = 100.0 * (1.0 - shares.agg(F.avg("left")).first()[0])
+        share = 100.0 * (1.0 - shares.agg(F.avg(F.coalesce("left", F.lit(0.0)))).first()[0])
         described = ", ".join(
             f"{lead[r['region']]['best']['protein_id']} "
             f"({lead[r['region']]['n']} protein{'s' if lead[r['region']]['n'] > 1 else ''})"
