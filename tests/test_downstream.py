@@ -204,3 +204,36 @@ def test_tsne_covers_every_protein(spark):
         plot_tsne(catalog(spark, z[:3]))
     with pytest.raises(ValueError, match="named"):
         plot_tsne(catalog(spark, z), color=labels.drop("protein_id"))
+
+
+def test_nearest_rows_send_only_what_is_asked(spark):
+    from vectide.operators.similarity import unit_vectors
+    from vectide.operators.tsne import nearest_rows
+
+    z = unit(np.random.default_rng(9).normal(size=(1300, 4)))
+    z[7] = z[1200]
+    units = unit_vectors(catalog(spark, z))
+    got = {r.i: [(x.d, x.j) for x in r.near] for r in nearest_rows(units, 9, 1300).collect()}
+    d = 1.0 - np.clip(z @ z.T, -1, 1)
+    np.fill_diagonal(d, np.inf)
+    assert len(got) == 1300
+    for i, near in got.items():
+        assert len(near) == 9 and near == sorted(near)
+        assert np.allclose([x for x, _ in near], np.sort(d[i])[:9], atol=1e-12)
+        assert np.allclose([d[i, j] for _, j in near], [x for x, _ in near], atol=1e-12)
+
+
+def test_regions_that_hold_all_may_be_dropped(spark):
+    from vectide.operators.distances import mmd_of_weights, relative_abundance, sample_order
+    from vectide.operators.ordination import drop_regions
+
+    # one region holds every protein of s0 and s1 (and of s2, in the second table)
+    z = unit([[1, 0], [1, 0.01], [1, 0.02], [0, 1]])
+    x = catalog(spark, z)
+    for cells, rows in (([[1, 2, 0, 0], [0, 1, 3, 0], [1, 1, 0, 2], [2, 0, 0, 5]], 1), ([[1, 2, 3, 0]] * 4, 0)):
+        counts = long_counts(spark, cells)
+        weights, order = relative_abundance(counts), sample_order(counts, None)
+        kept, sigma, _ = drop_regions(weights, x, order, 1, 0.9, strict=False)
+        assert mmd_of_weights(kept, x, order, sigma).count() == rows
+        with pytest.raises(InvalidInput, match="regions|only dropped"):
+            drop_regions(weights, x, order, 1, 0.9)

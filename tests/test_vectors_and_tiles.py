@@ -112,3 +112,24 @@ def test_blocks_hold_many_strips_and_lose_no_pair(spark):
     assert tiles._blocks(x, 600, 8) <= 16
     # what is sent grows with the rows, not with their square
     assert tiles._blocks(x, 600_000, 2048) <= 16
+
+
+def test_edges_within_bins_are_those_of_the_graph(spark):
+    z = unit(np.random.default_rng(7).normal(size=(90, 5)))
+    x = catalog(spark, z)
+    bins = x.selectExpr("ord", "concat('bin', ord % 4) AS bin")
+    got = pairs(threshold_graph(x, 0.3, tile_rows=20, within=bins))
+    want = {k: v for k, v in dense_pairs(z, 0.3).items() if k[0] % 4 == k[1] % 4}
+    assert want and got.keys() == want.keys()
+
+
+def test_links_of_a_tile_are_one_forest(spark):
+    # 10 strips a tile: their forests are merged before they leave it
+    z = unit(np.random.default_rng(8).normal(size=(100, 2)))
+    links = threshold_links(unit_vectors(catalog(spark, z)), 0.0, tile_rows=100)
+    from vectide.operators import tiles
+
+    blocks = tiles._blocks(links, 100, 100)
+    assert links.count() <= 100 * blocks
+    few = threshold_links(unit_vectors(catalog(spark, z).repartition(1)), 0.0, tile_rows=5)
+    assert few.count() <= 100 * tiles._blocks(links, 100, 5)
