@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_tables import CLASHING, awkward, nothing, prose
 
@@ -321,6 +322,26 @@ def test_a_preamble_of_all_items_costs_no_pairs(spark, monkeypatch):
     assert {(r._doc, r._item) for r in met[0].collect()} == pairs
 
 
+def test_readings_share_the_tokens_of_a_text(monkeypatch):
+    """Texts in ASCII are split into tokens once for all readings, others twice."""
+    texts = [b"Ann has 3 big apples and walks 10km to Bob Smith.", "Fünf Äpfel und drei Birnen von Zoé Ünal aus Köln.".encode()]
+    hashed = []
+    plain = decontam._hashes
+    monkeypatch.setattr(decontam, "_hashes", lambda d, *rest: hashed.append(len(d)) or plain(d, *rest))
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array(texts, pa.binary())], names=["id", "text"])
+    rows = pa.Table.from_batches(list(decontam._cut_windows(None, None)(iter([batch])))).to_pylist()
+    assert len(hashed) == 3 and sum(hashed) < len(texts[0]) + 2 * len(texts[1]) + 10
+    got = {(r["id"], r["reading"], r["hash"], r["place"]) for r in rows if r["size"] == 8}
+    want = set()
+    for reading in decontam.READINGS:
+        for key, text in zip((7, 8), texts):
+            found = templates([text], reading)
+            at, codes = decontam.windows(found, 8)
+            codes = codes ^ decontam._TAG[reading]
+            want |= {(key, reading, c, int(found.places[k])) for k, c in zip(at, codes.tolist())}
+    assert got == want and {r for _, r, _, _ in got} == {0, 1, 2, 3}
+
+
 def test_texts_of_codes_are_not_templates_of_each_other(spark):
     rng = random.Random(12)
     codes = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))

@@ -76,6 +76,21 @@ class Template(NamedTuple):
     values: np.ndarray
 
 
+class Tokens(NamedTuple):
+    """What all readings of a block of texts share; one entry per token.
+
+    The text it comes from, its hash, whether the one before is of the same text, whether it opens a sentence,
+    whether it has a capital first letter, and its kind, names apart.
+    """
+
+    owners: np.ndarray
+    hashes: np.ndarray
+    same: np.ndarray
+    opens: np.ndarray
+    upper: np.ndarray
+    kinds: np.ndarray
+
+
 def _hashes(data: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> np.ndarray:
     spans = np.diff(starts, append=len(data))
     place = np.arange(len(data)) - np.repeat(starts, spans)
@@ -120,8 +135,16 @@ def templates(texts: list[bytes], reading: int = TYPED) -> Template:
     VERBATIM is folded as well and has no placeholders: texts made of numbers or names have
     words enough to be found as they are.
     """
+    return _read(_tokens(_read_as(texts, reading)), reading)
+
+
+def _read_as(texts: list[bytes], reading: int) -> list[bytes]:
     if reading in (FOLDED, VERBATIM):
-        texts = [t if t.isascii() else _folded(t) for t in texts]
+        return [t if t.isascii() else _folded(t) for t in texts]
+    return texts
+
+
+def _tokens(texts: list[bytes]) -> Tokens | None:
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     limits = np.cumsum([len(text) + 1 for text in texts])
     digit = _DIGIT[data]
@@ -140,8 +163,7 @@ def templates(texts: list[bytes], reading: int = TYPED) -> Template:
     first[1:] |= inside[1:] & ~digit[1:] & digit[:-1] & (letters[:-1] == ahead[:-1])
     starts = np.flatnonzero(first)
     if not len(starts):
-        none = np.zeros(0, np.int64)
-        return Template(none, none, none.astype(np.uint64), none, none.astype(np.uint64))
+        return None
     owners = np.searchsorted(limits, starts, side="right")
     stops = np.cumsum(_STOP[data] & ~inside)[starts]
     lead = starts[0]
@@ -151,16 +173,27 @@ def templates(texts: list[bytes], reading: int = TYPED) -> Template:
     same[1:] = owners[1:] == owners[:-1]
     heads = data[starts]
     kinds = np.full(len(starts), LITERAL, np.int8)
-    if reading != VERBATIM:
-        kinds[digit[starts] | _among(_NUMBER_HASHES, hashes)] = NUMBER
+    kinds[digit[starts] | _among(_NUMBER_HASHES, hashes)] = NUMBER
     follows = same.copy()
     follows[1:] &= kinds[:-1] == NUMBER
-    kinds[follows & (kinds == LITERAL) & _among(_UNIT_HASHES, hashes)] = UNIT
+    follows &= kinds == LITERAL
+    follows[follows] = _among(_UNIT_HASHES, hashes[follows])
+    kinds[follows] = UNIT
     opens = ~same
     opens[1:] |= stops[1:] > stops[:-1]
     # capital letters of ASCII and of Latin-1 in UTF-8
     upper = _UPPER[heads] | ((heads == 0xC3) & (data[starts + 1] < 0x9F))
     upper &= kinds == LITERAL
+    return Tokens(owners, hashes, same, opens, upper, kinds)
+
+
+def _read(tokens: Tokens | None, reading: int) -> Template:
+    """One reading of a block; FOLDED and VERBATIM take the tokens of folded texts."""
+    if tokens is None:
+        none = np.zeros(0, np.int64)
+        return Template(none, none, none.astype(np.uint64), none, none.astype(np.uint64))
+    owners, hashes, same, opens, upper, kinds = tokens
+    kinds = np.full(len(kinds), LITERAL, np.int8) if reading == VERBATIM else kinds.copy()
     names = upper & ~opens
     if reading == CAPITALS:
         kinds[upper] = NAME
@@ -173,7 +206,7 @@ def templates(texts: list[bytes], reading: int = TYPED) -> Template:
     if reading == CAPITALS:
         new |= opens & (kinds == NAME)
     slots = np.flatnonzero(new)
-    place = np.arange(len(starts)) - slots[np.cumsum(new) - 1]
+    place = np.arange(len(new)) - slots[np.cumsum(new) - 1]
     values = mixed(np.add.reduceat(hashes * (2 * place + 1).astype(np.uint64), slots))
     owners, kinds = owners[slots], kinds[slots]
     begins = np.flatnonzero(np.diff(owners, prepend=-1))
@@ -228,8 +261,8 @@ def _cut_windows(
     In every reading; a hash holds its reading, so the bitmap tells readings apart.
     """
 
-    def rows(ids: list, texts: list[bytes], reading: int) -> Iterator[tuple]:
-        found = templates(texts, reading)
+    def rows(ids: list, texts: list[bytes], tokens: Tokens | None, reading: int) -> Iterator[tuple]:
+        found = _read(tokens, reading)
         lengths = np.bincount(found.owners, minlength=len(texts))
         for size in sizes or range(LEAST_TOKENS, WINDOW + 1):
             at, hashes = windows(found, size)
@@ -250,15 +283,25 @@ def _cut_windows(
                     slots.view(np.int64).tolist(),
                 )
 
+    def read(ids: list, texts: list[bytes]) -> Iterator[tuple]:
+        """All readings; texts in ASCII, which the hashes fold, have the same tokens in each."""
+        plain = [text.isascii() for text in texts]
+        for kind in {*plain}:
+            mine = [k for k, p in enumerate(plain) if p == kind]
+            names, part = [ids[k] for k in mine], [texts[k] for k in mine]
+            tokens = _tokens(part)
+            for reading in (TYPED, CAPITALS):
+                yield from rows(names, part, tokens, reading)
+            if not kind:
+                tokens = _tokens(_read_as(part, FOLDED))
+            for reading in (FOLDED, VERBATIM):
+                yield from rows(names, part, tokens, reading)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_pylist()
             for at, texts in text_slices(batch):
-                made = [
-                    row
-                    for reading in READINGS
-                    for row in rows(ids[at : at + len(texts)], texts, reading)
-                ]
+                made = list(read(ids[at : at + len(texts)], texts))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[k] for r in made], f.type) for k, f in enumerate(_SCHEMA)],
                     schema=_SCHEMA,
