@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from helpers import catalog, dense_mmd, long_counts, square, unit
 
+from vectide.operators import distances
 from vectide.operators.checks import InvalidInput
 from vectide.operators.distances import median_sigma, sample_mmd
 from vectide.operators.ordination import group_hulls, pcoa, plot_pcoa
@@ -107,6 +108,28 @@ def test_median_is_exact_for_even_and_odd_pair_counts(spark):
         assert abs(got - np.median(d)) < 1e-12
 
 
+def test_median_takes_two_passes_over_the_pairs(spark, monkeypatch):
+    """However fine the distances lie, and wherever the search begins."""
+    rng = np.random.default_rng(3)
+    z = unit(rng.normal(size=(300, 8)))
+    z[200:260] = z[:60]
+    d = np.sqrt(np.maximum(2 - 2 * z @ z.T, 0))[np.triu_indices(300, 1)]
+    rows = catalog(spark, z).selectExpr("ord", "protein_id", "embedding")
+    found = distances.collapse_copies(distances.unit_vectors(rows))
+    assert found.rows == 240
+    passes = []
+    tiles = distances.map_tiles
+    monkeypatch.setattr(distances, "map_tiles", lambda *a: passes.append(a) or tiles(*a))
+    assert abs(distances.pair_median(found, 50) - np.median(d)) < 1e-12
+    assert len(passes) == 2
+    begins = (((0.0, 0.1), 10**6), ((1.9, 1.95), 5), ((0.2, 0.2), 10**6))
+    monkeypatch.setattr(distances, "_VALUES_A_ROW", 0)
+    for span, few in begins:
+        monkeypatch.setattr(distances, "_likely_span", lambda _, span=span: span)
+        monkeypatch.setattr(distances, "_FEW_VALUES", few)
+        assert abs(distances.pair_median(found, 50) - np.median(d)) < 1e-12
+
+
 def gaps(points):
     p = points[["pco1", "pco2"]].to_numpy()
     return np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
