@@ -207,3 +207,21 @@ def test_hull_keeps_corners_only(spark):
     points = spark.createDataFrame(rows, "grp string, id int, x double, y double").repartition(3)
     got = group_hulls(points, "grp", "x", "y").orderBy("corner").toPandas()
     assert got["id"].tolist() == [0, 1, 2, 3]
+
+
+def test_weights_reach_the_tiles_as_plain_arrays(spark, data, monkeypatch):
+    """What is sent once a block holds no structs, which double the bytes of an entry."""
+    z, counts = data
+    counts = counts.copy()
+    counts[np.arange(180).reshape(6, 30) % 5 == 0] = 0
+    sent = []
+    tiles = distances.map_tiles
+    monkeypatch.setattr(
+        distances, "map_tiles", lambda rows, *rest: sent.append(rows.schema) or tiles(rows, *rest)
+    )
+    out = sample_mmd(long_counts(spark, counts), catalog(spark, z), sigma=0.5, tile_rows=7)
+    assert np.allclose(square(out), dense_mmd(counts, z, 0.5)[0], atol=1e-9)
+    (schema,) = sent
+    assert [f.dataType.simpleString() for f in schema] == [
+        "bigint", "array<double>", "array<bigint>", "array<double>"
+    ]
