@@ -10,7 +10,7 @@ from vectide.operators.similarity import (
     threshold_links,
     unit_vectors,
 )
-from vectide.operators.components import connected_components
+from vectide.operators.components import connected_components, graph_stats
 
 
 def pairs(df):
@@ -133,3 +133,29 @@ def test_links_of_a_tile_are_one_forest(spark):
     assert links.count() <= 100 * blocks
     few = threshold_links(unit_vectors(catalog(spark, z).repartition(1)), 0.0, tile_rows=5)
     assert few.count() <= 100 * tiles._blocks(links, 100, 5)
+
+
+@pytest.mark.parametrize("min_sim", [0.2, 0.7])
+def test_links_number_all_edges_of_the_graph(spark, min_sim):
+    """The pass that finds the spanning links counts the edges: no second one is needed."""
+    z = unit(np.random.default_rng(9).normal(size=(300, 5)))
+    z[:60] = z[0]
+    x = catalog(spark, z)
+    links = threshold_links(unit_vectors(x), min_sim, tile_rows=40)
+    want = threshold_graph(x, min_sim).count()
+    assert links.count() < want == len(dense_pairs(z, min_sim - 1e-9))
+    parts = connected_components(links, x.selectExpr("ord AS node"))
+    assert graph_stats(links, parts, number="edges").first()["edges"] == want
+
+
+def test_graph_shape_meets_the_pairs_once(spark, monkeypatch):
+    from vectide.operators import similarity
+    from vectide.plans.queries import REGISTRY
+
+    passes = []
+    tiles = similarity.map_close_tiles
+    monkeypatch.setattr(
+        similarity, "map_close_tiles", lambda *a, **k: passes.append(a[1]) or tiles(*a, **k)
+    )
+    row = REGISTRY["graph_shape"](spark, "/root/testdata/sf0.001").first()
+    assert passes == ["ord"] and row["edges"] > 0

@@ -65,8 +65,11 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     )
 
 
-def graph_stats(edges: DataFrame, components: DataFrame) -> DataFrame:
-    """One row: proteins, edges, isolated, components, largest_component."""
+def graph_stats(edges: DataFrame, components: DataFrame, number: str | None = None) -> DataFrame:
+    """One row: proteins, edges, isolated, components, largest_component.
+
+    `number` names a column of `edges` that sums to their number (see `threshold_links`).
+    """
     sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     shape = sizes.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("proteins"),
@@ -74,7 +77,8 @@ def graph_stats(edges: DataFrame, components: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("components"),
         F.coalesce(F.max("n"), F.lit(0)).alias("largest_component"),
     )
-    counted = edges.agg(F.count(F.lit(1)).alias("edges"))
+    total = F.coalesce(F.sum(number), F.lit(0)) if number else F.count(F.lit(1))
+    counted = edges.agg(total.alias("edges"))
     names = ["proteins", "edges", "isolated", "components", "largest_component"]
     return shape.unionByName(counted, allowMissingColumns=True).agg(
         *[F.max(c).alias(c) for c in names]
