@@ -225,3 +225,14 @@ def test_weights_reach_the_tiles_as_plain_arrays(spark, data, monkeypatch):
     assert [f.dataType.simpleString() for f in schema] == [
         "bigint", "array<double>", "array<bigint>", "array<double>"
     ]
+
+
+def test_lines_are_joined_once(spark):
+    """Customers are joined to the orders, not to the longer lines."""
+    from vectide.plans.inputs import Inputs
+
+    counts = Inputs(spark, "/root/testdata/sf0.001").counts()
+    plan = counts._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [line for line in plan if "Join Inner" in line]
+    depth = {k: next(j.index("Join") for j in joins if k in j) for k in ("l_orderkey", "o_custkey")}
+    assert len(joins) == 3 and depth["l_orderkey"] < depth["o_custkey"]
