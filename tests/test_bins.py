@@ -149,3 +149,48 @@ def test_a_large_component_leaves_no_matrices_behind(spark, monkeypatch, tmp_pat
     assert np.array_equal(got, dense_mcl(s, 2.0))
     left = [spark.read.parquet(str(tmp_path / d)).columns for d in os.listdir(tmp_path)]
     assert left and not any("cells" in columns for columns in left)
+
+
+@pytest.mark.parametrize("mine", [0.02, 1.0])
+@pytest.mark.parametrize("theirs", [0.02, 1.0])
+def test_strips_are_stored_by_their_flows(mine, theirs):
+    """A strip of few flows takes their room, not that of all its cells, and gives the same product."""
+    import vectide.operators.mcl as mcl
+
+    rng = np.random.default_rng(3)
+    n, wide = 400, 50
+
+    def cells(share):
+        return rng.random((n, wide)) * (rng.random((n, wide)) < share)
+
+    def stored(at, flow):
+        batch = mcl._strip([0, n, at, wide, 0, 1, 0, 0], flow)
+        if (flow > 0).mean() < 0.1:
+            assert batch.nbytes < flow.nbytes / 4
+        return mcl._unpack(batch, 0)[1]
+
+    left, own = cells(theirs), [cells(mine), cells(mine)]
+    joined = mcl._side_by_side([stored(0, own[0]), stored(wide, own[1])])
+    grown = np.zeros((n, 2 * wide))
+    mcl._expand(grown, joined, stored(100, left), 100)
+    assert np.allclose(grown, left @ np.hstack(own)[100 : 100 + wide], rtol=1e-12, atol=0)
+
+
+@pytest.mark.parametrize("inflation", [1.4, 2.0, 4.0])
+def test_dropped_flows_change_no_kept_one(inflation):
+    import vectide.operators.mcl as mcl
+
+    rng = np.random.default_rng(6)
+    z = unit(rng.normal(size=(120, 5)))
+    flow = np.where(graph(z, 0.3) > 0, graph(z, 0.3), 0.0) + np.eye(120)
+    flow /= flow.sum(axis=0)
+    least = mcl._lost_in_rounding(120, inflation)
+    assert mcl._VANISHING <= least < 1e-25
+    every = flow.copy()
+    for _ in range(25):
+        flow = mcl._inflated(flow @ flow, inflation)
+        every = np.power(every @ every, inflation)
+        every /= every.sum(axis=0)
+        every[every < 1e-300] = 0.0
+        kept = flow > 1e3 * least
+        assert kept.any() and np.allclose(flow[kept], every[kept], rtol=1e-6, atol=0)
