@@ -237,3 +237,67 @@ def test_regions_that_hold_all_may_be_dropped(spark):
         assert mmd_of_weights(kept, x, order, sigma).count() == rows
         with pytest.raises(InvalidInput, match="regions|only dropped"):
             drop_regions(weights, x, order, 1, 0.9)
+
+
+def test_tsne_query_takes_every_step(spark, monkeypatch):
+    from inspect import signature
+
+    from vectide.operators.tsne import ITERATIONS, tsne_layout
+    from vectide.plans import queries
+
+    asked = []
+
+    def seen(units, affinities, *rest, **named):
+        given = signature(tsne_layout).bind(units, affinities, *rest, **named)
+        given.apply_defaults()
+        asked.append(given.arguments["iterations"])
+        return units.selectExpr("ord", "0D AS tsne1", "0D AS tsne2")
+
+    z = unit(np.random.default_rng(2).normal(size=(100, 4)))
+    monkeypatch.setattr(queries, "tsne_layout", seen)
+    rows = catalog(spark, z).select("ord", "embedding")
+    tables = type("Tables", (), {"units": lambda self: rows})()
+    assert queries.tsne(tables).count() == 100
+    assert asked == [ITERATIONS]
+
+
+@pytest.mark.parametrize("alone", [2048, 8])
+def test_tsne_steps_follow_the_gradient(spark, monkeypatch, alone):
+    """Steps of one task and of several blocks, with a copied row, against sums over all pairs."""
+    import vectide.operators.tsne as tsne
+
+    monkeypatch.setattr(tsne, "_ALONE", alone)
+    monkeypatch.setattr(tsne, "_BLOCK_POINTS", 7)
+    n = 40
+    rng = np.random.default_rng(4)
+    p = np.triu(rng.random((n, n)) * (rng.random((n, n)) < 0.3), 1)
+    p = (p + p.T) / (2 * p.sum())
+    i, j = np.nonzero(p)
+    triples = [(int(a), int(b), float(p[a, b])) for a, b in zip(i, j)]
+    near = spark.createDataFrame(triples, "i long, j long, p double")
+    units = spark.createDataFrame([(k,) for k in [*range(n), 5]], "ord long")
+
+    def points(steps):
+        rows = tsne.tsne_layout(units, near, n + 1, steps).toPandas().sort_values("ord")
+        assert len(rows) == n + 1
+        rows = rows.drop_duplicates()
+        assert len(rows) == n
+        return rows[["tsne1", "tsne2"]].to_numpy()
+
+    times = np.ones(n)
+    times[5] = 2.0
+    y, speed, gain = points(0), np.zeros((n, 2)), np.ones((n, 2))
+    for _ in range(4):
+        gap = y[:, None] - y[None]
+        q = 1.0 / (1.0 + np.square(gap).sum(axis=2))
+        pairs = np.outer(times, times) * q
+        total = pairs.sum() - times.sum()
+        pull = np.einsum("ij,ijc->ic", np.outer(times, times) * p * q, gap)
+        push = np.einsum("ij,ijc->ic", pairs * q, gap)
+        slope = 4.0 * (12.0 * pull - push / total)
+        gain = np.maximum(np.where(np.sign(slope) == np.sign(speed), gain * 0.8, gain + 0.2), 0.01)
+        speed = 0.5 * speed - 200.0 * gain * slope
+        y = y + speed
+    y -= np.average(y, axis=0, weights=times)
+    got = points(4)
+    assert np.allclose(got, y, rtol=1e-6, atol=1e-9 * np.abs(y).max())
