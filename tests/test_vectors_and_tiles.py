@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from helpers import catalog, unit
+from pyspark.sql import functions as F
 
 from vectide.operators.checks import InvalidInput
 from vectide.operators.similarity import (
@@ -159,3 +160,35 @@ def test_graph_shape_meets_the_pairs_once(spark, monkeypatch):
     )
     row = REGISTRY["graph_shape"](spark, "/root/testdata/sf0.001").first()
     assert passes == ["ord"] and row["edges"] > 0
+
+
+@pytest.mark.parametrize("edges", [0, 30, 400])
+def test_forest_spans_with_the_fewest_edges(edges):
+    from vectide.functions.graphs import lowest_labels
+    from vectide.operators.similarity import _forest
+
+    rng = np.random.default_rng(edges)
+    n = 200
+    rows, cols = rng.integers(0, n, (2, edges))
+    kept = _forest(rows, cols, n)
+    whole = lowest_labels(rows, cols, n)
+    assert np.array_equal(lowest_labels(rows[kept], cols[kept], n), whole)
+    assert len(kept) == n - len(np.unique(whole))
+
+
+def test_regions_look_at_the_pairs_once(spark, monkeypatch):
+    """The links are a written table before their components are sought."""
+    from vectide.operators import ordination
+
+    links = []
+
+    def seen(edges, nodes=None):
+        links.append(edges)
+        return nodes.select("node", F.col("node").alias("component"))
+
+    monkeypatch.setattr(ordination, "connected_components", seen)
+    vectors = catalog(spark, unit(np.random.default_rng(1).normal(size=(50, 4))))
+    units = vectors.selectExpr("CAST(ord AS LONG) AS ord", "protein_id", "embedding")
+    ordination.regions(ordination.collapse_copies(units), 0.5).count()
+    plan = links[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "FlatMapGroups" not in plan

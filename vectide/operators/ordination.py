@@ -46,7 +46,8 @@ def regions(
     catalog: Catalog, min_sim: float, tile_rows: int = TILE_ROWS
 ) -> DataFrame:
     """`(protein_id, region)`: proteins linked by cosines of at least `min_sim`."""
-    links = threshold_links(catalog.distinct, min_sim, tile_rows, catalog.rows)
+    # written: a round of the components reads its edges more than once, and each time is all pairs
+    links = cut(threshold_links(catalog.distinct, min_sim, tile_rows, catalog.rows))
     nodes = catalog.distinct.select(F.col("ord").alias("node"))
     parts = connected_components(links, nodes).withColumnRenamed("node", "rep")
     return catalog.rep.join(parts, "rep").select(
